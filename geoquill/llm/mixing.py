@@ -63,7 +63,7 @@ def when_demanded(part: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, part).otherwise(root)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, ramps=RAMPS, bucket_rows: int = 20_000, sort: bool = True) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, ramps=RAMPS, bucket_rows: int = 4_096, sort: bool = True) -> DataFrame:
     """All columns of docs, and size, source_size, target, taken, position (of the first pass) and positions (of each
     pass that takes words of the row), range-sorted by position. See the module."""
     keep = without(docs, OUT)

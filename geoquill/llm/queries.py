@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, gifcols, langid, licenses, mixing, secretscan, sharding, topk
+
 
-from . import licenses, mixing, secrets, sharding
+def vocabulary_file(name: str) -> str:
+    """Where the public vocabulary files are: a folder in the environment, or the installed package."""
+    folder = os.environ.get("GEOQUILL_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return langid.identify(docs, vocabulary_file("piece_bpe_32k.model")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = gifcols.encode(_documents(spark, sf_dir).select("doc_id", "text"))
+    read = gifcols.decode(media)
+    frames = F.col("frames")
+    levels = F.aggregate(F.slice("frames", 2, F.size(frames)), F.try_element_at(frames, F.lit(1))["histogram"], lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    feature = F.concat_ws(";", F.size(frames).cast("string"), F.aggregate(frames, F.lit(0), lambda a, f: a + f["delay"]).cast("string"), F.array_join(F.transform(levels, lambda x: x.cast("string")), ","))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode(docs, vocabulary_file("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return secretscan.scan(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix, op7_secrets, op9_shard, op10_licenses)}
+    return {f.__name__: f for f in (op2_langid, op3_mix, op4_gif, op6_bpe, op7_secrets, op8_topk, op9_shard, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
