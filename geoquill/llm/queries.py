@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gifcols, langid, licenses, mixing, secretscan, sharding, topk
+from . import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
 
 
 def vocabulary_file(name: str) -> str:
@@ -24,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     return langid.identify(docs, vocabulary_file("piece_bpe_32k.model")).select("doc_id", "held_out", "lang_pred", "score")
@@ -43,6 +47,10 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return bpe.encode(docs, vocabulary_file("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -66,7 +74,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_langid, op3_mix, op4_gif, op6_bpe, op7_secrets, op8_topk, op9_shard, op10_licenses)}
+    return {f.__name__: f for f in (op1_substring, op2_langid, op3_mix, op4_gif, op5_jaccard, op6_bpe, op7_secrets, op8_topk, op9_shard, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
