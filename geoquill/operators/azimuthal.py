@@ -583,7 +583,7 @@ operator("mod_krovak")(lambda p: _krovak(p, True))
 def poly(p: Params) -> Op:
     """American polyconic."""
     e = p.ellps()
-    ml0 = float(e.along(Np, e.rectifying[0], p.lat_0)) if not e.spherical else p.lat_0
+    ml0 = float(e.arc(Np, p.lat_0)) / e.a
     a = e.a
 
     def unit(m, lam, lat):
@@ -591,7 +591,7 @@ def poly(p: Params) -> Op:
         el = m.let(lam * s)
         flat = m.let(m.abs(lat) <= TINY)
         ms = m.let(e.msfn(m, lat) / m.where(flat, 1.0, s))
-        ml = e.along(m, e.rectifying[0], lat)
+        ml = e.arc(m, lat) / e.a
         return m.where(flat, lam, ms * m.sin(el)), m.where(flat, -ml0, ml - ml0 + ms * (1 - m.cos(el)))
 
     def fwd(m, lam, lat):

@@ -132,11 +132,8 @@ class Pipeline:
         nan = E("double('NaN')")
         if engine == "arrow" or engine == "auto" and self.on_arrays:
             out = self._arrow(df, x, y, z, t, direction)
-            for k, name in enumerate(into):
-                out = out.withColumn(f"_out_{k}", F.col("_geo")["xyzt"[k]])
-            good = out["_geo"]["good"]
-            out = out.select(*[f"`{c}`" for c in keep], *[F.col(f"_out_{k}").alias(n) for k, n in enumerate(into)], *([F.forall(good, lambda g: g).alias(ok)] if ok else []), *([good[k].alias(f"ok_{k + 1}") for k in range(len(self._order(direction)))] if steps else []))
-            return out
+            bits = F.col("_geo.bits")
+            return out.select(*[f"`{c}`" for c in keep], *[F.col(f"_geo.{k}").alias(n) for k, n in zip("xyzt", into, strict=True)], *([F.col("_geo.ok").alias(ok)] if ok else []), *([(F.shiftright(bits, k) % 2 == 1).alias(f"ok_{k + 1}") for k in range(len(self._order(direction)))] if steps else []))
         m = Sql()
         start = [E(f"coalesce(double(`{c}`), double('NaN'))") if c else E("0.0D") if k == 2 else nan for k, c in enumerate((x, y, z, t))]
         start = m.let(*start)
@@ -152,7 +149,7 @@ class Pipeline:
     def _arrow(self, df: DataFrame, x: str, y: str, z: str | None, t: str | None, direction: str) -> DataFrame:
         plan = self
 
-        @F.pandas_udf("x double, y double, z double, t double, good array<boolean>")
+        @F.pandas_udf("x double, y double, z double, t double, ok boolean, bits long")
         def apply(x: pd.Series, y: pd.Series, z: pd.Series, t: pd.Series) -> pd.DataFrame:
             return plan.arrays(x, y, z, t, direction)
 
@@ -160,15 +157,15 @@ class Pipeline:
         return df.withColumn("_geo", apply(number(x, 0.0), number(y, 0.0), number(z, 0.0), number(t, math.nan)))
 
     def arrays(self, x, y, z=0.0, t=math.nan, direction: str = "fwd") -> pd.DataFrame:
-        """The same on arrays, in the calling process."""
+        """The same on arrays, in the calling process; `bits` has a bit for each step that went well."""
         x, y, z, t = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, y, z, t)))
         with np.errstate(all="ignore"):
             c, good = self.run(Np, x, y, z, t, direction)
         good = [np.broadcast_to(np.asarray(g, bool), x.shape) for _, g in good]
         every = reduce(np.logical_and, good, np.ones(x.shape, bool))
-        out = {k: np.where(every, v, np.nan) for k, v in zip("xyzt", c, strict=True)}
-        flat = np.stack(good, axis=-1).reshape(-1, len(good)) if good else np.ones((x.size, 0), bool)
-        return pd.DataFrame({k: np.atleast_1d(v) for k, v in out.items()} | {"good": list(flat)})
+        bits = sum((g.astype(np.int64) << k for k, g in enumerate(good)), np.zeros(x.shape, np.int64))
+        out = {k: np.atleast_1d(np.where(every, v, np.nan)) for k, v in zip("xyzt", c, strict=True)}
+        return pd.DataFrame(out | {"ok": np.atleast_1d(every), "bits": np.atleast_1d(bits)})
 
     def success_counts(self, df: DataFrame, x: str, y: str, z: str | None = None, t: str | None = None, direction: str = "fwd") -> DataFrame:
         """One row: tuples, successes of each step, and of the pipeline, which counts the step with the fewest."""
