@@ -1,0 +1,430 @@
+"""Each operator against a brute-force version on a small table with all the awkward cases, and on an empty table."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from geoquill.llm import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
+from geoquill.llm.graph import components
+from geoquill.llm.queries import vocabulary_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def shingles(t, n):
+    w = words(t)
+    if not w:
+        return set()
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+# 1 -------------------------------------------------------------------------------------------
+
+
+def test_substring_links_every_repeated_passage(docs, rows, nothing):
+    got = substring.find(docs).collect()
+    seen = {r["doc_id"] for r in got} | {r["peer_id"] for r in got}
+    where = defaultdict(set)
+    for i, t, *_ in {r[0]: r for r in rows}.values():
+        w = words(t)
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    groups = [g for g in where.values() if len(g) > 1]
+    assert groups and set().union(*groups) <= seen
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in got:
+        a, b = sorted((find(r["doc_id"]), find(r["peer_id"])))
+        up[b] = a
+    assert all(len({find(x) for x in g}) == 1 for g in groups)
+    texts = {r[0]: words(r[1]) for r in rows}
+    for r in got:
+        a = shingles(" ".join(texts[r["doc_id"]][r["start_word"] : r["end_word"]]), 5)
+        b = shingles(" ".join(texts[r["peer_id"]][r["peer_start"] : r["peer_end"]]), 5)
+        assert r["n_words"] >= 50 and len(a & b) / len(a | b) == pytest.approx(r["jaccard"]) and r["jaccard"] >= 0.8
+    assert substring.find(nothing).count() == 0
+
+
+def test_compact_windows_hold_every_long_subsequence_once():
+    rng = np.random.default_rng(2)
+    for h in (rng.integers(0, 2**60, 80, dtype=np.uint64), np.zeros(50, np.uint64), rng.integers(0, 5, 90).astype(np.uint64)):
+        found = substring.windows(h, 10)
+        for i in range(len(h)):
+            for j in range(i + 9, len(h)):
+                held = [c for c, low, high in found if low <= i <= c <= j <= high]
+                assert len(held) == 1 and h[held[0]] == h[i : j + 1].min()
+        c, low, high = found[0]
+        left, centre, right = substring.unpack(substring.pack(found))
+        assert (left[0], centre[0], right[0]) == (low, c, high)
+
+
+# 2 -------------------------------------------------------------------------------------------
+
+
+def test_language_is_told(docs, rows, nothing):
+    got = langid.identify(docs, vocabulary_file("piece_bpe_32k.model"), train_rows=50).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r for r in rows}
+    for r in got:
+        i, t, lang, *_ = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1
+        letters = t is not None and any(c.isalpha() for c in t)
+        assert (r["lang_pred"] == "und") == (not letters)
+        if i < 90:
+            assert r["lang_pred"] == lang
+    assert langid.identify(nothing, vocabulary_file("piece_bpe_32k.model")).count() == 0
+    kept = langid.accept(docs, vocabulary_file("piece_bpe_32k.model"))
+    assert kept.columns == docs.columns and {i for i in range(90)} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_forward_sums_all_segmentations():
+    pieces = sorted({"▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"})
+    p = np.random.default_rng(1).dirichlet(np.ones(len(pieces)))
+    number = {x: i for i, x in enumerate(pieces)}
+
+    def every(s):
+        return 1.0 if not s else sum(p[number[s[:k]]] * every(s[k:]) for k in range(1, len(s) + 1) if s[:k] in number)
+
+    scorer = langid.Scorer(pieces, {"x": p})
+    for w in ("a", "ab", "abab", "bbaabab", "ab" * 28):
+        lattice = langid.Lattice(pieces)
+        expected = np.log(every("▁" + w)) if len(w) < 12 else langid.forward(lattice.edges(w), [*p, langid.FLOOR])
+        assert langid.forward(lattice.edges(w), [*p, langid.FLOOR]) == pytest.approx(expected)
+        assert scorer.together([w])[0, 0] == pytest.approx(expected)
+
+
+# 3 -------------------------------------------------------------------------------------------
+
+
+def test_mix_meets_targets(docs, rows, nothing):
+    got = mixing.mix(docs, bucket_rows=10).collect()
+    again = mixing.mix(docs.repartition(5), bucket_rows=10).collect()
+    key = lambda r: (r["doc_id"], r["size"], r["taken"], tuple(r["positions"]))
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    sizes = Counter()
+    for _, t, _, source, *_ in rows:
+        sizes[source] += len(WORD.findall(t or ""))
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+    while True:  # resharing, as the contract puts it
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"] and all(0 <= p <= 1 for p in r["positions"]) and r["positions"] == sorted(r["positions"])
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == int(target[s] + 1e-9) for s in order)
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_positions_invert_the_schedule():
+    for ramp in (0.0, 0.5, -0.5):
+        from geoquill.functions.mathx import Np
+
+        t = np.linspace(0, 1, 11)
+        part = t + ramp * (t * t - t)
+        b = 1 - ramp
+        back = part if ramp == 0 else (Np.sqrt(b * b + 4 * ramp * part) - b) / (2 * ramp)
+        assert np.allclose(back, t)
+
+
+# 4 -------------------------------------------------------------------------------------------
+
+
+def test_gif_round_trip(docs, rows, nothing):
+    got = {r["doc_id"]: r for r in gifcols.decode(gifcols.encode(docs)).collect()}
+    for i, t, *_ in rows:
+        n, payload = gifcols.payload(t)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        assert len(payload) % 192 == 0 and payload[n:] == b" " * (len(payload) - n) and r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["error"] is None
+        assert sum(f["histogram"][k] for f in r["frames"][:1] for k in range(16)) == min(len(payload), 64 * 192)
+    assert gifcols.decode(gifcols.encode(nothing)).count() == 0
+
+
+def test_gif_rules():
+    """Local tables, transparency, disposal and interlacing, on a canvas of 4 x 4."""
+    import struct
+
+    colours = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+
+    def image(samples, left, top, w, h, flags=0, local=b""):
+        codes, out, n, bits = [4, *samples, 5], 0, 0, 3
+        size, free = 3, 6
+        for k, c in enumerate(codes):
+            out |= c << n
+            n += size
+            if 0 < k:
+                free += k > 1
+                if free == 1 << size and size < 12:
+                    size += 1
+        data = out.to_bytes(n // 8 + 1, "little")
+        assert bits == 3
+        return b"\x2c" + struct.pack("<HHHHB", left, top, w, h, flags) + local + b"\x02" + bytes([len(data)]) + data + b"\0"
+
+    control = lambda disposal, delay, clear=None: b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (clear is not None), delay, clear or 0, 0)
+    head = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x80 | 1, 0, 0) + colours
+    media = head + control(1, 5) + image([0] * 16, 0, 0, 4, 4) + control(2, 7, 3) + image([1, 3, 3, 1], 1, 1, 2, 2) + control(3, 3) + image([2], 0, 0, 1, 1) + control(0, 2) + image([0, 1, 2, 3] * 4, 0, 0, 4, 4, 0x40) + b"\x3b"
+    frames = [{**f, "canvas": f["canvas"].copy()} for f in gifcols.decode_gif(media)]
+    assert [f["start"] for f in frames] == [0, 5, 12, 15]
+    assert (frames[0]["canvas"][..., :3] == [255, 0, 0]).all()
+    assert frames[1]["canvas"][1, 1, 1] == 255 and frames[1]["canvas"][1, 2, 0] == 255  # transparent pixel keeps red
+    assert frames[2]["canvas"][1, 1, 3] == 0  # restored to nothing
+    assert frames[2]["canvas"][0, 0, 2] == 255
+    assert frames[3]["samples"][:4] == bytes([0, 1, 2, 3])
+    with pytest.raises(ValueError):
+        list(gifcols.decode_gif(b"nothing"))
+
+
+def test_gif_lzw_agrees_over_long_streams():
+    rng = random.Random(4)
+    for data in (bytes(rng.randrange(256) for _ in range(20000)), b"ab" * 9000, bytes(192), bytes(range(256)) * 30):
+        assert gifcols.expand(gifcols.compress(data), 8, len(data)) == data
+
+
+# 5 -------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, n, least, scale):
+    sets = {r[0]: shingles(r[1], n) for r in rows}
+    ids, up = sorted(sets), {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and scale * both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("n,least", [(3, 90), (5, 80)])
+def test_jaccard_join_finds_the_components(docs, rows, nothing, n, least):
+    expected = brute_components(rows, n, least, 100)
+    got = jaccard.join(docs, n=n, least=least).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert len({c for _, c in expected.values()}) < len(expected) - 5
+    assert jaccard.join(nothing).count() == 0
+
+
+def test_blocking_keys_are_shared_by_linking_sets():
+    rng = np.random.default_rng(7)
+    pairs = 0
+    for least in (80, 90):
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64))
+            b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.08], rng.integers(0, 2**63, rng.integers(0, 1 + len(a) // 10), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if len(b) and jaccard.linked(len(a), len(b), both, least, 100):
+                pairs += 1
+                same = np.array_equal(a, b)
+                assert same or len(np.intersect1d(jaccard.block_keys(a, least, 100), jaccard.block_keys(b, least, 100)))
+    assert pairs > 500
+
+
+def test_trees_link_across_leaves():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(100) > 0.02], rng.integers(0, 2**63, 2, dtype=np.uint64)))) for _ in range(60)]
+    x, y = jaccard.Tree(list(range(30)), sets[:30]), jaccard.Tree(list(range(30, 60)), sets[30:])
+    seen = jaccard.Union()
+    for t, u in ((x, x), (y, y), (x, y)):
+        for a, b in jaccard.traverse(t, u, 80, 100, seen):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert jaccard.linked(len(sets[a]), len(sets[b]), both, 80, 100)
+    assert len({seen.find(i) for i in range(60)}) == 1
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 6 -------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs, rows, nothing):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = bpe.encode(docs, path, outputs=("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")).collect()
+    texts = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded"] == library.decode(ids, skip_special_tokens=False) == texts[r["doc_id"]]
+    again = bpe.decode(docs.sparkSession.createDataFrame([(r["doc_id"], r["ids"]) for r in got], "doc_id long, ids array<int>"), path).collect()
+    assert all(r["decoded"] == texts[r["doc_id"]] for r in again)
+    assert bpe.encode(nothing, path).count() == 0
+
+
+def test_forced_boundaries_lie_in_no_token():
+    c = bpe.codec(vocabulary_file("byte_bpe_50k.json"))
+    with open(vocabulary_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = [bytes(bpe.printable_bytes()[x] for x in t) for t in json.load(f)["model"]["vocab"] if all(x in bpe.printable_bytes() for x in t)]
+    inside = {t[i : i + 2] for t in tokens for i in range(len(t) - 1)}
+    rng, cuts = random.Random(3), 0
+    for _ in range(300):
+        word = bytes(rng.randrange(256) for _ in range(20))
+        parts = c.fragments(word)
+        assert b"".join(parts) == word
+        for a, b in zip(parts, parts[1:], strict=False):
+            cuts += 1
+            assert a[-1:] + b[:1] not in inside
+        whole = bpe.Codec.merged(c, word)
+        assert tuple(i for p in parts for i in c.merged(p)) == whole
+    assert cuts
+    long = b"abcabcabd" * 40
+    short = [c.merged(long[:60]), c.merged(long)]
+    assert b"".join(c.bytes_of[i] for i in short[1]) == long
+
+
+# 7 -------------------------------------------------------------------------------------------
+
+
+def brute_secrets(t):
+    t = t or ""
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out = [("assign", m.start(), m.end()) for m in re.finditer(assign, t) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+    return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
+
+
+def test_secrets(docs, rows, nothing):
+    texts = {r[0]: r[1] for r in rows}
+    got = secretscan.scan(docs, detail=True).collect()
+    assert len(got) == len(rows)
+    kinds = ["assign", "access", "hex", "random"]
+    for r in got:
+        base = sorted(brute_secrets(texts[r["doc_id"]]), key=lambda s: (s[1], kinds.index(s[0])))
+        counts = Counter(k for k, _, _ in base)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(counts[k] for k in kinds[:3])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+    blob = next(r for r in got if "k9Qz7TfP" in (texts[r["doc_id"]] or ""))
+    assert blob["spans"].startswith("random:5:")
+    hidden = {r["doc_id"]: r["text"] for r in secretscan.redact(docs).collect()}
+    assert all("hunter2hunter" not in (t or "") and "k9Qz7" not in (t or "") for t in hidden.values())
+    assert all(hidden[i] == texts[i] for i in range(90)) and hidden[next(i for i, t in texts.items() if t is None)] is None
+    assert secretscan.scan(nothing).count() == 0 and secretscan.redact(nothing).columns == nothing.columns
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    plain = ["internationalization", "thtionthereatherandofthes", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "CamelCaseNamesAreOrdinary", "some-long-hyphenated-identifier-name"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    assert all(r["spans"] == "" for r in secretscan.scan(df).collect())
+
+
+# 8 -------------------------------------------------------------------------------------------
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(1)
+    v = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(900)]
+    v += [(900 + i, v[5][1]) for i in range(30)] + [(1000, None), (1001, [float("nan")] * 16), (1002, [None] * 16), (1100, [0.1] * 8), (1200, [0.0] * 16), (5, v[5][1]), (1300, [])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("id", F.lit("x"))
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=200, query_rows=8, step=4).collect()
+    good = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in v if x is not None and all(y is not None and np.isfinite(y) for y in x)]
+    expected = {}
+    for q, x in good:
+        if q % 50 == 0:
+            others = sorted(((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x)))[:10]
+            expected |= {(q, k): (i, -s) for k, (s, i) in enumerate(others, 1)}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected and len(got) == len(expected)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# 9 -------------------------------------------------------------------------------------------
+
+
+def test_shards(docs, rows, nothing):
+    got = sharding.shard(docs, shards=8).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        assert r["size"] == len((r["text"] or "").encode()) + 16 and r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 8
+        assert r["text_crc32"] == (None if r["text"] is None else zlib.crc32(r["text"].encode()))
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sharding.shard(nothing).count() == 0
+
+
+def test_shards_are_even_and_keep_copies_together(spark):
+    rng = random.Random(8)
+    rows = [(i, "hot text" * 20 if i % 3 == 0 else f"text {i // 4} " * rng.randint(5, 20)) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=10).collect()
+    size, where = Counter(), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        where[r["text"]].add(r["shard"])
+    mean = sum(size.values()) / 10
+    assert all(abs(s - mean) < 0.06 * mean for s in size.values())
+    assert sum(len(s) > 1 for t, s in where.items() if not t.startswith("hot")) <= 10
+
+
+# 10 ------------------------------------------------------------------------------------------
+
+
+def brute_licenses(t):
+    w = re.findall(licenses.TOKEN, (t or "").translate(LOWER))
+    places, base, best, found = [], set(), 0.0, set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        hits = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        places += hits
+        base |= {label} if hits else set()
+    for label, template in licenses.TEMPLATES.items():
+        want = set(template.split())
+        for i in range(0, max(1, len(w)), 32):
+            share = len(want & set(w[i : i + 64])) / len(want)
+            if share >= 0.8 - 1e-12:
+                found.add(label)
+                best = max(best, share)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best
+
+
+def test_licenses(docs, rows, nothing):
+    texts = {r[0]: r[1] for r in rows}
+    got = licenses.scan(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        e = brute_licenses(texts[r["doc_id"]])
+        assert tuple(r[c] for c in licenses.OUT[:-1]) == e[:-1] and r["score"] == pytest.approx(e[-1])
+    assert sum(r["labels"] != "" for r in got) >= 2
+    assert licenses.scan(nothing).count() == 0
