@@ -22,6 +22,7 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -165,25 +166,30 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        kinds = {"n_tokens": pa.int64()}
         for batch in batches:
-            got: dict[str, list] = {o: [] for o in outputs}
-            for t in batch.column(len(keep)):
-                packed = c.encode(t.as_py() or "")
-                ids = memoryview(packed).cast("I") if packed else []
-                if "n_tokens" in got:
-                    got["n_tokens"].append(len(ids))
+            for first in range(0, len(batch), 256):  # ids are held as bytes, and for a few texts at a time
+                part = batch.slice(first, 256)
+                got: dict[str, list] = {o: [] for o in outputs}
+                whole: list[bytes] = []
+                for t in part.column(len(keep)):
+                    packed = c.encode(t.as_py() or "")
+                    whole.append(packed)
+                    if "n_tokens" in got:
+                        got["n_tokens"].append(len(packed) // 4)
+                    if "ids_sha256" in got:
+                        got["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                    if "decoded" in got or "decoded_sha256" in got:
+                        back = c.decode(memoryview(packed).cast("I") if packed else [])
+                        if "decoded" in got:
+                            got["decoded"].append(back)
+                        if "decoded_sha256" in got:
+                            got["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                columns = {o: pa.array(v, kinds.get(o, pa.string())) for o, v in got.items() if o != "ids"}
                 if "ids" in got:
-                    got["ids"].append(list(ids))
-                if "ids_sha256" in got:
-                    got["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                if "decoded" in got or "decoded_sha256" in got:
-                    back = c.decode(ids)
-                    if "decoded" in got:
-                        got["decoded"].append(back)
-                    if "decoded_sha256" in got:
-                        got["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(v, kinds.get(o, pa.string())) for o, v in got.items())], names=[*keep, *outputs])
+                    ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in whole]))).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(whole), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(columns[o] for o in outputs)], names=[*keep, *outputs])
 
     return rows.mapInArrow(run, schema)
 
