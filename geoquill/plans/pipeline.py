@@ -74,6 +74,7 @@ class Pipeline:
             moves = [k for k in STACK if k in step.given]
             if len(moves) != 1:
                 raise PipelineError(f"stack: one of {', '.join(STACK)} is needed")
+            _arguments(step, moves[0])
             return None
         if step.name in ("push", "pop"):
             return None
@@ -184,6 +185,20 @@ class Pipeline:
         return back.select(*[f"`{c}`" for c in df.columns], *[(F.col(f"_{k}") - s).alias(f"d{k}") for k, s in zip("xyzt", start, strict=True)])
 
 
+def _arguments(step: Step, move: str) -> list[int]:
+    if move in ("swap", "drop"):
+        return []
+    try:
+        args = [int(v) for v in step.given[move].split(",")]
+    except ValueError:
+        raise PipelineError(f"stack: {move} takes whole numbers") from None
+    if move in ("push", "pop", "flip") and any(not 1 <= a <= 4 for a in args):
+        raise PipelineError(f"stack: {move} takes elements 1 to 4")
+    if move in ("roll", "unroll") and len(args) != 2:
+        raise PipelineError(f"stack: {move} takes two numbers")
+    return args
+
+
 def _stack(step: Step, back: bool, c: list, stack: list) -> bool:
     """Moves names between the tuple and the column stack; what isn't there makes the tuple fail."""
     if step.name in ("push", "pop"):  # the older form, by flags
@@ -195,14 +210,12 @@ def _stack(step: Step, back: bool, c: list, stack: list) -> bool:
                 c[i] = stack.pop() if stack else math.nan
         return True
     move = next(k for k in STACK if k in step.given)
-    args = [] if move in ("swap", "drop") else [int(v) for v in step.given[move].split(",")]
+    args = _arguments(step, move)
     if back:
         if move in ("push", "pop"):
             move, args = ("pop" if move == "push" else "push"), args[::-1]
         elif move in ("roll", "unroll"):
             args = [args[0], args[0] - args[1]]
-    if move in ("push", "pop", "flip") and (not args or any(not 1 <= a <= 4 for a in args)):
-        raise PipelineError(f"stack: {move} takes elements 1 to 4")
     fails = False
     if move == "push":
         stack += [c[a - 1] for a in args]
@@ -215,8 +228,6 @@ def _stack(step: Step, back: bool, c: list, stack: list) -> bool:
             for k, a in enumerate(args, 1):
                 c[a - 1], stack[-k] = stack[-k], c[a - 1]
     elif move in ("roll", "unroll"):
-        if len(args) != 2:
-            raise PipelineError(f"stack: {move} takes two numbers")
         depth, n = args
         if move == "unroll":
             n = depth - n

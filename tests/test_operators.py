@@ -105,8 +105,7 @@ def test_small_operators():
     for bad in ("unitconvert xy_in=deg xy_out=m", "unitconvert xy_in=parsec", "adapt from=neue", "axisswap order=1,1", "utm zone=61", "nosuch", "curvature", "gravity grs80 welmec", "latitude", "permtide from=mean to=x", "bonne lat_1=0", "lcc lat_1=30 lat_2=-30", "curvature mean inv"):
         with pytest.raises(PipelineError):
             Pipeline(bad)
-    there = Pipeline("adapt from=nwuf_deg to=senf").arrays(55.0, 12.0, 3.0)
-    near(there, -55 * RAD, -12 * RAD, 12 * RAD if False else there.z[0], within=1e-12)
+    near(Pipeline("adapt from=nwuf_deg to=seuf").arrays(55.0, 12.0, 3.0), -55 * RAD, -12 * RAD, 3.0, within=1e-12)
     back = Pipeline("adapt from=nwuf_deg").arrays(55.0, 12.0, 3.0)
     near(back, -12 * RAD, 55 * RAD, 3.0, within=1e-12)
     near(Pipeline("adapt from=nwuf_deg").arrays(back.x, back.y, back.z, 0.0, "inv"), 55, 12, 3, within=1e-12)
