@@ -37,7 +37,7 @@ def rows():
     add("blob k9Qz7TfP2mXw8RbL4vYc6HnJ1sGd3KeA5uZo0Bi and plain words", "en", "c")
     add("This is Under the MIT License. under the mit license", "en", "c")
     add("Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.", "en", "c")
-    add(text(rng, "en", 20000), "en", "big")
+    add(text(rng, "en", 6000), "en", "big")
     out.append(out[0])
     out.append(out[95])
     return out
