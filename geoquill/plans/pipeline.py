@@ -30,6 +30,10 @@ ADAPTORS = {
     "geo:in": "adapt from=neuf_deg", "geo:out": "adapt to=neuf_deg", "gis:in": "adapt from=enuf_deg", "gis:out": "adapt to=enuf_deg",
     "neu:in": "adapt from=neuf", "neu:out": "adapt to=neuf", "enu:in": "adapt from=enuf", "enu:out": "adapt to=enuf",
 }
+#: A filter over a projection is pushed down by writing its columns' expressions out, again and again through every
+#: stage. Pipelines with more named values than this end in a column that isn't deterministic by name (it is always
+#: true), which keeps filters above them; filters on other columns belong before such a pipeline.
+LONG = 8
 STACK = ("push", "pop", "roll", "unroll", "swap", "flip", "drop")
 
 
@@ -141,6 +145,8 @@ class Pipeline:
         c, good = self.run(m, *start, direction=direction)
         good = [wrap(g) for _, g in good]
         every = reduce(lambda a, b: a & b, good, E("true"))
+        if m.count > LONG:
+            every = every & E("(spark_partition_id() >= 0)")
         # a tuple that fails is NaN throughout
         names = [f"if({every.s}, {wrap(v).s}, double('NaN')) AS `{n}`" for v, n in zip(c, into, strict=True)]
         for stage in m.stages:

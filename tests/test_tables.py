@@ -101,6 +101,13 @@ def test_plans_shuffle_nothing(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_filters_on_results_stay_above_long_pipelines(spark):
+    """They would be written out through every stage."""
+    df = spark.range(100).select((F.col("id") * 0.01).alias("lon"), F.lit(0.9).alias("lat"))
+    for condition in ("ok", "x > 0"):
+        assert Pipeline("utm zone=32 | utm zone=32 inv | lcc lat_1=50").transform(df, "lon", "lat").filter(condition).count() > 0
+
+
 def test_factors(spark):
     df = spark.createDataFrame([(9 * RAD, 55 * RAD), (12 * RAD, 55 * RAD)], "lon double, lat double")
     a, b = factors(df, Pipeline("utm zone=32"), "lon", "lat").orderBy("lon").collect()
