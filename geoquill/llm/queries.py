@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
+from . import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, sql, substring, topk
 
 
 def vocabulary_file(name: str) -> str:
@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
