@@ -1,11 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Candidates and queries are dealt into blocks by a hash of their id, and each pair of a candidate block and a query
-block is one bounded task. In a candidate block every dimension has a list of its values in order. For a query the
-lists are read from the end that adds most, a batch of entries of all lists at a time. What was read of a candidate
-gives its partial score; an unread dimension adds at least the least product of its list and at most that of the
-list's reading place: lower and upper bounds. Reading stops when no outsider's upper bound reaches the k-th lower
-bound; the scores of the few candidates left are then resolved, and the blocks' best are merged by query.
+block is one bounded task. A query's score is a sum over groups of GROUP dimensions; in a candidate block every group
+has a list of the partial scores in descending order. The lists are read from their tops, a batch of all lists at a
+time. What was read of a candidate gives its partial score; an unread list adds at least the list's last and at most
+its reading place: lower and upper bounds. Reading stops when few candidates' upper bounds reach the k-th lower bound;
+the scores of those left are then resolved, and the blocks' best are merged by query. Lists are put in order no
+further than they are read.
 
 Ties go to the smaller id, and bounds are compared so that equal scores stay in. Scores are integers.
 
@@ -17,8 +18,6 @@ empty table. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted
 
+GROUP = 8
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -35,46 +35,37 @@ def usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     return vectors.filter(x.isNotNull() & quoted(key).isNotNull() & ~F.exists(x, bad)).select(quoted(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"))
 
 
-def nearest(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, own: int, k: int, order: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query, by sequential reading of the sorted lists. order[:, d] sorts dimension d."""
-    n, dims = matrix.shape
-    used = [d for d in range(dims) if query[d]]
-    # reading order, the value that each list starts and ends with
-    lists = {d: order[::-1, d] if query[d] > 0 else order[:, d] for d in used}
-    least = {d: int(query[d]) * int(matrix[lists[d][-1], d]) for d in used}
-    seen = np.zeros(n, np.int64)  # partial scores
-    low = np.full(n, sum(least.values()), np.int64)
-    left = np.full(n, len(used), np.int64)
+def nearest(ids: np.ndarray, parts: np.ndarray, own: int, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a block for one query; parts[:, g] is the list of group g, by candidate."""
+    n, groups = parts.shape
+    least = parts.min(axis=0)
     live = np.flatnonzero(ids != own)
-    read = 0
-    high = None
-    while read < n and used:
-        upto = min(n, read + step)
-        front = {d: int(query[d]) * int(matrix[lists[d][upto - 1], d]) for d in used}
-        for d in used:
-            rows = lists[d][read:upto]
-            value = query[d] * matrix[rows, d]
-            seen[rows] += value
-            low[rows] += value - least[d]
-            left[rows] -= 1
-        read = upto
-        if len(live) <= k:
-            break
-        # an unread dimension adds its list's reading place at most; the sum over all lists less those read is
-        # bounded from above by the `left` largest places
-        places = np.concatenate(([0], np.cumsum(np.sort(np.array(list(front.values())))[::-1])))
-        high = seen[live] + places[left[live]]
-        edge = np.partition(low[live], len(live) - k)[len(live) - k]
-        live = live[high >= edge]
-        if len(live) <= 4 * k:
+    depth = min(first, n)
+    while groups and len(live) > 8 * k:
+        seen = np.zeros(n, np.int64)  # partial scores
+        lowest, highest = np.full(n, least.sum()), np.zeros(n, np.int64)  # what the unread lists add
+        place = np.empty(groups, np.int64)
+        for g in range(groups):
+            column = parts[:, g]
+            read = np.argpartition(column, n - depth)[n - depth :]
+            value = column[read]
+            place[g] = value.min()
+            seen[read] += value
+            lowest[read] -= least[g]
+            highest[read] -= place[g]
+        highest += place.sum()
+        low = (seen + lowest)[live]
+        edge = np.partition(low, len(live) - k)[len(live) - k]
+        live = live[(seen + highest)[live] >= edge]
+        if depth == n:
             break
-        step *= 2
-    scores = matrix[live] @ query  # resolved
+        depth = min(n, 4 * depth)
+    scores = parts[live].sum(axis=1)  # resolved
     best = np.lexsort((ids[live], -scores))[:k]
     return ids[live][best], scores[best]
 
 
-def block(queries: Iterator[pd.DataFrame] | pd.DataFrame, candidates: pd.DataFrame, k: int, step: int) -> pd.DataFrame:
+def block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, step: int) -> pd.DataFrame:
     out = []
     for size, group in candidates.groupby(candidates["v"].map(len)):
         asked = queries[queries["v"].map(len) == size]
@@ -82,14 +73,16 @@ def block(queries: Iterator[pd.DataFrame] | pd.DataFrame, candidates: pd.DataFra
             continue
         ids = group["id"].to_numpy(np.int64)
         matrix = np.array(group["v"].tolist(), np.int64).reshape(len(ids), size)
-        order = np.argsort(matrix, axis=0, kind="stable")
+        starts = np.arange(0, size, GROUP)
         for own, q in zip(asked["id"], asked["v"], strict=True):
-            best, scores = nearest(ids, matrix, np.asarray(q, np.int64), own, k, order, step)
+            products = matrix * np.asarray(q, np.int64)
+            parts = np.add.reduceat(products, starts, axis=1) if size else np.zeros((len(ids), 0), np.int64)
+            best, scores = nearest(ids, parts, own, k, step)
             out += [(own, int(i), int(s)) for i, s in zip(best, scores, strict=True)]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 8192, query_rows: int = 256, step: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 8192, query_rows: int = 256, step: int = 512) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) for the rows of `vectors` where is_query holds, against all other rows."""
     rows = usable(vectors, key, vector, scale)
     asked = usable(vectors.filter(is_query), key, vector, scale)
