@@ -30,6 +30,7 @@ from .common import quoted, without
 
 WIDTH, ROWS, DELAY, BINS = 192, 64, 10, 16
 CLEAR, END, FULL = 256, 257, 4096
+GREY = bytes(v for b in range(256) for v in (b, b, b))
 
 
 def _widths(size: int, n: int) -> np.ndarray:
@@ -40,35 +41,37 @@ def _widths(size: int, n: int) -> np.ndarray:
 
 
 _WIDTHS = {s: _widths(s, FULL + 8) for s in range(2, 9)}
+_PLACES = {s: np.concatenate(([0], np.cumsum(w))) for s, w in _WIDTHS.items()}
 
 
 def compress(samples: bytes) -> bytes:
     """8-bit samples as an LZW code stream with a clear code at its start and wherever the table is full."""
     table: dict[int, int] = {}
-    free, out, since = END + 1, [CLEAR], [0]
-    prefix = samples[0]
-    count = 0
+    free, out = END + 1, [CLEAR]
+    prefix, put, get = samples[0], out.append, table.get
     for b in samples[1:]:
         k = prefix << 8 | b
-        code = table.get(k)
+        code = get(k)
         if code is not None:
             prefix = code
             continue
-        out.append(prefix)
-        since.append(count)
-        count += 1
+        put(prefix)
         if free < FULL:
             table[k] = free
             free += 1
         else:
-            out.append(CLEAR)
-            since.append(count)
-            table, free, count = {}, END + 1, 0
+            put(CLEAR)
+            table.clear()
+            free = END + 1
         prefix = b
     out += [prefix, END]
-    since += [count, count + 1]
-    codes, widths = np.array(out, np.int64), _WIDTHS[8][np.array(since)]
-    widths[0] = 9
+    codes = np.array(out, np.int64)
+    # how many codes came since the last clear code, which has the width of what would follow
+    at = np.arange(len(codes))
+    clears = np.flatnonzero(codes == CLEAR)
+    since = at - clears[np.searchsorted(clears, at, "left") - 1] - 1
+    since[0] = 0
+    widths = _WIDTHS[8][since]
     ends = np.cumsum(widths)
     places = ends - widths
     values = codes << (places & 7)
@@ -82,23 +85,23 @@ def compress(samples: bytes) -> bytes:
 def expand(data: bytes, size: int, want: int) -> bytes:
     """The samples of an LZW code stream with codes from size + 1 bits on, `want` at most."""
     clear, end = 1 << size, (1 << size) + 1
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    bits = 8 * len(data)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    got, at, widths = 0, 0, _WIDTHS[size]
-    while got < want and at < len(bits):
+    got, at, widths, starts = 0, 0, _WIDTHS[size], _PLACES[size]
+    while got < want and at < bits:
         # codes from here on if no clear code came: their widths depend on their number alone
-        places = at + np.concatenate(([0], np.cumsum(widths)))
-        fit = int(np.searchsorted(places, len(bits), "right")) - 1
+        fit = int(np.searchsorted(starts, bits - at, "right")) - 1
         if fit <= 0:
             break
-        codes = np.zeros(fit, np.int64)
-        for k in range(12):
-            live = widths[:fit] > k
-            codes[live] |= bits[places[:fit][live] + k].astype(np.int64) << k
+        places = at + starts[: fit + 1]
+        first, shift = places[:-1] >> 3, places[:-1] & 7
+        codes = ((padded[first] | padded[first + 1] << 8 | padded[first + 2] << 16) >> shift) & ((1 << widths[:fit]) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         if not len(stop) and fit == len(widths):  # an encoder that goes on with a full table
-            widths = np.concatenate((widths, np.full(len(bits) // 12, 12)))
+            widths = np.concatenate((widths, np.full(bits // 12, 12)))
+            starts = np.concatenate(([0], np.cumsum(widths)))
             continue
         last = int(stop[0]) if len(stop) else fit
         table, old = roots.copy(), b""
@@ -128,8 +131,7 @@ def _blocks(data: bytes) -> bytes:
 def encode_gif(payload: bytes) -> bytes:
     """A payload of whole rows as a GIF; sample b has the colour (b, b, b)."""
     rows = len(payload) // WIDTH
-    grey = bytes(v for b in range(256) for v in (b, b, b))
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), grey]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), GREY]
     for top in range(0, rows, ROWS):
         part = payload[top * WIDTH : (top + ROWS) * WIDTH]
         control = b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY, 0, 0)  # do not dispose, no transparency
@@ -193,9 +195,14 @@ def decode_gif(media: bytes) -> Iterator[dict]:
         before = canvas.copy() if disposal == 3 else None
         seen = grid[: max(0, height - top), : max(0, width - left)]
         view = canvas[top : top + h, left : left + w]
-        drawn = np.ones(seen.shape, bool) if hidden is None else seen != hidden
-        view[drawn, :3] = colours[np.minimum(seen, len(colours) - 1)][drawn]
-        view[drawn, 3] = 255
+        if len(colours) < 256:
+            seen = np.minimum(seen, len(colours) - 1) if hidden is None else np.where(seen == hidden, hidden, np.minimum(seen, len(colours) - 1))
+        painted = np.concatenate((colours, np.full((len(colours), 1), 255, np.uint8)), axis=1)
+        if hidden is None:
+            view[:] = painted[seen]
+        else:
+            drawn = seen != hidden
+            view[drawn] = painted[np.minimum(seen[drawn], len(colours) - 1)]
         yield {"left": left, "top": top, "width": w, "height": h, "start": start, "delay": delay, "samples": grid.tobytes(), "canvas": canvas}
         start += delay
         if disposal == 2:
@@ -207,8 +214,11 @@ def decode_gif(media: bytes) -> Iterator[dict]:
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Counts of visible pixels by 16 levels of each of red, green and blue, 48 numbers."""
-    seen = canvas[canvas[..., 3] > 0][:, :3] >> 4
-    return np.concatenate([np.bincount(seen[:, k], minlength=BINS) for k in range(3)])
+    pixels = canvas.reshape(-1, 4)
+    levels = pixels[:, :3] >> 4
+    if not pixels[:, 3].all():
+        levels = levels[pixels[:, 3] > 0]
+    return np.bincount((levels + np.arange(0, 3 * BINS, BINS, dtype=np.uint8)).ravel(), minlength=3 * BINS)
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
