@@ -41,6 +41,12 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect what it no longer needs; executors then delete the shuffle files of tables that are
+    written. Else these wait for the driver's heap to fill."""
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

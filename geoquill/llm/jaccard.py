@@ -24,6 +24,7 @@ with a null component; an empty table gives an empty table. Only the id and text
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, quoted, shingle_hashes, word_hashes
+from .common import cut, drop, mix64, quoted, release, shingle_hashes, word_hashes
 from .graph import components
 
 BITS = 4096
@@ -190,56 +191,56 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
 
 # -- the join ---------------------------------------------------------------------------------
 
-SETS = "doc_id long, n_shingles long, digest binary, keys array<long>"
+SETS = "doc_id long, n_shingles long, digest binary"
+KEYED = "k long, a long, b long"
 LINKS = "a long, b long"
 
 
-def signatures(docs: DataFrame, n: int, least: int, scale: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, blocking keys) by row."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, digest of the set) by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)
                 sets = [shingle_set(t.as_py(), n) for t in part.column(1)]
-                keys = [block_keys(s, least, scale).view(np.int64) for s in sets]
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), flat], names=["doc_id", "n_shingles", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
 
     return docs.mapInArrow(run, SETS)
 
 
-def stars(sets: DataFrame) -> DataFrame:
-    """(a, b): of the ids that share a key, each with the smallest. Pairs are made within a batch where they can be;
-    only a batch's smallest id of a key goes on, so the second step has a few rows for the largest group."""
+def stars(docs: DataFrame, n: int, least: int, scale: int) -> DataFrame:
+    """(a, b): of the ids (doc_id, text) that share a key, each with the smallest. Pairs are made within a batch where
+    they can be; only a batch's smallest id of a key goes on (b is null), so the second step has a few rows for the
+    largest group."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy()
-            ids = np.repeat(ids, np.diff(lists.offsets.to_numpy()))
+            each = [block_keys(shingle_set(t.as_py(), n), least, scale).view(np.int64) for t in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in each])
+            keys = np.concatenate([*each, np.empty(0, np.int64)])
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
-            new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
             head = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else ids
             found = np.unique(np.stack((head[~new], ids[~new]), axis=1), axis=0)
-            # a pair goes on under a key of its own, marked by b > a; it passes through the next step
-            a = np.concatenate((ids[new], found[:, 0]))
-            b = np.concatenate((ids[new], found[:, 1]))
+            found = found[found[:, 0] != found[:, 1]]
+            # a pair goes on under a key of its own; it passes through the next step
+            a, b = np.concatenate((ids[new], found[:, 0])), np.concatenate((ids[new], found[:, 1]))
             k = np.concatenate((keys[new], mix64(found[:, 1].astype(np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], names=["k", "a", "b"])
+            order = np.argsort(a, kind="stable")  # equal ids next to each other pack well
+            k, a, b = k[order], a[order], b[order]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b, mask=a == b)], names=["k", "a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None  # of the group that runs on into the next batch
         for batch in batches:
-            k, a, b = (batch.column(i).to_numpy() for i in range(3))
+            k, a = (batch.column(i).to_numpy() for i in range(2))
             if not len(k):
                 continue
-            through = a != b
+            through = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            b = batch.column(2).fill_null(0).to_numpy()
             out = [np.stack((a[through], b[through]), axis=1)]
             k, a = k[~through], a[~through]
             if len(k):
@@ -252,7 +253,7 @@ def stars(sets: DataFrame) -> DataFrame:
             pairs = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
 
-    rows = sets.select("doc_id", "keys").mapInArrow(combine, "k long, a long, b long")
+    rows = docs.mapInArrow(combine, KEYED)
     return rows.repartition("k").sortWithinPartitions("k", "a").mapInArrow(scan, LINKS).distinct()
 
 
@@ -261,12 +262,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     by which the row's class was connected. See the module."""
     spark, made = docs.sparkSession, []
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    sets = cut(signatures(rows, n, least, scale), "jaccard-sets", made)
+    sets = cut(signatures(rows, n), "jaccard-sets", made)
     classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"))
     classes = cut(classes, "jaccard-classes", made)
-    one = sets.join(classes, (sets["doc_id"] == classes["representative"]) & (sets["digest"] == classes["digest"]), "left_semi").dropDuplicates(["doc_id"])
     coarse: list[str] = []
-    blocks = components(cut(stars(one), "jaccard-stars", coarse))
+    # one exchange by id serves the join and the removal of rows that repeat an id
+    texts = rows.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    linked_by_key = cut(stars(texts, n, least, scale), "jaccard-stars", coarse)
+    release(spark)
+    blocks = components(linked_by_key)
     sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
     blocks = cut(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "size"), "jaccard-blocks", coarse)
 
@@ -301,6 +305,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield pairs(list(traverse(tree(x.as_py()), tree(y.as_py()), least, scale, Union())))
 
+    release(spark)
     inner = cut(leaves.select("sets").mapInArrow(within, LINKS), "jaccard-links", coarse)
     many = leaves.join(leaves.filter("leaf > 0").select("block").distinct(), "block")
     other = many.select("block", F.col("leaf").alias("leaf2"), F.col("sets").alias("sets2"))
