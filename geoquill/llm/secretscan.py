@@ -97,11 +97,22 @@ def stratum(n: Column) -> Column:
     return reduce(lambda a, edge: a + (n >= edge).cast("int"), STRATA, F.lit(0))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Spans outside the base spans, with their evidence."""
+def blanked(text: Column, base: Column) -> Column:
+    """The text with a space for each code point of the base spans (by start), so that places stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+
+    done = F.aggregate(base, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, done).otherwise(text)
+
+
+def candidates(text: Column) -> Column:
+    """Spans of a text without its base spans, with their evidence."""
     spans = found(text, CANDIDATE, KINDS.index("random"), "random")
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), evidence(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("p")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), evidence(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("p")))
 
 
 def thresholds(found_in: DataFrame, rate: float) -> list[float]:
@@ -133,7 +144,9 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.001, detail: bool
         "__se_hex": found(t, "[0-9a-f]{24,}", 2, "hex"),  # a greedy run is the same with its least length in the pattern
     })
     rows = rows.withColumn("__se_base", F.array_sort(F.concat("__se_assign", "__se_access", "__se_hex")))
-    rows = rows.withColumn("__se_found", F.when(t.rlike(CANDIDATE), candidates(t, F.col("__se_base"))))
+    # what base spans leave of a run is a run of its own
+    rows = rows.withColumn("__se_rest", F.when(t.rlike(CANDIDATE), blanked(t, F.col("__se_base"))))
+    rows = rows.withColumn("__se_found", candidates(F.col("__se_rest")))
     least = thresholds(rows, rate)
 
     def passes(s: Column) -> Column:
