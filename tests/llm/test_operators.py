@@ -76,6 +76,25 @@ def test_compact_windows_hold_every_long_subsequence_once():
         assert (left[0], centre[0], right[0]) == (low, c, high)
 
 
+def test_a_passage_with_one_block_inserted_passes_whole():
+    rng = np.random.default_rng(3)
+    for words, inserted, tail in ((90, 10, 0), (90, 10, 300), (400, 80, 200), (80, 9, 50)):
+        own = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+        passage, block = own(words), own(inserted)
+        x = np.concatenate((own(tail), passage, own(tail)))
+        y = np.concatenate((own(tail), passage[: words // 2], block, passage[words // 2 :], own(tail)))
+        a, b = substring.shingle_hashes(x, 5), substring.shingle_hashes(y, 5)
+        for at in (tail + 3, tail + words - 10):
+            to = at if at < tail + words // 2 else at + inserted
+            (p, q, r, s, jaccard), = substring.verify(a, b, [(at, to)], 46, 0.8)
+            assert (p, q, r, s) == (tail, tail + words - 4, tail, tail + words + inserted - 4) and jaccard >= 0.8
+    # common shingles after the passage, nearer to each other than the inserted block is long, don't split it
+    passage, line = own(90), own(6)
+    x = np.concatenate([passage, *(np.concatenate((line, own(5))) for _ in range(12))])
+    y = np.concatenate([passage[:45], own(10), passage[45:], *(np.concatenate((line, own(5))) for _ in range(12))])
+    assert any(p == 0 and q >= 86 for p, q, *_ in substring.verify(substring.shingle_hashes(x, 5), substring.shingle_hashes(y, 5), [(3, 3)], 46, 0.8))
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
