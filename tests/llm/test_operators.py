@@ -95,6 +95,31 @@ def test_a_passage_with_one_block_inserted_passes_whole():
     assert any(p == 0 and q >= 86 for p, q, *_ in substring.verify(substring.shingle_hashes(x, 5), substring.shingle_hashes(y, 5), [(3, 3)], 46, 0.8))
 
 
+def unlike(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_no_head_hides_a_link(spark):
+    rng = random.Random(11)
+    lines = [unlike(rng, 10) for _ in range(6)]
+    texts = [unlike(rng, 60) + line + unlike(rng, 60) for line in lines for _ in range(2)]
+    passage = sum(lines, [])
+    texts += [unlike(rng, 70) + passage + unlike(rng, 70), unlike(rng, 90) + passage + unlike(rng, 50)]
+    origin, start = unlike(rng, 120), len(texts)
+    v1, v2 = list(origin), list(origin)
+    v1[10:18], v2[95:103] = unlike(rng, 8), unlike(rng, 8)
+    texts += [v1, v2, origin]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring.find(df).collect()
+    assert [(r["peer_id"], r["start_word"], r["end_word"], r["peer_start"], r["peer_end"]) for r in got if r["doc_id"] == 13] == [(12, 90, 150, 70, 130)]
+    assert all(r["doc_id"] >= 13 for r in got)
+    # brute force over whole texts: both variants are linked to their origin, whichever of them comes first
+    sets = [shingles(" ".join(t), 5) for t in (v1, v2, origin)]
+    assert all(len(s & sets[2]) / len(s | sets[2]) >= 0.8 for s in sets[:2]) and len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    whole = {(r["peer_id"], r["doc_id"]) for r in got if r["n_words"] == 120}
+    assert {(start, start + 2), (start + 1, start + 2)} <= whole
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
