@@ -120,6 +120,17 @@ def test_no_head_hides_a_link(spark):
     assert {(start, start + 2), (start + 1, start + 2)} <= whole
 
 
+def test_all_repeats_of_a_passage_are_found(spark):
+    rng = random.Random(12)
+    passage = unlike(rng, 60)
+    once = unlike(rng, 40) + passage + unlike(rng, 40)
+    many = sum((unlike(rng, 30) + passage for _ in range(20)), [])
+    for texts in ((once, many), (many, once)):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        side = ("start_word", "end_word") if texts[1] is many else ("peer_start", "peer_end")
+        assert sorted((r[side[0]], r[side[1]]) for r in substring.find(df).collect()) == [(30 + 90 * k, 90 + 90 * k) for k in range(20)]
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
