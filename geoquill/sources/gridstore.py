@@ -7,6 +7,7 @@ store is a Parquet table partitioned by grid; adding a grid appends, listing rea
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,14 @@ CELLS = "grid_id string, level int, north double, west double, dlat double, dlon
 def cells(spark: SparkSession, grid: Grid, level: int = 0) -> DataFrame:
     """The cells of a grid and its parts; parts have higher levels."""
     n = grid.nodes.astype(float)
-    rows = [
-        (grid.name if not level else f"{grid.name}/{level}", level, grid.north, grid.west, grid.dlat, grid.dlon, grid.rows, grid.columns, i, j, *(n[a, b].tolist() for a, b in ((i, j), (i, j + 1), (i + 1, j), (i + 1, j + 1))))
-        for i in range(grid.rows - 1) for j in range(grid.columns - 1)
-    ]
-    out = spark.createDataFrame(rows, CELLS)
+    i, j = (x.ravel() for x in np.mgrid[: grid.rows - 1, : grid.columns - 1])
+    corner = lambda down, right: pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * grid.bands), pa.array(n[i + down, j + right].ravel()))
+    same = lambda x, kind: pa.repeat(pa.scalar(x, kind), len(i))
+    columns = [same(grid.name if not level else f"{grid.name}/{level}", pa.string()), same(level, pa.int32())]
+    columns += [same(float(x), pa.float64()) for x in (grid.north, grid.west, grid.dlat, grid.dlon)] + [same(x, pa.int32()) for x in (grid.rows, grid.columns)]
+    columns += [pa.array(x.astype(np.int32)) for x in (i, j)] + [corner(*x) for x in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    # from arrays: the driver holds the grid as it was read, but no row of Python objects for each cell
+    out = spark.createDataFrame(pa.table(columns, names=[x.split()[0] for x in CELLS.split(", ")]))
     for part in grid.parts:
         out = out.unionByName(cells(spark, part, level + 1))
     return out
@@ -41,13 +45,21 @@ def place(c: Column, origin: Column, step: Column, count: Column) -> Column:
     return F.least(F.greatest(F.floor((c - origin) / step), F.lit(0)), count - 2).cast("int")
 
 
-def lookup(points: DataFrame, table: DataFrame, lon: str, lat: str, bands: int, name: str = "v") -> DataFrame:
-    """Points (radians) within one grid of one level, with bilinear values v1, v2, ...; points outside are left out.
-    The grid's extent is a row; the cells are joined by row and column, so a fine grid may be of any size."""
-    heads = table.select("grid_id", "north", "west", "dlat", "dlon", "rows", "cols").distinct()
+def lookup(points: DataFrame, table: DataFrame, lon: str, lat: str, bands: int, name: str = "v", order: tuple[str, ...] = ()) -> DataFrame:
+    """Points (radians) within any grid of the table, with bilinear values v1, v2, ...; points outside all are left
+    out. Of several grids around a point, those named in `order` (grid ids) go first, then the highest level, then the
+    smallest id; parts don't own their north and east borders. The cells are joined by grid, row and column."""
     x, y = F.col(lon), F.col(lat)
-    # the extents are a handful of rows: one for each grid asked for
-    placed = points.join(F.broadcast(heads.limit(1)), (x >= F.col("west") - 1e-12) & (x <= F.col("west") + (F.col("cols") - 1) * F.col("dlon") + 1e-12) & (y <= F.col("north") + 1e-12) & (y >= F.col("north") - (F.col("rows") - 1) * F.col("dlat") - 1e-12))
+    rank = F.coalesce(*[F.when(F.col("grid_id") == g, F.lit(k)) for k, g in enumerate(order)], F.lit(len(order)))
+    # the extents are one row, with an item for each grid
+    heads = table.select(F.struct(rank.alias("rank"), (-F.col("level")).alias("over"), "grid_id", "north", "west", "dlat", "dlon", "rows", "cols").alias("g")).distinct().agg(F.collect_list("g").alias("__grids"))
+
+    def around(g: Column) -> Column:
+        border = F.when(g["over"] < 0, F.lit(-1e-12)).otherwise(F.lit(1e-12))
+        east, south = g["west"] + (g["cols"] - 1) * g["dlon"], g["north"] - (g["rows"] - 1) * g["dlat"]
+        return (x >= g["west"] - 1e-12) & (x <= east + border) & (y <= g["north"] + border) & (y >= south - 1e-12)
+
+    placed = points.crossJoin(F.broadcast(heads)).withColumn("__grid", F.array_min(F.filter("__grids", around))).filter("__grid is not null").select(*points.columns, "__grid.*")
     placed = placed.withColumn("row", place(-y, -F.col("north"), F.col("dlat"), F.col("rows"))).withColumn("col", place(x, F.col("west"), F.col("dlon"), F.col("cols")))
     corners = table.select("grid_id", "row", "col", "nw", "ne", "sw", "se")
     found = placed.join(corners, ["grid_id", "row", "col"])
