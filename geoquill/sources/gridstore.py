@@ -48,7 +48,7 @@ def place(c: Column, origin: Column, step: Column, count: Column) -> Column:
 def lookup(points: DataFrame, table: DataFrame, lon: str, lat: str, bands: int, name: str = "v", order: tuple[str, ...] = ()) -> DataFrame:
     """Points (radians) within any grid of the table, with bilinear values v1, v2, ...; points outside all are left
     out. Of several grids around a point, those named in `order` (grid ids) go first, then the highest level, then the
-    smallest id; parts don't own their north and east borders. The cells are joined by grid, row and column."""
+    smallest id; parts don't own their north and east borders. The cells are joined by grid, extent, row and column."""
     x, y = F.col(lon), F.col(lat)
     rank = F.coalesce(*[F.when(F.col("grid_id") == g, F.lit(k)) for k, g in enumerate(order)], F.lit(len(order)))
     # the extents are one row, with an item for each grid
@@ -61,8 +61,8 @@ def lookup(points: DataFrame, table: DataFrame, lon: str, lat: str, bands: int,
 
     placed = points.crossJoin(F.broadcast(heads)).withColumn("__grid", F.array_min(F.filter("__grids", around))).filter("__grid is not null").select(*points.columns, "__grid.*")
     placed = placed.withColumn("row", place(-y, -F.col("north"), F.col("dlat"), F.col("rows"))).withColumn("col", place(x, F.col("west"), F.col("dlon"), F.col("cols")))
-    corners = table.select("grid_id", "row", "col", "nw", "ne", "sw", "se")
-    found = placed.join(corners, ["grid_id", "row", "col"])
+    same = ["grid_id", "north", "west", "dlat", "dlon", "row", "col"]  # parts may share a name
+    found = placed.join(table.select(*same, "nw", "ne", "sw", "se"), same)
     u = (x - F.col("west")) / F.col("dlon") - F.col("col")
     v = (F.col("north") - y) / F.col("dlat") - F.col("row")
     value = lambda k: (1 - v) * ((1 - u) * F.col("nw")[k] + u * F.col("ne")[k]) + v * ((1 - u) * F.col("sw")[k] + u * F.col("se")[k])

@@ -153,10 +153,11 @@ def test_store_of_several_grids(spark):
     flat = lambda value, rows=5, cols=5: np.full((rows, cols, 1), float(value))
     north = gridstore.as_grid(flat(1), 60.0, 0.0, 1.0, "north")
     north.parts.append(gridstore.as_grid(flat(2, 3, 3), 59.0, 1.0, 0.5, "fine"))
+    north.parts.append(gridstore.as_grid(flat(4, 3, 3), 58.0, 2.0, 0.5, "fine"))  # another part of that name
     south = gridstore.as_grid(flat(3), 57.0, 3.0, 1.0, "south")
     table = gridstore.cells(spark, north).unionByName(gridstore.cells(spark, south))
-    at = [(0.5, 59.5), (1.5, 58.5), (3.5, 56.5), (6.5, 53.5), (2.0, 58.5), (1.5, 59.0), (1.0, 58.0), (9.0, 59.0)]
+    at = [(0.5, 59.5), (1.5, 58.5), (3.5, 56.5), (6.5, 53.5), (2.0, 58.5), (1.5, 59.0), (1.0, 58.0), (9.0, 59.0), (2.5, 57.5)]
     points = spark.createDataFrame([(i, *np.radians(p).tolist()) for i, p in enumerate(at)], "i long, lon double, lat double")
     found = lambda **k: {r["i"]: round(r["v1"], 9) for r in gridstore.lookup(points, table, "lon", "lat", 1, **k).collect()}
-    assert found() == {0: 1, 1: 2, 2: 1, 3: 3, 4: 1, 5: 1, 6: 2}
-    assert found(order=("south", "north")) == {0: 1, 1: 1, 2: 3, 3: 3, 4: 1, 5: 1, 6: 1}
+    assert found() == {0: 1, 1: 2, 2: 1, 3: 3, 4: 1, 5: 1, 6: 2, 8: 4}
+    assert found(order=("south", "north")) == {0: 1, 1: 1, 2: 3, 3: 3, 4: 1, 5: 1, 6: 1, 8: 1}
