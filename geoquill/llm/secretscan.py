@@ -117,7 +117,8 @@ def candidates(text: Column) -> Column:
 
 def thresholds(found_in: DataFrame, rate: float) -> list[float]:
     """By stratum of length, the least evidence that Benjamini-Hochberg accepts; from at most 3 * BINS counts."""
-    flat = found_in.select(F.explode("__se_found").alias("s"))
+    # outer: else a filter on the array goes down and writes its expression out through every stage
+    flat = found_in.select(F.explode_outer("__se_found").alias("s")).filter("s is not null")
     counts = flat.groupBy(stratum(F.col("s.end") - F.col("s.start")).alias("k"), F.least(F.lit(BINS - 1), F.floor(F.coalesce("s.p", F.lit(0.0)) / STEP)).cast("int").alias("b")).count().collect()
     out = []
     for k in range(len(STRATA) + 1):
