@@ -15,22 +15,35 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster for cut lineage; one of our own only where none is set (tests)."""
+    """The shared folder of the cluster for cut lineage. One of our own only for a session within one machine (tests);
+    on a cluster it must be set, for executors don't share local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geoquill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later stages depend on files, not on lost executors,
-    and the planner knows its true size. The path is added to `made`."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    and the planner knows its true size. Shuffle files of the plan, which runs once, go when the table is written.
+    The path is added to `made`."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if made is not None:
         made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -41,12 +54,6 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect what it no longer needs; executors then delete the shuffle files of tables that are
-    written. Else these wait for the driver's heap to fill."""
-    spark._jvm.System.gc()
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of (a, b) links; the component is its smallest node.
+def components(links: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """(node, component) for the nodes of (a, b) links; the component is its smallest node. The path of the table that
+    the result reads is added to `kept`.
 
     Each round every node takes the smallest label among its neighbours, and each label is replaced by its own label
     (pointer jumping), so chains shrink by a power in each round. Sums over neighbours are combined before the
@@ -35,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         labels, old = fresh, new
         if not changed:
             drop(spark, made)
+            if kept is not None:
+                kept += old
             return labels.withColumnRenamed("label", "component")

@@ -3,23 +3,31 @@
 A document's set holds the hashes of its distinct n-word shingles. Two documents link when
 scale * |A and B| >= least * |A or B|. Stages:
 
-1. Equal sets are one class, with the smallest document id as representative (copies are never paired).
-2. Blocking, exact. Sizes are in classes of ratio 3/2. A pair that links has at most d differing shingles, d by the
-   largest sizes of the class. The hash space is split into more than d parts, so some part is the same in both sets:
-   a class's digests of non-empty parts are its keys. (Parts that are empty in both don't tell; there are `slack`
-   more parts than needed, and only pairs in which both sets have more empty parts than that can have no filled part
-   in common: such sets, small ones, also have keys from their least hashes, by the prefix filter.) Sets that share
-   a key are joined to the key's smallest id - first within each Arrow batch, so that a key with very many sets
-   sends few rows - and connected components of that are blocks: every linking pair lies in one block.
-3. Signature trees. A block's sets are dealt into leaves of bounded size; a leaf holds bitmaps of its sets, under
-   nodes with the bitmaps' union and the range of sizes. A traversal of two trees drops node pairs whose greatest
-   possible overlap is too small and pairs that are connected already, and verifies the rest on the sets. Leaves of
-   one block meet pairwise as rows of a table, so that no block is ever in one task.
-4. Components of the links, and membership of copies.
-
-Rows keep their id; equal ids stand for one node. Edge cases: null or wordless text has an empty set, is linked with
-nothing and is its own component; fewer than n words: the whole sequence is one shingle; rows with a null id are kept
-with a null component; an empty table gives an empty table. Only the id and text are read: extra columns don't clash.
+1. Equal sets are one class, a node of its own number; its representative is the smallest document id (copies are
+   never paired).
+2. Routing, exact: which sets may meet at all. Sizes are in classes of ratio 3/2. A pair that links has at most d
+   differing shingles, d by the largest sizes of the class. The hash space is split into more than d parts, so some
+   part is the same in both sets: a class's digests of non-empty parts are its keys. (Parts that are empty in both
+   don't tell; there are `slack` more parts than needed, and only pairs in which both sets have more empty parts than
+   that can have no filled part in common: such sets, small ones, also have keys from their least hashes, by the
+   prefix filter.) Connected components of "shares a key" are blocks: every linking pair lies in one block. Batches
+   and partitions pass on spanning forests only.
+3. Signature trees. A block's sets are dealt into leaf tables bounded in sets and in shingles. A leaf's tree has nodes
+   with the OR of their children's bitmaps and the range of their sizes, FAN children each; the leaves of a block hang
+   under further nodes of the same kind, as tables by level. A dual traversal goes down from pairs of roots, and drops
+   node pairs whose greatest possible overlap can't link, and pairs within one component; what is left of set pairs is
+   verified on the sets.
+4. Order of traversal: each leaf with itself and with one leaf of its block, which joins most of what links. Sets are
+   then dealt again by the components found, and the trees of the block are traversed level by level; node pairs of
+   one component fall at the top, pruned leaf pairs ship no sets. Links are spanning links: a pair that is connected
+   already is skipped, so their number stays near that of the sets.
+5. Components of the links, and membership of copies.
+
+Nodes are texts' sets, not ids: rows that repeat an id with another text have that text's links. component_id is the
+smallest id of any row reachable by links. Edge cases: null or wordless text has an empty set, is linked with nothing
+and is its own component; fewer than n words: the whole sequence is one shingle; rows with a null id are kept with a
+null component and link nothing; an empty table gives an empty table. Only the id and text are read: extra columns
+don't clash. Two texts of one id whose 64-bit hashes agree would count as one.
 """
 
 from __future__ import annotations
@@ -34,11 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, quoted, release, shingle_hashes, word_hashes
+from .common import cut, drop, mix64, quoted, shingle_hashes, word_hashes
 from .graph import components
 
+#: Bits of a node's bitmap; sets and shingles of a leaf on average; children of a node.
 BITS = 4096
-LEAF, FAN = 256, 16
+LEAF, LEAF_SHINGLES, FAN = 256, 1 << 17, 8
+#: A component of so many sets of a block has leaves of its own; leaves under a node of the table.
+OWN, TRUNK = 64, 32
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -116,25 +127,56 @@ def linked(a: int, b: int, both: int, least: int, scale: int) -> bool:
 # -- signature trees --------------------------------------------------------------------------
 
 
+def popcount(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1).astype(np.int64)
+
+
+class Level:
+    """Nodes of one height: bitmaps, ranges of sizes, most shingles that share a bit with another of their set, and
+    the component of all sets below (-1 if there are several)."""
+
+    def __init__(self, bits: np.ndarray, least: np.ndarray, most: np.ndarray, more: np.ndarray, label: np.ndarray):
+        self.bits, self.least, self.most, self.more, self.label = bits, least, most, more, label
+
+    def __len__(self) -> int:
+        return len(self.least)
+
+    def above(self) -> Level:
+        """The nodes over runs of FAN nodes."""
+        first = np.arange(0, len(self), FAN)
+        low, high = np.minimum.reduceat(self.label, first), np.maximum.reduceat(self.label, first)
+        return Level(np.bitwise_or.reduceat(self.bits, first, axis=0), np.minimum.reduceat(self.least, first), np.maximum.reduceat(self.most, first), np.maximum.reduceat(self.more, first), np.where(low == high, low, -1))
+
+
+def may_link(x: Level, i: np.ndarray, y: Level, j: np.ndarray, least: int, scale: int) -> np.ndarray:
+    """Which node pairs can hold a link between components: by component, sizes and greatest possible overlap (common
+    bits and what may share a bit)."""
+    ok = (x.label[i] != y.label[j]) | (x.label[i] < 0)
+    ok &= (least * x.least[i] <= scale * y.most[j]) & (least * y.least[j] <= scale * x.most[i])
+    at = np.flatnonzero(ok)
+    for first in range(0, len(at), 8192):
+        k = at[first : first + 8192]
+        bound = popcount(x.bits[i[k]] & y.bits[j[k]]) + np.minimum(x.more[i[k]], y.more[j[k]])
+        ok[k] = (scale + least) * bound >= least * (x.least[i[k]] + y.least[j[k]])
+    return ok
+
+
 class Tree:
-    """A leaf's sets under nodes of up to FAN: bitmaps' unions and ranges of sizes."""
+    """A leaf table's sets under nodes up to one root."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    def __init__(self, ids: list[int], sets: list[np.ndarray], labels: list[int] | None = None):
+        labels = ids if labels is None else labels
+        order = sorted(range(len(ids)), key=lambda i: (labels[i] if labels is not ids else 0, len(sets[i]), ids[i]))
         self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets])
+        self.labels = np.array([labels[i] for i in order], np.int64)
+        sizes = np.array([len(s) for s in self.sets], np.int64)
         bits = np.zeros((len(ids), BITS), bool)
         for i, s in enumerate(self.sets):
             bits[i, (s % np.uint64(BITS)).astype(np.int64)] = True
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
-        # set shingles that share a bit with another of the same set count beside the bitmap
-        self.extra = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        starts = range(0, len(ids), FAN)
-        self.nodes = [(i, min(i + FAN, len(ids))) for i in starts]
-        self.union = np.array([np.bitwise_or.reduce(self.bits[a:b], axis=0) for a, b in self.nodes])
-        self.least = np.array([self.sizes[a:b].min() for a, b in self.nodes])
-        self.most = np.array([self.sizes[a:b].max() for a, b in self.nodes])
-        self.more = np.array([self.extra[a:b].max() for a, b in self.nodes])
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        self.levels = [Level(packed, sizes, sizes, sizes - popcount(packed), self.labels)]
+        while len(self.levels[-1]) > 1:
+            self.levels.append(self.levels[-1].above())
 
 
 class Union:
@@ -152,66 +194,110 @@ class Union:
         self.up[b] = a
 
 
+def descend(x: Tree, y: Tree, least: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set pairs (each once where x is y) that are left of a dual traversal from the roots."""
+    high, low = len(x.levels) - 1, len(y.levels) - 1
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while True:
+        ok = may_link(x.levels[high], i, y.levels[low], j, least, scale)
+        i, j = i[ok], j[ok]
+        if not high and not low:
+            return (i[i < j], j[i < j]) if x is y else (i, j)
+        step = np.arange(FAN)
+        if high >= low:  # the taller side goes down; of one tree both do
+            i, j = (i[:, None] * FAN + step).ravel(), np.repeat(j, FAN)
+            high -= 1
+            ok = i < len(x.levels[high])
+            i, j = i[ok], j[ok]
+        if low > high or (x is y):
+            i, j = np.repeat(i, FAN), (j[:, None] * FAN + step).ravel()
+            low -= 1
+            ok = j < len(y.levels[low])
+            i, j = i[ok], j[ok]
+        if x is y:
+            i, j = i[i <= j], j[i <= j]
+
+
 def traverse(x: Tree, y: Tree, least: int, scale: int, seen: Union) -> Iterator[tuple[int, int]]:
     """Links between the sets of two trees (or of one with itself) that join what isn't connected yet."""
-    need = lambda a, b: least * (a + b) / (scale + least)  # noqa: E731  least overlap of sets of sizes a, b
-    for i, (a, b) in enumerate(x.nodes):
-        # greatest possible overlap of node pairs: common bits and what shares bits, or the smaller size
-        bound = np.bitwise_count(x.union[i] & y.union).sum(axis=1).astype(np.int64) + np.minimum(x.more[i], y.more)
-        fits = (bound >= need(x.least[i], y.least)) & (least * x.least[i] <= scale * y.most) & (least * y.least <= scale * x.most[i])
-        for j in np.flatnonzero(fits):
-            if x is y and j < i:
-                continue
-            c, d = y.nodes[j]
-            over = np.bitwise_count(x.bits[a:b, None] & y.bits[None, c:d]).sum(axis=2).astype(np.int64) + np.minimum(x.extra[a:b, None], y.extra[None, c:d])
-            possible = over >= need(x.sizes[a:b, None], y.sizes[None, c:d]) - 1e-9
-            at = [(a + int(p), c + int(q)) for p, q in zip(*np.nonzero(possible), strict=True)]
-            at = [(p, q) for p, q in at if (x is not y or q > p) and seen.find(x.ids[p]) != seen.find(y.ids[q])]
-            shared = overlaps(x.sets[a:b], y.sets[c:d]) if len(at) > 8 else None
-            for p, q in at:
-                if seen.find(x.ids[p]) == seen.find(y.ids[q]):
-                    continue
-                both = len(np.intersect1d(x.sets[p], y.sets[q], assume_unique=True)) if shared is None else shared[p - a, q - c]
-                if linked(len(x.sets[p]), len(y.sets[q]), int(both), least, scale):
-                    seen.join(x.ids[p], y.ids[q])
-                    yield x.ids[p], y.ids[q]
-
-
-def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of two short lists of sets, by a matrix over the shingles of the first."""
-    known = np.unique(np.concatenate(xs))
-    left, right = np.zeros((len(xs), len(known)), np.float32), np.zeros((len(ys), len(known)), np.float32)
-    for i, s in enumerate(xs):
-        left[i, np.searchsorted(known, s)] = 1
-    for i, s in enumerate(ys):
+    i, j = descend(x, y, least, scale)
+    while len(i):
+        left = np.array([seen.find(v) for v in x.labels.tolist()])
+        right = left if x is y else np.array([seen.find(v) for v in y.labels.tolist()])
+        apart = left[i] != right[j]
+        i, j = i[apart], j[apart]
+        p, q = i[:512], j[:512]
+        i, j = i[512:], j[512:]
+        if not len(p):
+            return
+        rows, p = np.unique(p, return_inverse=True)
+        columns, q = np.unique(q, return_inverse=True)
+        shared = overlaps([x.sets[k] for k in rows], [y.sets[k] for k in columns], p, q)
+        for a, b, both in zip(rows[p].tolist(), columns[q].tolist(), shared.tolist(), strict=True):
+            if linked(len(x.sets[a]), len(y.sets[b]), both, least, scale) and seen.find(int(x.labels[a])) != seen.find(int(y.labels[b])):
+                seen.join(int(x.labels[a]), int(y.labels[b]))
+                yield x.ids[a], y.ids[b]
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of xs[p] and ys[q] by marks over the shingles of the first."""
+    if len(p) < 4 * (len(xs) + len(ys)) // 3:
+        return np.array([len(np.intersect1d(xs[a], ys[b], assume_unique=True)) for a, b in zip(p.tolist(), q.tolist(), strict=True)])
+    known, where = np.unique(np.concatenate(xs), return_inverse=True)
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    right = []
+    for s in ys:
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        right[i, at[known[at] == s]] = 1
-    return left @ right.T
+        right.append(at[known[at] == s])
+    ends = np.cumsum([len(s) for s in xs])
+    mark = np.zeros(len(known), bool)
+    for k, s in enumerate(xs):
+        mine = where[ends[k] - len(s) : ends[k]]
+        mark[mine] = True
+        for b in np.unique(q[p == k]).tolist():
+            out[k, b] = np.count_nonzero(mark[right[b]])
+        mark[mine] = False
+    return out[p, q]
 
 
 # -- the join ---------------------------------------------------------------------------------
 
-SETS = "doc_id long, n_shingles long, digest binary"
+SETS = "doc_id long, h long, n_shingles long, digest binary"
 KEYED = "k long, a long, b long"
 LINKS = "a long, b long"
+NODE = "size long, least long, most long, more long, label long, bits binary"
+
+
+def batch_of(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in columns.values()], names=list(columns))
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Rows (a, b) that span the same components."""
+    seen, keep = Union(), np.zeros(len(pairs), bool)
+    for k, (a, b) in enumerate(pairs.tolist()):
+        if seen.find(a) != seen.find(b):
+            seen.join(a, b)
+            keep[k] = True
+    return pairs[keep]
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set) by row."""
+    """(doc_id, h, n_shingles, digest of the set) by row of (doc_id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)
-                sets = [shingle_set(t.as_py(), n) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
+                sets = [shingle_set(t.as_py(), n) for t in part.column(2)]
+                yield batch_of({"doc_id": part.column(0), "h": part.column(1), "n_shingles": [len(s) for s in sets], "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())})
 
     return docs.mapInArrow(run, SETS)
 
 
-def stars(docs: DataFrame, n: int, least: int, scale: int) -> DataFrame:
-    """(a, b): of the ids (doc_id, text) that share a key, each with the smallest. Pairs are made within a batch where
-    they can be; only a batch's smallest id of a key goes on (b is null), so the second step has a few rows for the
+def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
+    """(a, b) that span the components of "shares a key", of (node, text). Pairs are made within a batch where they
+    can be; only a batch's smallest node of a key goes on (b is null), so the second step has a few rows for the
     largest group."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +311,13 @@ def stars(docs: DataFrame, n: int, least: int, scale: int) -> DataFrame:
             new[1:] = keys[1:] != keys[:-1]
             head = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else ids
             found = np.unique(np.stack((head[~new], ids[~new]), axis=1), axis=0)
-            found = found[found[:, 0] != found[:, 1]]
+            found = forest(found[found[:, 0] != found[:, 1]])
             # a pair goes on under a key of its own; it passes through the next step
             a, b = np.concatenate((ids[new], found[:, 0])), np.concatenate((ids[new], found[:, 1]))
             k = np.concatenate((keys[new], mix64(found[:, 1].astype(np.uint64)).view(np.int64)))
             order = np.argsort(a, kind="stable")  # equal ids next to each other pack well
             k, a, b = k[order], a[order], b[order]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b, mask=a == b)], names=["k", "a", "b"])
+            yield batch_of({"k": k, "a": a, "b": pa.array(b, mask=a == b)})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None  # of the group that runs on into the next batch
@@ -250,70 +336,188 @@ def stars(docs: DataFrame, n: int, least: int, scale: int) -> DataFrame:
                 mine = np.where(at >= 0, heads[np.maximum(at, 0)] if len(heads) else head, head if head is not None else 0)
                 out.append(np.stack((mine, a), axis=1)[mine != a])
                 key, head = k[-1], mine[-1]
-            pairs = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
+            pairs = forest(np.unique(np.concatenate(out), axis=0))
+            yield batch_of({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
 
-    rows = docs.mapInArrow(combine, KEYED)
+    rows = texts.mapInArrow(combine, KEYED)
     return rows.repartition("k").sortWithinPartitions("k", "a").mapInArrow(scan, LINKS).distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, least: int = 90, scale: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, representative) by row of docs; n_links counts the verified links
-    by which the row's class was connected. See the module."""
-    spark, made = docs.sparkSession, []
-    rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    sets = cut(signatures(rows, n), "jaccard-sets", made)
-    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"))
-    classes = cut(classes, "jaccard-classes", made)
-    coarse: list[str] = []
-    # one exchange by id serves the join and the removal of rows that repeat an id
-    texts = rows.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    linked_by_key = cut(stars(texts, n, least, scale), "jaccard-stars", coarse)
-    release(spark)
-    blocks = components(linked_by_key)
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = cut(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "size"), "jaccard-blocks", coarse)
+def planted(items, nodes: str = "node", labels: str | None = None) -> Tree:
+    """The tree of a leaf's rows."""
+    return Tree([x[nodes] for x in items], [np.frombuffer(x["shingles"], np.uint64) for x in items], [x[labels] for x in items] if labels else None)
 
-    # leaves: the sets of a block's members, made again from their texts
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.slice(first, 1000)
-                sets = [shingle_set(t.as_py(), n).tobytes() for t in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["doc_id", "block", "leaf", "shingles"])
 
-    leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / LEAF)).cast("long")
-    held = rows.join(blocks, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", leaf.alias("leaf"), "text")
-    held = held.mapInArrow(members, "doc_id long, block long, leaf long, shingles binary")
-    leaves = held.groupBy("block", "leaf").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("sets"))
-    leaves = cut(leaves, "jaccard-leaves", coarse)
+def found(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return batch_of({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
 
-    def tree(items) -> Tree:
-        return Tree([x["doc_id"] for x in items], [np.frombuffer(x["shingles"], np.uint64) for x in items])
 
-    def pairs(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+def first_links(leaves: DataFrame, least: int, scale: int) -> DataFrame:
+    """Links within leaves, and between a block's leaves and its leaf 0."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets in batch.column(0):
-                t = tree(sets.as_py())
-                yield pairs(list(traverse(t, t, least, scale, Union())))
+                t = planted(sets.as_py())
+                yield found(list(traverse(t, t, least, scale, Union())))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                yield pairs(list(traverse(tree(x.as_py()), tree(y.as_py()), least, scale, Union())))
-
-    release(spark)
-    inner = cut(leaves.select("sets").mapInArrow(within, LINKS), "jaccard-links", coarse)
-    many = leaves.join(leaves.filter("leaf > 0").select("block").distinct(), "block")
-    other = many.select("block", F.col("leaf").alias("leaf2"), F.col("sets").alias("sets2"))
-    outer = many.join(other, "block").filter("leaf < leaf2").select("sets", "sets2").mapInArrow(across, LINKS)
-    links = cut(inner.union(outer), "jaccard-links", made)
-    groups = components(links).withColumnsRenamed({"node": "representative", "component": "component_id"})
-    drop(spark, coarse)
-    counts = links.union(links.select("b", "a")).groupBy(F.col("a").alias("representative")).agg(F.count("*").alias("n_links"))
-    classes = cut(classes.join(groups, "representative", "left").join(counts, "representative", "left"), "jaccard-classes", made)
-    out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "representative", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("representative", "doc_id").alias("representative"))
+                yield found(list(traverse(planted(x.as_py()), planted(y.as_py()), least, scale, Union())))
+
+    # leaf 0 goes to groups of TRUNK leaves, so a block of very many leaves spreads over tasks
+    run = F.floor(F.col("leaf") / TRUNK)
+    hub = leaves.filter("leaf = 0 and leaves > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("leaves") - 1) / TRUNK))).alias("run"), "sets")
+    other = leaves.filter("leaf > 0").select("block", run.alias("run"), F.col("sets").alias("sets2"))
+    return leaves.select("sets").mapInArrow(within, LINKS).union(hub.join(other, ["block", "run"]).select("sets", "sets2").mapInArrow(across, LINKS))
+
+
+def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """Nodes over `children`, an array of nodes, by row; beside the key columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                out = []
+                for children in part.column(len(keys)):
+                    c = children.as_py()
+                    bits = np.bitwise_or.reduce([np.frombuffer(x["bits"], np.uint64) for x in c], axis=0)
+                    labels = {x["label"] for x in c}
+                    out.append((sum(x["size"] for x in c), min(x["least"] for x in c), max(x["most"] for x in c), max(x["more"] for x in c), labels.pop() if len(labels) == 1 else -1, bits.tobytes()))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield batch_of({**dict(zip(keys, part.columns, strict=False)), **dict(zip(("size", "least", "most", "more", "label"), columns, strict=False)), "bits": pa.array(columns[5], pa.binary())})
+
+    return groups.mapInArrow(run, schema)
+
+
+NODES = ("least", "most", "more", "label", "bits")
+PLACE = ["block", "part", "leaf"]
+
+
+def kept_pairs(pairs: DataFrame, least: int, scale: int) -> DataFrame:
+    """Of rows (block, part, leaf, part2, leaf2, and both sides' nodes) those that may link."""
+
+    def side(batch: pa.RecordBatch, mark: str) -> Level:
+        column = lambda c: batch.column(batch.schema.get_field_index(c + mark))
+        bits = np.frombuffer(b"".join(column("bits").to_pylist()), np.uint64).reshape(len(batch), -1)
+        return Level(bits, *[column(c).to_numpy() for c in NODES[:-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 2048):
+                part = batch.slice(first, 2048)
+                at = np.arange(len(part))
+                ok = may_link(side(part, ""), at, side(part, "2"), at, least, scale) if len(part) else np.zeros(0, bool)
+                yield part.select([*PLACE, "part2", "leaf2"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(run, "block long, part long, leaf long, part2 long, leaf2 long")
+
+
+def marked(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumnsRenamed({c: c + "2" for c in nodes.columns if c != "block"})
+
+
+def further_links(leaves: DataFrame, links: DataFrame, least: int, scale: int, made: list[str]) -> DataFrame:
+    """Links between components of the links so far, of blocks with several leaves, by dual traversal of block trees."""
+    labels = components(links, made)
+    sets = leaves.filter("leaves > 1").select("block", F.explode("sets").alias("s")).select("block", "s.*")
+    sets = sets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    shares = sets.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("m"))
+    shares = shares.withColumn("part", F.when(F.col("n") >= OWN, F.col("label")).otherwise(-1))
+    fill = F.ceil(F.greatest(F.sum("n") / LEAF, F.sum("m") / LEAF_SHINGLES)).cast("long")
+    parts = shares.groupBy("block", "part").agg(fill.alias("fill"))
+    # sets by a component of their own, and all others of the block
+    placed = sets.join(cut(shares.join(parts, ["block", "part"]).select("block", "label", "part", "fill"), "jaccard-parts", made), ["block", "label"])
+    placed = placed.withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("fill")))
+    grown = placed.groupBy(*PLACE).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("sets"))
+    grown = cut(grown, "jaccard-grown", made)
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                top = planted(row.column(3)[0].as_py(), labels="label").levels[-1]
+                yield batch_of({**dict(zip(PLACE, row.columns, strict=False)), "size": [1], "least": top.least, "most": top.most, "more": top.more, "label": top.label, "bits": pa.array([top.bits[0].tobytes()], pa.binary())})
+
+    key = "block long, part long, leaf long, "
+    levels = [cut(grown.mapInArrow(roots, key + NODE), "jaccard-nodes", made)]
+    while (levels[-1].agg(F.max("leaf")).first()[0] or 0) >= TRUNK:
+        node = F.struct("size", *NODES).alias("node")
+        groups = levels[-1].groupBy("block", "part", F.floor(F.col("leaf") / TRUNK).alias("leaf")).agg(F.collect_list(node).alias("children"))
+        levels.append(cut(summed(groups, PLACE, key + NODE), "jaccard-nodes", made))
+    top = levels.pop().drop("size")
+    place = lambda mark: F.struct(F.col("part" + mark), F.col("leaf" + mark))
+    ordered = "part < part2 or (part = part2 and leaf <= leaf2)"
+    # roots of one component don't meet
+    both = top.join(marked(top), "block").filter(ordered).filter("part <> part2 or part = -1")
+    pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
+    while levels:
+        below = levels.pop().drop("size").withColumn("up", F.floor(F.col("leaf") / TRUNK))
+        up = pairs.withColumnsRenamed({"leaf": "up", "leaf2": "up2"})
+        both = up.join(below, ["block", "part", "up"]).drop("up").join(marked(below).withColumnRenamed("up2", "up2"), ["block", "part2", "up2"]).filter(ordered)
+        pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, seen = None, Union()  # the second side's rows come together; what they joined stays known
+        for batch in batches:
+            for k in range(len(batch)):
+                key = [batch.column(c)[k].as_py() for c in range(3)]
+                if key != mine:
+                    mine, seen, y = key, Union(), planted(batch.column(4)[k].as_py(), labels="label")
+                x = planted(batch.column(3)[k].as_py(), labels="label")
+                yield found(list(traverse(x, y, least, scale, seen)))
+
+    other = pairs.filter(place("") != place("2"))
+    first = other.join(grown, PLACE)
+    second = grown.select("block", F.col("part").alias("part2"), F.col("leaf").alias("leaf2"), F.col("sets").alias("sets2"))
+    return first.join(second, ["block", "part2", "leaf2"]).select("block", "part2", "leaf2", "sets", "sets2").mapInArrow(across, LINKS)
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, least: int = 90, scale: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, representative, h, component_h) by row of docs; n_links counts the
+    verified links by which the row's class was connected, representative is the class's smallest id, h the 64-bit
+    hash of the text, component_h that of the component's first row by (doc_id, h). See the module."""
+    made: list[str] = []
+    rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
+    sets = cut(signatures(rows, n), "jaccard-sets", made)
+    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n_shingles"))
+    classes = classes.select("digest", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "n_shingles", F.monotonically_increasing_id().alias("node"))
+    classes = cut(classes, "jaccard-classes", made)
+    # one exchange by id serves the join and the removal of equal rows
+    texts = rows.join(classes.select("doc_id", "h", "node"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "text")
+    blocks = components(cut(stars(texts, n, least, scale), "jaccard-stars", made), made)
+    blocks = blocks.join(classes, "node").select("node", "doc_id", "h", "n_shingles", F.col("component").alias("block"))
+    fill = F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n_shingles") / LEAF_SHINGLES)).cast("long")
+    blocks = cut(blocks.join(blocks.groupBy("block").agg(fill.alias("leaves")), "block"), "jaccard-blocks", made)
+
+    # leaves: the sets of a block's members, made again from their texts
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 1000):
+                part = batch.slice(first, 1000)
+                sets = [shingle_set(t.as_py(), n).tobytes() for t in part.column(4)]
+                yield batch_of({**dict(zip(("node", "block", "leaves", "leaf"), part.columns, strict=False)), "shingles": pa.array(sets, pa.binary())})
+
+    leaf = F.pmod(F.xxhash64("node"), F.col("leaves"))
+    held = rows.join(blocks, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "block", "leaves", leaf.alias("leaf"), "text")
+    held = held.mapInArrow(members, "node long, block long, leaves long, leaf long, shingles binary")
+    leaves = held.groupBy("block", "leaves", "leaf").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
+    leaves = cut(leaves, "jaccard-leaves", made)
+    links = cut(first_links(leaves, least, scale), "jaccard-links", made)
+    if not leaves.filter("leaves > 1").isEmpty():
+        more = cut(further_links(leaves, links, least, scale, made), "jaccard-links", made)
+        links = links.union(more)
+    nodes = classes.join(components(links, made), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h"))
+    counts = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    known = nodes.join(smallest, "component").join(counts, "node", "left").select("digest", F.col("doc_id").alias("representative"), "component_id", "component_h", "n_links")
+    # the only tables that the result reads; all others go
+    last: list[str] = []
+    known = cut(known, "jaccard-known", last)
+    kept = made.pop(0)
+    drop(docs.sparkSession, made)
+    made.append(kept)
+    out = sets.join(known, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("representative", "doc_id").alias("representative"), "h", "component_h")

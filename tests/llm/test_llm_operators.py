@@ -323,6 +323,57 @@ def test_trees_link_across_leaves():
     assert len({seen.find(i) for i in range(60)}) == 1
 
 
+def test_descent_leaves_every_pair_that_links():
+    rng = np.random.default_rng(10)
+    base = [rng.integers(0, 2**63, size, dtype=np.uint64) for size in (40, 44, 60, 300)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) > 0.03], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)))) for b in base for _ in range(50)]
+    whole, one, two = (jaccard.Tree(list(ids), [sets[i] for i in ids]) for ids in (range(200), range(0, 200, 3), range(1, 200, 3)))
+    assert [len(v) for v in whole.levels] == [200, 25, 4, 1]
+    for x, y in ((whole, whole), (one, two), (two, whole)):
+        i, j = jaccard.descend(x, y, 90, 100)
+        left = {(x.ids[a], y.ids[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        left |= {(b, a) for a, b in left} if x is y else set()
+        expected = {(a, b) for a in x.ids for b in y.ids if a != b and jaccard.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])), 90, 100)}
+        assert expected <= left and len(left) < len(x.ids) * len(y.ids) / 3
+
+
+def near_copies(n, seed):
+    """Texts of one block: most link to the base, some only to others, some to none."""
+    rng = random.Random(seed)
+    base = unlike(rng, 120)
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[at] = f"x{rng.randrange(40 if i % 2 else 10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("leaf,trunk", [(256, 32), (24, 2)])
+def test_a_block_of_many_near_copies(spark, monkeypatch, leaf, trunk):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "TRUNK", trunk)
+    monkeypatch.setattr(jaccard, "OWN", leaf // 4)
+    n = 2000 if leaf == 256 else 500
+    texts = near_copies(n, leaf)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    expected = brute_components(rows, 3, 90, 100)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert n / 10 < len({c for _, c in expected.values()}) < n
+    assert sum({r["representative"]: r["n_links"] for r in got}.values()) < 6 * n
+
+
+def test_an_id_on_two_texts_keeps_the_links_of_both(spark):
+    rng = random.Random(21)
+    a, b = unlike(rng, 100), unlike(rng, 100)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, near(a)), (5, near(b)), (3, "apart from all others"), (None, " ".join(a)), (7, " ".join(a))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (3, 3), (5, 5), (7, 5), (7, 7), (7, 7), (9, 7)]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
