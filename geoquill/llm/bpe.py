@@ -8,10 +8,12 @@ whole. Short fragments repeat, so each worker remembers them (a bounded memory).
 The vocabulary is a byte-level BPE file in the JSON form of the `tokenizers` library; its path is a parameter and is
 read on every executor. Texts are split between Spark's tasks; a worker holds one Arrow batch at a time.
 
+A file with another kind of model, normalizer, pre-tokenizer or options than byte-level BPE is refused.
+
 Edge cases: null text counts as empty: no ids, the digests of nothing. Special tokens' strings in a text get their
 special ids, as in the library. Repeated rows are encoded each. An empty table gives an empty table. Input columns
 with the names of output columns are replaced. Very long texts and fragments are encoded whole (a heap of merges, so
-n log n).
+n log n). `decode` skips null and unknown ids, as the library does.
 """
 
 from __future__ import annotations
@@ -51,6 +53,10 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, to_byte = spec["model"], printable_bytes()
+        before = spec.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or spec.get("normalizer") or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError(f"{path} is no plain byte-level BPE")
         raw = lambda s: bytes(to_byte[c] for c in s)
         self.bytes_of = {i: raw(s) for s, i in model["vocab"].items() if all(c in to_byte for c in s)}
         ids = {b: i for i, b in self.bytes_of.items()}
@@ -200,6 +206,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     @F.pandas_udf(T.StringType())
     def back(column):
         c = codec(path)
-        return column.map(lambda x: c.decode([] if x is None else [int(i) for i in x]))
+        known = c.bytes_of
+        return column.map(lambda x: c.decode([] if x is None else [int(i) for i in x if i is not None and i in known]))
 
     return df.withColumn(into, back(quoted(ids)))

@@ -63,6 +63,11 @@ def unit(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
+def digest(key: Column, text: Column) -> Column:
+    """Digest of a row's key; of its text where the key is null."""
+    return F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("text "), text), F.lit("")).cast("binary"))
+
+
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of df that outputs of these names don't replace."""
     taken = {n.lower() for n in names}

@@ -9,7 +9,8 @@ compression.
 Rows are independent: nothing is shuffled, and a worker holds one Arrow batch and one medium at a time.
 
 Edge cases: null text counts as empty (one row of 192 spaces); null media give no frames; media that are no GIF or
-break off raise no error but give the frames that are whole and a note in `error`. Repeated rows are stored each. An
+break off (also without a trailer), and media whose canvas is larger than their bytes could ever fill, raise no error
+but give the frames that are whole and a note in `error`. Repeated rows are stored each. An
 empty table gives an empty table. Input columns with the names of output columns are replaced. Very long payloads
 become many frames.
 """
@@ -113,8 +114,8 @@ def expand(data: bytes, size: int, want: int) -> bytes:
                 if code != len(table) or not old:
                     raise ValueError("a code beyond the table") from None
                 new = old + old[:1]
-            if old:
-                add(old + new[:1])  # codes stay under 4096, so entries beyond are never read
+            if old and len(table) < FULL:
+                add(old + new[:1])
             out.append(new)
             old = new
         got = sum(map(len, out))
@@ -164,6 +165,9 @@ def decode_gif(media: bytes) -> Iterator[dict]:
             at += 1 + n
         return b"".join(parts), at + 1
 
+    # a code of 3 bits or more stands for less than FULL samples
+    if width * height > FULL * 8 * len(media) // 3:
+        raise ValueError("a canvas that no frame could fill")
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal, delay, hidden, start = 0, 0, None, 0
     while at < len(media) and media[at] != 0x3B:
@@ -183,6 +187,8 @@ def decode_gif(media: bytes) -> Iterator[dict]:
             colours = np.frombuffer(media, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
         size = media[at]
+        if not 2 <= size <= 8:
+            raise ValueError("a code size that isn't")
         data, at = gathered(at + 1)
         samples = expand(data, size, w * h)
         if len(samples) < w * h or colours is None:
@@ -210,6 +216,8 @@ def decode_gif(media: bytes) -> Iterator[dict]:
         elif disposal == 3:
             canvas = before
         disposal, delay, hidden = 0, 0, None
+    if at >= len(media):
+        raise ValueError("no trailer")
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -262,7 +270,7 @@ def decode(media: DataFrame, column: str = "media") -> DataFrame:
         try:
             for f in decode_gif(data) if data is not None else ():
                 frames.append({k: f[k] for k in ("left", "top", "width", "height", "start", "delay", "samples")} | {"histogram": histogram(f["canvas"]).tolist()})
-        except (ValueError, IndexError, struct.error) as e:
+        except (ValueError, LookupError, struct.error) as e:
             error = str(e)
         back = b"".join(f["samples"] for f in frames)
         return frames, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data or b""), hashlib.sha256(data or b"").hexdigest(), error

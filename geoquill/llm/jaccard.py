@@ -262,7 +262,7 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], p: np.ndarray, q: np.nd
 
 # -- the join ---------------------------------------------------------------------------------
 
-SETS = "doc_id long, h long, n_shingles long, digest binary"
+SETS = "doc_id long, h long, n_shingles long, digest binary, short long"
 KEYED = "k long, a long, b long"
 LINKS = "a long, b long"
 NODE = "size long, least long, most long, more long, label long, bits binary"
@@ -282,29 +282,43 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def short(digest: bytes) -> int:
+    """The first half of a digest, for routing: two sets that share it only meet needlessly."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, h, n_shingles, digest of the set) by row of (doc_id, h, text)."""
+    """(doc_id, h, n_shingles, digest of the set, its first half) by row of (doc_id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)
                 sets = [shingle_set(t.as_py(), n) for t in part.column(2)]
-                yield batch_of({"doc_id": part.column(0), "h": part.column(1), "n_shingles": [len(s) for s in sets], "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())})
+                digests = [digest_of(s) for s in sets]
+                yield batch_of({"doc_id": part.column(0), "h": part.column(1), "n_shingles": [len(s) for s in sets], "digest": pa.array(digests, pa.binary()), "short": [short(d) for d in digests]})
 
     return docs.mapInArrow(run, SETS)
 
 
 def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
-    """(a, b) that span the components of "shares a key", of (node, text). Pairs are made within a batch where they
-    can be; only a batch's smallest node of a key goes on (b is null), so the second step has a few rows for the
-    largest group."""
+    """(a, b), short digests, that span the components of "shares a key", of a column of texts. Pairs are made within
+    a batch where they can be, and equal sets of a batch count once; only a batch's smallest set of a key goes on (b
+    is null), so the second step has a few rows for the largest group."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [block_keys(shingle_set(t.as_py(), n), least, scale).view(np.int64) for t in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in each])
-            keys = np.concatenate([*each, np.empty(0, np.int64)])
+            sets: dict[int, np.ndarray] = {}
+            for t in batch.column(0):
+                s = shingle_set(t.as_py(), n)
+                if len(s) and (i := short(digest_of(s))) not in sets:
+                    sets[i] = block_keys(s, least, scale).view(np.int64)
+            ids = np.repeat(np.array(list(sets), np.int64), [len(k) for k in sets.values()])
+            keys = np.concatenate([*sets.values(), np.empty(0, np.int64)])
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
             new = np.ones(len(keys), bool)
@@ -482,13 +496,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     made: list[str] = []
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
     sets = cut(signatures(rows, n), "jaccard-sets", made)
-    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n_shingles"))
-    classes = classes.select("digest", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "n_shingles", F.monotonically_increasing_id().alias("node"))
+    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "short").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n_shingles"))
+    classes = classes.select("digest", "short", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "n_shingles", F.monotonically_increasing_id().alias("node"))
     classes = cut(classes, "jaccard-classes", made)
-    # one exchange by id serves the join and the removal of equal rows
-    texts = rows.join(classes.select("doc_id", "h", "node"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "text")
-    blocks = components(cut(stars(texts, n, least, scale), "jaccard-stars", made), made)
-    blocks = blocks.join(classes, "node").select("node", "doc_id", "h", "n_shingles", F.col("component").alias("block"))
+    routed = components(cut(stars(rows.filter("doc_id is not null").select("text"), n, least, scale), "jaccard-stars", made), made)
+    blocks = routed.select(F.col("node").alias("short"), F.col("component").alias("block")).join(classes, "short").select("node", "doc_id", "h", "n_shingles", "block")
     fill = F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n_shingles") / LEAF_SHINGLES)).cast("long")
     blocks = cut(blocks.join(blocks.groupBy("block").agg(fill.alias("leaves")), "block"), "jaccard-blocks", made)
 
@@ -520,4 +532,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     drop(docs.sparkSession, made)
     made.append(kept)
     out = sets.join(known, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("representative", "doc_id").alias("representative"), "h", "component_h")
+    mine = lambda c, other: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, other))  # noqa: E731  a null id links nothing
+    return out.select(
+        "doc_id", "n_shingles", mine("component_id", "doc_id").alias("component_id"), F.coalesce(mine("n_links", F.lit(0)), F.lit(0)).alias("n_links"),
+        mine("representative", "doc_id").alias("representative"), "h", mine("component_h", F.lit(None)).alias("component_h"),
+    )

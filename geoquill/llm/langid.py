@@ -6,15 +6,18 @@ A text's score for a language is the sum over its words; the prediction is the b
 under a uniform prior.
 
 Piece probabilities are fitted by expectation-maximisation (the forward-backward sums over the same lattices) on a
-bounded sample: at most `train_rows` documents for each language, those with the least digest of their key. Their
-words are counted on the executors; the driver sees counts of distinct words of that sample only.
+bounded sample: at most `train_rows` documents for each language, those with the least digest of their key (an id on
+several rows counts once and brings all its rows). Digests alone are ranked; the sample's texts are fetched by key,
+its words counted and each language fitted on the executors. The driver sees the fitted probabilities only, whose
+size is fixed by the vocabulary and the number of languages.
 
-Scoring shuffles nothing. A worker remembers the scores of words (a bounded memory).
+Scoring shuffles nothing and sends texts only one way, to Python. A worker remembers the scores of words in one matrix
+of bounded size.
 
 Edge cases: text that is null or holds no letter: `und`, score 0; no labelled rows: `und` for all; characters outside
 the vocabulary cost a floor; rows with a null key are held out; repeated rows are scored each; an empty table gives
-an empty table. Input columns with the names of output columns are replaced. Very long texts and words are scored
-whole.
+an empty table. Input columns with the names of output columns are replaced; the prefix `__ld_` is reserved. Very long
+texts and words are learned from and scored whole.
 """
 
 from __future__ import annotations
@@ -28,26 +31,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import quoted, without
+from .common import cut, drop, quoted, without
 
-LETTERS = re.compile(r"[^\W\d_]+")
+ALNUM = re.compile(r"[^\W\d_]+")
 START = "▁"
-REMEMBERED = 400_000
+#: Words that a worker remembers, bytes of their scores, and words that are looked up together.
+REMEMBERED, REMEMBERED_BYTES, TOGETHER = 200_000, 1 << 26, 50_000
 FLOOR = 1e-7
 OUT = ["held_out", "lang_pred", "score"]
 
 
+def letters(text: str | None) -> list[str]:
+    """Runs of letters, lower case."""
+    out = ALNUM.findall((text or "").lower())
+    if all(map(str.isalpha, out)):
+        return out
+    # numerals such as fractions are no letters
+    return [w for x in out for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def vocabulary(path: str) -> list[str]:
     """Lower-case letter pieces of a public sentencepiece model; a leading mark means the start of a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if (bare := p.removeprefix(START)) and bare.isalpha() and bare == bare.lower() and len(p) <= 16})
+    return sorted({p for p in pieces if (bare := p.removeprefix(START)) and bare.isalpha() and bare == bare.lower()})
 
 
 class Lattice:
@@ -56,6 +68,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.number = {p: i for i, p in enumerate(pieces)}
         self.prefixes = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.longest = max(map(len, pieces), default=1)
 
     def edges(self, word: str) -> list[list[tuple[int, int]]]:
         """For each place, the (end, piece) that begin there; -1 is the floor for a single character."""
@@ -75,53 +88,63 @@ class Lattice:
 
 def forward(edges: list[list[tuple[int, int]]], p: list[float]) -> float:
     """log of the sum over all segmentations; p[-1] is the floor."""
-    n, shift = len(edges), 0.0
+    n, shift, far = len(edges), 0.0, 0
     a = [0.0] * (n + 1)
     a[0] = 1.0
     for i, here in enumerate(edges):
         x = a[i]
-        if x < 1e-150 and x > 0:  # the window of places still to be used is brought up
+        if x < 1e-150 and x > 0:  # the places still to be used are brought up
             shift += math.log(x)
-            for j in range(i, min(n + 1, i + 17)):
+            for j in range(i, far + 1):
                 a[j] /= x
             x = 1.0
         for j, k in here:
             a[j] += x * p[k]
+            far = max(far, j)
     return math.log(a[n]) + shift if a[n] > 0 else -700.0 + shift
 
 
 def expected(edges: list[list[tuple[int, int]]], p: list[float]) -> list[tuple[int, float]]:
-    """Expected uses of each piece over all segmentations of a word of moderate length."""
+    """Expected uses of each piece over all segmentations of a word."""
     n = len(edges)
     a, b = [0.0] * (n + 1), [0.0] * (n + 1)
     a[0] = b[n] = 1.0
     for i, here in enumerate(edges):
         for j, k in here:
             a[j] += a[i] * p[k]
+    if not a[n] > 1e-250:
+        return expected_in_logs(edges, p)
     for i in range(n - 1, -1, -1):
         b[i] = sum(p[k] * b[j] for j, k in edges[i])
-    if not a[n] > 0:
-        return []
     return [(k, a[i] * p[k] * b[j] / a[n]) for i, here in enumerate(edges) for j, k in here if k >= 0]
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3, smooth: float = 0.05) -> dict[str, np.ndarray]:
-    """Piece probabilities by language from word counts by language; words over 60 letters are not learned from."""
+def expected_in_logs(edges: list[list[tuple[int, int]]], p: list[float]) -> list[tuple[int, float]]:
+    """The same for words whose probability is too small for a float."""
+    n, log = len(edges), [math.log(x) for x in p]
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0.0
+    for i, here in enumerate(edges):
+        for j, k in here:
+            a[j] = np.logaddexp(a[j], a[i] + log[k])
+    for i in range(n - 1, -1, -1):
+        b[i] = np.logaddexp.reduce([log[k] + b[j] for j, k in edges[i]])
+    return [(k, math.exp(a[i] + log[k] + b[j] - a[n])) for i, here in enumerate(edges) for j, k in here if k >= 0]
+
+
+def fit(words: dict[str, int], pieces: list[str], rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
+    """Piece probabilities of a language from its word counts."""
     lattice = Lattice(pieces)
-    edges = {w: lattice.edges(w) for c in counts.values() for w in c if len(w) <= 60}
-    out = {}
-    for lang, words in counts.items():
-        # first guess: longer pieces are rarer, so that no segmentation wins by length alone
-        p = np.array([10.0 ** (-1 - 0.7 * len(x.removeprefix(START))) for x in pieces])
-        for _ in range(rounds):
-            probabilities, uses = [*(p / p.sum()), FLOOR], np.full(len(pieces), smooth)
-            for w, c in words.items():
-                if w in edges:
-                    for k, x in expected(edges[w], probabilities):
-                        uses[k] += c * x
-            p = uses / uses.sum()
-        out[lang] = p / p.sum()
-    return out
+    counted = [(lattice.edges(w), c) for w, c in sorted(words.items())]
+    # first guess: longer pieces are rarer, so that no segmentation wins by length alone
+    p = np.array([10.0 ** (-1 - 0.7 * len(x.removeprefix(START))) for x in pieces])
+    for _ in range(rounds):
+        probabilities, uses = [*(p / p.sum()), FLOOR], np.full(len(pieces), smooth)
+        for edges, c in counted:
+            for k, x in expected(edges, probabilities):
+                uses[k] += c * x
+        p = uses / uses.sum()
+    return p / p.sum()
 
 
 class Scorer:
@@ -136,10 +159,12 @@ class Scorer:
         states = {"": 0} | {x: i for i, x in enumerate(sorted(self.lattice.prefixes), 1)}
         keys = sorted((states[x[:-1]] << 21 | ord(x[-1]), i, self.lattice.number.get(x, -1)) for x, i in states.items() if i)
         self.keys, self.next, self.piece = (np.array(v, np.int64) for v in zip(*keys, strict=True))
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # row of the matrix
+        self.most = max(TOGETHER, min(REMEMBERED, REMEMBERED_BYTES // (8 * max(1, len(self.langs)))))
+        self.matrix = np.zeros((self.most, len(self.langs)))
 
     def together(self, words: list[str]) -> np.ndarray:
-        """Scores of words of one length, up to 60 letters."""
+        """Scores of words of one length."""
         n = len(words[0]) + 1
         letters = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(words), n)
         a = np.zeros((n + 1, len(words), len(self.langs)))
@@ -147,8 +172,9 @@ class Scorer:
         shift = np.zeros(a[0].shape)
         for i in range(n):
             if i and i % 20 == 0:  # the places still to be used are brought up
-                top = np.maximum(a[i : i + 17].max(axis=0), 1e-300)
-                a[i : i + 17] /= top
+                window = slice(i, i + self.lattice.longest)
+                top = np.maximum(a[window].max(axis=0), 1e-300)
+                a[window] /= top
                 shift += np.log(top)
             live, state = np.arange(len(words)), np.zeros(len(words), np.int64)
             single = np.zeros(len(words), bool)
@@ -169,39 +195,59 @@ class Scorer:
         return np.log(np.maximum(a[n], 1e-300)) + shift
 
     def meet(self, words: set[str]) -> None:
-        """Remembers the scores of words."""
+        """Remembers the scores of words, TOGETHER at most."""
         new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = words
         by: dict[int, list[str]] = defaultdict(list)
         for w in new:
             by[len(w)].append(w)
         for n, group in by.items():
-            if n > 60:
-                for w in group:
-                    edges = self.lattice.edges(w)
-                    self.known[w] = np.array([forward(edges, p) for p in self.p])
-                continue
-            for first in range(0, len(group), 4096):
-                part = group[first : first + 4096]
-                self.known.update(zip(part, self.together(part), strict=True))
-
-    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = []
-        for first in range(0, len(texts), 500):
-            words = [LETTERS.findall((t or "").lower()) for t in texts[first : first + 500]]
-            if self.langs:
-                self.meet({w for ws in words for w in ws})
-            known = self.known
-            for ws in words:
-                if not ws or not self.langs:
-                    out.append(("und", 0.0))
-                    continue
-                total = np.sum([known[w] for w in ws], axis=0)
-                best = int(np.argmax(total))
-                out.append((self.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
-        return out
+            step = max(1, 250_000 // (n * max(1, len(self.langs))))
+            for first in range(0, len(group), step):
+                part = group[first : first + step]
+                row = len(self.known)
+                self.matrix[row : row + len(part)] = self.together(part)
+                self.known.update(zip(part, range(row, row + len(part)), strict=True))
+
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the words' scores and numbers of words, by text."""
+        sums, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        words: list[str] = []
+        owner: list[np.ndarray] = []
+
+        def flush() -> None:
+            self.meet(set(words))
+            rows = self.matrix[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+            of = np.concatenate(owner)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            sums[of[first]] += np.add.reduceat(rows, first, axis=0)
+            words.clear()
+            owner.clear()
+
+        for i, t in enumerate(texts):
+            mine = letters(t)
+            counts[i] = len(mine)
+            while mine:
+                part = mine[: TOGETHER - len(words)]
+                mine = mine[len(part) :]
+                words += part
+                owner.append(np.full(len(part), i))
+                if len(words) == TOGETHER:
+                    flush()
+        if words:
+            flush()
+        return sums, counts
+
+    def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Best language and its posterior, by text."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        sums, counts = self.totals(texts)
+        best = sums.argmax(axis=1)
+        chance = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.langs[b] if n else "und" for b, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(counts > 0, chance, 0.0)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -209,51 +255,68 @@ _scorers: dict[str, Scorer] = {}
 
 def learn(docs: DataFrame, path: str, text: str, lang: str, key: str, train_rows: int) -> tuple[list[str], dict[str, np.ndarray]]:
     """Vocabulary and piece probabilities from the bounded sample of rows that may be learned from."""
-    held = F.crc32(quoted(key).cast("string").cast("binary")) % 5 == 0
-    rows = docs.filter(~held & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.md5(quoted(key).cast("string").cast("binary")).alias("d"))
-    order = Window.partitionBy("lang").orderBy("d", "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= train_rows).select("lang", "text")
+    told = quoted(key).cast("string")
+    held = F.crc32(told.cast("binary")) % 5 == 0
+    rows = docs.filter(~held & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).alias("lang"), told.alias("k"), quoted(text).alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("k").cast("binary")), "k")
+    ranked = rows.select("lang", "k").withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= train_rows)
+    made: list[str] = []
+    chosen = cut(ranked.select("lang", "k").distinct(), "langid-sample", made)
+    sample = rows.join(chosen, ["lang", "k"], "left_semi")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             by: dict[str, Counter] = defaultdict(Counter)
             for x, t in zip(frame["lang"], frame["text"], strict=True):
-                by[x].update(LETTERS.findall(t.lower()))
+                by[x].update(letters(t))
             flat = [(x, w, n) for x, c in by.items() for w, n in c.items()]
             yield pd.DataFrame(flat, columns=["lang", "word", "n"])
 
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
     pieces = vocabulary(path)
-    return pieces, fit(counts, pieces)
 
+    def fitted(counts: pd.DataFrame) -> pd.DataFrame:
+        p = fit(dict(zip(counts["word"], counts["n"].tolist(), strict=True)), pieces)
+        return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "p": [p.tobytes()]})
 
-def identify(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = 300) -> DataFrame:
-    """All columns of docs, and held_out, lang_pred, score. See the module."""
+    counts = sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    model = {r["lang"]: np.frombuffer(r["p"]) for r in counts.groupBy("lang").applyInPandas(fitted, "lang string, p binary").collect()}
+    drop(docs.sparkSession, made)
+    return pieces, dict(sorted(model.items()))
+
+
+def teller(docs: DataFrame, path: str, text: str, lang: str, key: str, train_rows: int) -> Column:
+    """A column struct<lang_pred, score>, learned from docs, for the rows of docs."""
     pieces, model = learn(docs, path, text, lang, key, train_rows)
-    spark, name = docs.sparkSession, uuid.uuid4().hex
+    name = uuid.uuid4().hex
     # bounded by the vocabulary and the number of learned languages
-    shared = spark.sparkContext.broadcast((pieces, model))
-    keep = without(docs, OUT)
-    held = F.coalesce(F.crc32(quoted(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    rows = docs.select(*[quoted(c) for c in keep], held.alias("held_out"))
-    names = [*rows.columns, "lang_pred", "score"]
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(*shared.value)
-        scorer = _scorers[name]
-        for batch in batches:
-            got = scorer.scores(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=names)
+        for part in parts:
+            langs, scores = [], []
+            for first in range(0, len(part), 256):
+                got = _scorers[name].scores(part.slice(first, 256).to_pylist())
+                langs += got[0]
+                scores.append(got[1])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], names=["lang_pred", "score"])
+
+    # said to be non-deterministic, so that a filter on the result doesn't score every text again
+    return F.arrow_udf(tell, "struct<lang_pred:string,score:double>").asNondeterministic()(quoted(text))
 
-    return rows.mapInArrow(run, schema)
+
+def identify(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = 300) -> DataFrame:
+    """All columns of docs, and held_out, lang_pred, score. See the module."""
+    keep = without(docs, OUT)
+    held = F.coalesce(F.crc32(quoted(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    told = teller(docs, path, text, lang, key, train_rows).alias("__ld_told")
+    rows = docs.select(*[quoted(c) for c in keep], held.alias("held_out"), told)
+    return rows.select(*[quoted(c) for c in keep], "held_out", "__ld_told.lang_pred", "__ld_told.score")
 
 
-def accept(docs: DataFrame, path: str, least: float = 0.5, **options) -> DataFrame:
+def accept(docs: DataFrame, path: str, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = 300) -> DataFrame:
     """The rows of docs whose language is told: not `und`, and a posterior of at least `least`."""
-    told = identify(docs, path, **options)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[quoted(c) for c in docs.columns])
+    told = docs.withColumn("__ld_told", teller(docs, path, text, lang, key, train_rows))
+    return told.filter("__ld_told.lang_pred <> 'und'").filter(F.col("__ld_told.score") >= least).select(*[quoted(c) for c in docs.columns])

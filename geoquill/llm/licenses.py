@@ -1,16 +1,22 @@
 """License scans as an exact set-similarity join with templates (native).
 
-Text blocks are runs of `block` words, begun every `block / 2` words, so every passage of up to `block / 2` words
-lies whole in some block. A template is found in a block if the block holds at least `threshold` of its distinct
-words. Words of the templates are ordered by how many documents of the whole table hold them, rarest first. Filters,
-all exact:
-
-* prefix: a block that reaches the threshold holds one of the first |T| - need + 1 words of the template;
-* length: a block with fewer than `need` distinct words can't;
+A template is a licence's text or notice. It is found in a block of a text if the block holds at least `threshold` of
+the template's distinct words. Blocks of a template have twice `half` words and begin every `half` words, `half` being
+at least the template's length, so any passage as long as the template lies whole in some block. Words of the templates
+are ordered by how many documents of the whole table hold them, rarest first. The join is on postings of words, with
+filters that are all exact:
+
+* documents that don't hold the words needed of any template anywhere have no blocks (one pass finds them, and the
+  words' frequencies);
+* prefix: a block that reaches the threshold holds one of the first |T| - need + 1 words of the template; only these
+  words are postings, so only blocks that hold one become candidates;
+* length: a block with fewer than `need` words can't;
 * position: with its first match at place p of the template's order, it can match |T| - p words at most.
 
-What remains is verified by intersecting sets. Documents that can't hold `need` words at all are set aside before
-their blocks are made. The join's small side is the template table, whose size is fixed by a parameter.
+What remains is verified by intersecting sets. Templates that nearly contain each other (licences of one family) have
+blocks of one size; a finding that another such template beats in the same block or one that overlaps it (by words
+held, then by share) is dropped, so a notice gets the label of its own variant alone. Equal texts are joined once. The small side
+of the postings join is made from the templates, so its size is fixed by a parameter.
 
 Besides, phrases are found exactly where their words stand consecutively.
 
@@ -22,52 +28,102 @@ is reserved. Very long texts are scanned whole.
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, quoted, without
+from .common import LOWER, UPPER, ascii_lower, cut, quoted, without
+from .license_texts import TEMPLATES
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening sentences of public licence texts, by label.
-TEMPLATES = {
-    "apache-2": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial international license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike international license",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl": "this source code form is subject to the terms of the mozilla public license",
-}
 OUT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+#: Copies of the table of findings, so that rows of one text spread over so many tasks.
+SALTS = 16
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: tuple[str, ...]  # distinct, sorted
+    need: int
+    half: int
+    rivals: tuple[str, ...]
 
-def need(template: str, threshold: float) -> int:
-    return math.ceil(threshold * len(set(template.split())) - 1e-9)
+    @property
+    def label(self) -> str:
+        return self.name.split("/")[0]
 
 
-def ordered(docs: DataFrame, w: Column, templates: dict[str, str]) -> DataFrame:
-    """(label, words by document frequency, rarest first) for each template; frequencies are of the whole table."""
-    vocabulary = sorted({x for t in templates.values() for x in t.split()})
-    counts = docs.select(F.explode(F.array_intersect(w, F.array(*map(F.lit, vocabulary)))).alias("__li_word")).groupBy("__li_word").count()
-    rows = [(k, x) for k, t in sorted(templates.items()) for x in sorted(set(t.split()))]
-    table = docs.sparkSession.createDataFrame(rows, "label string, __li_word string")
-    return table.join(counts, "__li_word", "left").groupBy("label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "__li_word"))).alias("o")).select("label", F.col("o.__li_word").alias("words"))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, block: int = 64) -> DataFrame:
+def prepared(templates: dict[str, str], threshold: float) -> list[Template]:
+    """Templates by name, with words needed, block sizes, and rivals: templates of other labels that nearly hold it."""
+    lists = {k: re.findall(TOKEN, t.translate(str.maketrans(UPPER, LOWER))) for k, t in sorted(templates.items())}
+    sets = {k: set(w) for k, w in lists.items()}
+    need = {k: math.ceil(threshold * len(s) - 1e-9) for k, s in sets.items()}
+    rivals = {k: [x for x in sets if x.split("/")[0] != k.split("/")[0] and len(sets[x] & sets[k]) >= need[k]] for k in sets}
+    family = {k: k for k in sets}
+    for _ in sets:  # the smallest name of all that are rivals of rivals
+        for k, others in rivals.items():
+            for x in others:
+                family[k] = family[x] = min(family[k], family[x])
+    longest = {f: max(len(lists[k]) for k in sets if family[k] == f) for f in family.values()}
+    half = {k: 1 << max(4, (longest[family[k]] - 1).bit_length()) for k in sets}
+    return [Template(k, tuple(sorted(sets[k])), need[k], half[k], tuple(rivals[k])) for k in sets]
+
+
+def literals(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def findings(docs: DataFrame, text: Column, known: list[Template]) -> DataFrame:
+    """(digest, labels, share) for each distinct text that holds templates."""
+    vocabulary = sorted({w for t in known for w in t.words})
+    rows = docs.select(F.md5(text.cast("binary")).alias("digest"), words(text).alias("w")).withColumn("v", F.array_intersect("w", literals(vocabulary)))
+    able = reduce(lambda a, t: a | (F.size(F.array_intersect("v", literals(t.words))) >= t.need), known, F.lit(False))
+    able = (F.size("v") >= min((t.need for t in known), default=0)) & able
+    rows = cut(rows.select("digest", "v", F.when(able, F.col("w")).alias("w")), "license-words")
+    # one row for each word of the templates
+    counts = {r["x"]: r["n"] for r in rows.select(F.explode("v").alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()}
+    postings = []
+    for t in known:
+        order = sorted(t.words, key=lambda w: (counts.get(w, 0), w))
+        postings += [(w, t.name, place, len(order), t.need, t.half) for place, w in enumerate(order[: len(order) - t.need + 1])]
+    postings = F.broadcast(docs.sparkSession.createDataFrame(postings, "x string, name string, place int, total int, need int, half int"))
+    texts = rows.filter("w is not null").groupBy("digest").agg(F.first("w").alias("w"))
+    texts = cut(texts, "license-texts")
+    places = texts.select("digest", F.size("w").alias("n"), F.posexplode("w").alias("p", "x")).join(postings, "x")
+    last = F.floor(F.col("p") / F.col("half")).cast("int")
+    blocks = places.withColumn("k", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0)), last))))
+    blocks = blocks.groupBy("digest", "name", "k", "n", "total", "need", "half").agg(F.min("place").alias("first"))
+    blocks = blocks.filter("n - k * half >= need").filter("total - first >= need")
+    of = F.create_map(*[x for t in known for x in (F.lit(t.name), literals(t.words))])
+    verified = texts.join(blocks.groupBy("digest").agg(F.collect_list(F.struct("name", "k", "total", "need", "half")).alias("c")), "digest")
+    shared = lambda c: F.size(F.array_intersect(F.slice("w", c["k"] * c["half"] + 1, 2 * c["half"]), F.element_at(of, c["name"])))
+    c = F.filter(F.transform("c", lambda c: F.struct(*[c[x].alias(x) for x in ("name", "k", "total", "need", "half")], shared(c).alias("both"))), lambda c: c["both"] >= c["need"])
+    met = verified.select("digest", F.inline(c)).select("digest", "half", "k", "name", "both", (F.col("both") / F.col("total")).alias("share"))
+    met = cut(met, "license-met")
+    near = met.select("digest", "half", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("name").alias("other"), F.struct("both", "share").alias("theirs"))
+    rivals = F.create_map(*[x for t in known for x in (F.lit(t.name), literals(t.rivals) if t.rivals else F.array().cast("array<string>"))])
+    beaten = met.join(near, ["digest", "half", "k"]).filter(F.array_contains(F.element_at(rivals, F.col("name")), F.col("other")) & (F.col("theirs") > F.struct("both", "share")))
+    met = met.join(beaten.select("digest", "k", "name").distinct(), ["digest", "k", "name"], "left_anti")
+    return met.groupBy("digest").agg(F.collect_set(F.substring_index("name", "/", 1)).alias("labels"), F.max("share").alias("share"))
+
+
+def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """All columns of docs, and those of OUT: word count, phrase places (number, smallest and largest start word),
     labels of the phrases, labels of phrases and templates, and the best containment of any template (1 for a
     phrase). See the module."""
     keep = without(docs, OUT)
-    rows = docs.select(*[quoted(c) for c in keep], words(quoted(text)).alias("__li_words"))
-    # a few hundred rows at most, fixed by the templates; needed in the driver to build the filters
-    known = {r["label"]: r["words"] for r in cut(ordered(docs, words(quoted(text)), templates), "license-order").collect()}
+    known = prepared(templates, threshold)
+    found = cut(findings(docs, quoted(text), known), "license-findings") if known else None
+    rows = docs.select(*[quoted(c) for c in keep], F.md5(quoted(text).cast("binary")).alias("__li_digest"), words(quoted(text)).alias("__li_words"))
 
     joined = F.concat(F.lit(" "), F.array_join("__li_words", " "), F.lit(" "))
     rows = rows.withColumn("__li_text", joined)
@@ -76,39 +132,26 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     def places(phrase: str) -> Column:
         want = phrase.split()
         at = F.sequence(F.lit(0), n - len(want))
-        same = lambda i: F.slice("__li_words", i + 1, len(want)) == F.array(*map(F.lit, want))
+        same = lambda i: F.slice("__li_words", i + 1, len(want)) == literals(want)
         return F.when(F.contains("__li_text", F.lit(f" {phrase} ")), F.filter(at, lambda i: (F.element_at("__li_words", i + 1) == want[0]) & same(i))).otherwise(F.array().cast("array<int>"))
 
     for k, phrase in enumerate(phrases):
         rows = rows.withColumn(f"__li_p{k}", places(phrase))
-    every = F.concat(*[F.col(f"__li_p{k}") for k in range(len(phrases))])
-    rows = rows.withColumn("__li_all", every)
-    base = F.array_compact(F.array(*[F.when(F.size(f"__li_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))
+    rows = rows.withColumn("__li_all", F.concat(*[F.col(f"__li_p{k}") for k in range(len(phrases))]) if phrases else F.array().cast("array<int>"))
+    base = F.array_compact(F.array(*[F.when(F.size(f"__li_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]).cast("array<string>"))
     rows = rows.withColumn("__li_base", F.array_sort(F.array_distinct(base)))
-
-    # templates: documents that could hold one, then blocks, then the filters, then sets
-    def contained(w: Column, label: str) -> Column:
-        return F.size(F.array_intersect(w, F.array(*map(F.lit, known[label]))))
-
-    def best(label: str) -> Column:
-        total, least = len(known[label]), need(templates[label], threshold)
-        prefix = known[label][: total - least + 1]
-        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(block // 2))
-        blocks = F.transform(starts, lambda i: F.slice("__li_words", i + 1, block))
-        first = lambda b: F.filter(F.array(*[F.lit(i) for i in range(len(prefix))]), lambda p: F.array_contains(b, F.element_at(F.array(*map(F.lit, prefix)), p + 1)))
-        able = lambda b: (F.size(b) >= least) & F.arrays_overlap(b, F.array(*map(F.lit, prefix)))
-        reach = lambda b: F.lit(total) - F.element_at(first(b), 1) >= least
-        found = F.transform(F.filter(F.filter(blocks, able), reach), lambda b: contained(b, label))
-        whole = F.arrays_overlap("__li_words", F.array(*map(F.lit, prefix)))
-        most = F.when(whole, F.when(contained(F.col("__li_words"), label) >= least, F.array_max(found)))
-        return F.when(most >= least, most / F.lit(float(total)))
-
-    for label in sorted(templates):
-        rows = rows.withColumn(f"__li_t_{label}", best(label))
-    hits = F.array_compact(F.array(*[F.when(F.col(f"`__li_t_{x}`").isNotNull(), F.lit(x)) for x in sorted(templates)]))
-    score = F.greatest(F.lit(0.0), *[F.col(f"`__li_t_{x}`") for x in sorted(templates)], F.when(F.size("__li_all") > 0, F.lit(1.0)))
-    return rows.select(
-        *[quoted(c) for c in keep], n.cast("long").alias("n_words"), F.size("__li_all").cast("long").alias("n_base"),
+    rows = rows.select(
+        *[quoted(c) for c in keep], "__li_digest", "__li_base", n.cast("long").alias("n_words"), F.size("__li_all").cast("long").alias("n_base"),
         F.array_min("__li_all").cast("long").alias("first_word"), F.array_max("__li_all").cast("long").alias("last_word"),
-        F.array_join("__li_base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("__li_base", hits)), ",").alias("labels"), score.alias("score"),
     )
+    none = F.array().cast("array<string>")
+    if found is None:
+        rows = rows.withColumns({"__li_labels": none, "__li_share": F.lit(0.0)})
+    else:
+        # a text on very many rows spreads over SALTS tasks
+        salted = found.select(F.col("digest").alias("__li_of"), F.col("labels").alias("__li_labels"), F.col("share").alias("__li_share"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__li_salt2"))
+        rows = rows.withColumn("__li_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+        rows = rows.join(salted, (F.col("__li_digest") == F.col("__li_of")) & (F.col("__li_salt") == F.col("__li_salt2")), "left")
+    labels = F.array_join(F.array_sort(F.array_union("__li_base", F.coalesce("__li_labels", none))), ",")
+    score = F.greatest(F.coalesce("__li_share", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return rows.select(*[quoted(c) for c in keep], *OUT[:4], F.array_join("__li_base", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))

@@ -6,12 +6,14 @@ its cumulative demand. A document's place in its source's pass is an amount of w
 cumulative demand turns this amount into a training position. Output is range-sorted by position.
 
 Nothing here gathers a source in one task: cumulative sums come from sums over hash buckets of about `bucket_rows`
-rows, then from a window within each bucket, so a source with a third of all rows spreads over all tasks.
+rows, then from a window within each bucket; the buckets themselves are summed by runs of `run_buckets`, so a source
+with a third of all rows spreads over all tasks at every step.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; a row of size 0 takes 0 words
-and has no positions; a source whose sizes are all 0 has target 0; equal and repeated rows each take their own
-place (order is by the digest of the key, then size); an empty table gives an empty table. Input columns with the
-names of output columns are replaced; the prefix `__mx_` is reserved.
+and has no positions; rows without a position come after all others, in order of their digest; a source whose sizes
+are all 0 has target 0; equal and repeated rows each take their own place (order is by the digest of the key, then
+size); rows with a null key are ordered by the digest of their text; an empty table gives an empty table. Input
+columns with the names of output columns are replaced; the prefix `__mx_` is reserved.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, quoted, unit, without
+from .common import WORD, cut, digest, quoted, unit, without
 
 WEIGHTS = (5, 2, 1)
 RAMPS = (0.0, 0.5, -0.5)
@@ -63,19 +65,24 @@ def when_demanded(part: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, part).otherwise(root)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, ramps=RAMPS, bucket_rows: int = 4_096, sort: bool = True) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, ramps=RAMPS, bucket_rows: int = 4_096, run_buckets: int = 4_096, sort: bool = True) -> DataFrame:
     """All columns of docs, and size, source_size, target, taken, position (of the first pass) and positions (of each
     pass that takes words of the row), range-sorted by position. See the module."""
     keep = without(docs, OUT)
-    base = docs.select(*[quoted(c) for c in keep], word_count(quoted(text)).alias("size"), quoted(source).alias("__mx_source"), F.md5(F.coalesce(quoted(key).cast("string"), F.lit("")).cast("binary")).alias("__mx_digest"))
+    base = docs.select(*[quoted(c) for c in keep], word_count(quoted(text)).alias("size"), quoted(source).alias("__mx_source"), digest(quoted(key), quoted(text)).alias("__mx_digest"))
     totals = base.groupBy(F.col("__mx_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("__mx_rows"))
     totals = cut(targets(totals, share, cap, weights, ramps), "mix-sources").withColumnRenamed("source", "__mx_of")
     dealt = base.join(totals, F.col("__mx_source").eqNullSafe(F.col("__mx_of")))
     dealt = dealt.withColumn("__mx_bucket", F.floor(unit(F.col("__mx_digest")) * F.ceil(F.col("__mx_rows") / bucket_rows)).cast("long"))
     sums = dealt.groupBy("__mx_source", "__mx_bucket").agg(F.sum("size").alias("__mx_sum"))
-    ahead = Window.partitionBy("__mx_source").orderBy("__mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.withColumn("__mx_offset", F.coalesce(F.sum("__mx_sum").over(ahead), F.lit(0))), "mix-buckets")
-    sums = sums.select(F.col("__mx_source").alias("__mx_of2"), F.col("__mx_bucket").alias("__mx_bucket2"), "__mx_offset")
+    sums = sums.withColumn("__mx_run", F.floor(F.col("__mx_bucket") / run_buckets))
+    ahead = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    runs = sums.groupBy("__mx_source", "__mx_run").agg(F.sum("__mx_sum").alias("__mx_sum"))
+    runs = runs.select(F.col("__mx_source").alias("__mx_of3"), F.col("__mx_run").alias("__mx_run3"), before("__mx_sum", ahead(["__mx_source"], "__mx_run")).alias("__mx_first"))
+    sums = sums.join(runs, F.col("__mx_source").eqNullSafe(F.col("__mx_of3")) & (F.col("__mx_run") == F.col("__mx_run3")))
+    sums = sums.withColumn("__mx_offset", F.col("__mx_first") + before("__mx_sum", ahead(["__mx_source", "__mx_run"], "__mx_bucket")))
+    sums = cut(sums, "mix-buckets").select(F.col("__mx_source").alias("__mx_of2"), F.col("__mx_bucket").alias("__mx_bucket2"), "__mx_offset")
     dealt = dealt.join(sums, F.col("__mx_source").eqNullSafe(F.col("__mx_of2")) & (F.col("__mx_bucket") == F.col("__mx_bucket2")))
     within = Window.partitionBy("__mx_source", "__mx_bucket").orderBy("__mx_digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__mx_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
@@ -87,5 +94,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     hit = F.filter(passes, lambda i: (F.col("size") > 0) & (left(i) > 0))
     places = F.transform(hit, lambda i: when_demanded((i * F.col("source_size") + F.col("__mx_start")) / whole, F.col("ramp")))
     out = dealt.withColumn("taken", took).withColumn("positions", places).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    out = out.select(*[quoted(c) for c in keep], *OUT)
-    return out.repartitionByRange(F.col("position")).sortWithinPartitions("position") if sort else out
+    if sort:
+        # rows without a position have places of their own beyond the last one
+        out = out.withColumn("__mx_place", F.coalesce(F.col("position"), F.lit(2.0) + unit(F.col("__mx_digest"))))
+        out = out.repartitionByRange("__mx_place").sortWithinPartitions("__mx_place")
+    return out.select(*[quoted(c) for c in keep], *OUT)

@@ -41,19 +41,23 @@ def license_sql() -> str:
     places = ", ".join(f"list_filter(range(0, len(w) - {len(p) - 1}), lambda i: w[i + 1:i + {len(p)}] = {words(p)}) AS p{k}" for k, p in phrases.items())
     every = "list_concat(" + ", ".join(["p0", "list_concat(p1, p2)"]) + ")"
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.PHRASES.values()))
-    most, hits, shares = [], [], []
-    for k, (label, text) in enumerate(sorted(licenses.TEMPLATES.items())):
-        t = sorted(set(text.split()))
-        most.append(f"list_max(list_transform(range(0, greatest(len(w), 1), 32), lambda i: len(list_intersect({words(t)}, w[i + 1:i + 64])))) AS t{k}")
-        hits.append(f"CASE WHEN t{k} >= {licenses.need(text, 0.8)} THEN '{label}' END")
-        shares.append(f"CASE WHEN t{k} >= {licenses.need(text, 0.8)} THEN t{k} / {len(t)}::DOUBLE ELSE 0 END")
-    joined = lambda items: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{items}], lambda x: x IS NOT NULL))), ','), '')"
+    known = licenses.prepared(licenses.TEMPLATES, 0.8)
+    templates = ",\n      ".join(f"('{t.name}', '{t.label}', {words(t.words)}, {t.need}, {t.half}, {words(t.rivals)}::VARCHAR[])" for t in known)
+    joined = lambda items: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({items}, lambda x: x IS NOT NULL))), ','), '')"
     return f"""
     WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{licenses.TOKEN}') AS w FROM documents),
-    b AS (SELECT *, {places}, {", ".join(most)} FROM w), c AS (SELECT *, {every} AS p FROM b)
-    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word,
-      {joined(base)} AS base_labels, {joined(", ".join([base, *hits]))} AS labels,
-      CAST(greatest({", ".join(shares)}, CASE WHEN len(p) > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM c
+    t(name, label, t, need, half, rivals) AS (VALUES
+      {templates}),
+    b AS (SELECT doc_id, unnest(range(0, len(w), half)) AS i, w, name, label, t, need, half, rivals FROM w JOIN t ON len(list_intersect(t, w)) >= need),
+    m AS (SELECT doc_id, i, half, name, label, rivals, len(t) AS total, len(list_intersect(t, w[i + 1:i + 2 * half])) AS both, need FROM b),
+    m2 AS (SELECT *, both / total::DOUBLE AS share FROM m WHERE both >= need),
+    f AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM m2 x WHERE NOT EXISTS (
+      SELECT 1 FROM m2 y WHERE y.doc_id = x.doc_id AND y.i BETWEEN x.i - x.half AND x.i + x.half AND y.half = x.half AND list_contains(x.rivals, y.name) AND (y.both > x.both OR (y.both = x.both AND y.share > x.share))
+    ) GROUP BY doc_id),
+    c AS (SELECT *, {every} AS p, [{base}] AS base FROM (SELECT *, {places} FROM w))
+    SELECT c.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word,
+      {joined("base")} AS base_labels, {joined("list_concat(base, coalesce(f.labels, []))")} AS labels,
+      CAST(greatest(coalesce(f.share, 0), CASE WHEN len(p) > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM c LEFT JOIN f USING (doc_id)
     """
 
 

@@ -1,14 +1,16 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Candidates and queries are dealt into blocks by a hash of their id, and each pair of a candidate block and a query
-block is one bounded task. A query's score is a sum over groups of GROUP dimensions; in a candidate block every group
-has a list of the partial scores in descending order. The lists are read from their tops, a batch of all lists at a
-time. What was read of a candidate gives its partial score; an unread list adds at least the list's last and at most
-its reading place: lower and upper bounds. Reading stops when few candidates' upper bounds reach the k-th lower bound;
-the scores of those left are then resolved, and the blocks' best are merged by query. Lists are put in order no
-further than they are read.
+block is one bounded task. A score is a sum over dimensions. A candidate block has one list for each dimension, its
+components in order, sorted once for all queries of the task; a query reads a list from its top or, where its own
+component is negative, from its bottom, so products come in descending order. Lists are read side by side, a run of
+rows of each at a time, and never elsewhere. What was read of a candidate gives its partial score; a list that hasn't
+shown the candidate yet adds at least the list's least product and at most the product at its reading place: lower
+and upper bounds. A candidate whose upper bound is under the k-th best lower bound is an outsider; reading stops once
+few others are left. Their scores are then resolved, and the blocks' best are merged by query.
 
-Ties go to the smaller id, and bounds are compared so that equal scores stay in. Scores are integers.
+Ties go to the smaller id, and bounds are compared so that equal scores stay in. Scores are integers, exact as long as
+components times scale and the sums of products fit in 64 bits; components beyond that saturate.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; vectors of another length
 than the query's are no candidates for it; an empty vector has score 0 with other empty ones; repeated ids are
@@ -19,13 +21,12 @@ empty table. Extra columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted
 
-GROUP = 8
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -35,55 +36,77 @@ def usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     return vectors.filter(x.isNotNull() & quoted(key).isNotNull() & ~F.exists(x, bad)).select(quoted(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"))
 
 
-def nearest(ids: np.ndarray, parts: np.ndarray, own: int, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query; parts[:, g] is the list of group g, by candidate."""
-    n, groups = parts.shape
-    least = parts.min(axis=0)
-    live = np.flatnonzero(ids != own)
-    depth = min(first, n)
-    while groups and len(live) > 8 * k:
-        seen = np.zeros(n, np.int64)  # partial scores
-        lowest, highest = np.full(n, least.sum()), np.zeros(n, np.int64)  # what the unread lists add
-        place = np.empty(groups, np.int64)
-        for g in range(groups):
-            column = parts[:, g]
-            read = np.argpartition(column, n - depth)[n - depth :]
-            value = column[read]
-            place[g] = value.min()
-            seen[read] += value
-            lowest[read] -= least[g]
-            highest[read] -= place[g]
-        highest += place.sum()
-        low = (seen + lowest)[live]
+class Lists:
+    """A block's candidates, and by dimension their rows in ascending order of the component."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.rows = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(vectors, self.rows, axis=0)
+
+    def read(self, q: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and products at places start to stop of each list, products descending."""
+        n = len(self.ids)
+        top, bottom = slice(n - stop, n - start), slice(start, stop)
+        rising = q >= 0
+        rows = np.where(rising, self.rows[top][::-1], self.rows[bottom])
+        return rows, np.where(rising, self.values[top][::-1], self.values[bottom]) * q
+
+
+def nearest(lists: Lists, q: np.ndarray, own: int, k: int, step: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of the k best for one query, and how deep the lists were read."""
+    n, d = lists.vectors.shape
+    live = np.flatnonzero(lists.ids != own)
+    seen, known = np.zeros(n, np.int64), np.zeros((n, d), bool)
+    least = np.minimum(lists.values[0] * q, lists.values[-1] * q) if n else q
+    depth, dimension = 0, np.arange(d)
+    while d and depth < n and len(live) > 4 * k:
+        to = min(n, depth + step)
+        rows, products = lists.read(q, depth, to)
+        np.add.at(seen, rows.ravel(), products.ravel())
+        known[rows, dimension] = True
+        depth, step = to, 2 * step
+        unread = ~known[live]
+        low = seen[live] + np.where(unread, least, 0).sum(axis=1)
+        high = seen[live] + np.where(unread, products[-1], 0).sum(axis=1)
         edge = np.partition(low, len(live) - k)[len(live) - k]
-        live = live[(seen + highest)[live] >= edge]
-        if depth == n:
-            break
-        depth = min(n, 4 * depth)
-    scores = parts[live].sum(axis=1)  # resolved
-    best = np.lexsort((ids[live], -scores))[:k]
-    return ids[live][best], scores[best]
-
-
-def block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, step: int) -> pd.DataFrame:
-    out = []
-    for size, group in candidates.groupby(candidates["v"].map(len)):
-        asked = queries[queries["v"].map(len) == size]
-        if not len(asked):
-            continue
-        ids = group["id"].to_numpy(np.int64)
-        matrix = np.array(group["v"].tolist(), np.int64).reshape(len(ids), size)
-        starts = np.arange(0, size, GROUP)
-        for own, q in zip(asked["id"], asked["v"], strict=True):
-            products = matrix * np.asarray(q, np.int64)
-            parts = np.add.reduceat(products, starts, axis=1) if size else np.zeros((len(ids), 0), np.int64)
-            best, scores = nearest(ids, parts, own, k, step)
-            out += [(own, int(i), int(s)) for i, s in zip(best, scores, strict=True)]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 8192, query_rows: int = 256, step: int = 512) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score) for the rows of `vectors` where is_query holds, against all other rows."""
+        live = live[high >= edge]
+    scores = lists.vectors[live] @ q  # resolved
+    best = np.lexsort((lists.ids[live], -scores))[:k]
+    return lists.ids[live][best], scores[best], depth
+
+
+def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) by length of the vectors."""
+    ids = table.column("id").to_numpy()
+    lists = table.column("v").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy()
+    values, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        out[size] = ids[mine], values[(ends[mine] - size)[:, None] + np.arange(size)].reshape(len(mine), size).astype(np.int64)
+    return out
+
+
+def block(queries: pa.Table, candidates: pa.Table, k: int, step: int) -> pa.Table:
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
+    if len(queries) and len(candidates):
+        asked = matrices(queries)
+        for size, (ids, vectors) in matrices(candidates).items():
+            if size not in asked:
+                continue
+            lists = Lists(ids, vectors)
+            for own, q in zip(*asked[size], strict=True):
+                best, scores, _ = nearest(lists, q, own, k, step)
+                found.append((np.full(len(best), own), best, scores))
+    return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 8192, query_rows: int = 1024, step: int = 128) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score) for the rows of `vectors` where is_query holds, against all other rows.
+    A candidate is sent once for every `query_rows` queries, a query once for every `block_rows` candidates."""
     rows = usable(vectors, key, vector, scale)
     asked = usable(vectors.filter(is_query), key, vector, scale)
     n, m = rows.count(), asked.count()
@@ -91,6 +114,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     span = lambda size, total: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-total // size)) - 1)).cast("array<long>"))
     right = deal(rows, block_rows, n).withColumn("cb", F.col("own")).withColumn("qb", span(query_rows, m)).select("cb", "qb", "id", "v")
     left = deal(asked, query_rows, m).withColumn("qb", F.col("own")).withColumn("cb", span(block_rows, n)).select("cb", "qb", "id", "v")
-    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(lambda a, b: block(a, b, k, step), SCHEMA)
+    best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(lambda a, b: block(a, b, k, step), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

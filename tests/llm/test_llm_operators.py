@@ -120,6 +120,58 @@ def test_no_head_hides_a_link(spark):
     assert {(start, start + 2), (start + 1, start + 2)} <= whole
 
 
+def test_bystanders_hide_no_passage(spark):
+    """Two documents share a passage; smaller ids quote five words of it each, all places between them."""
+    rng = random.Random(13)
+    passage = unlike(rng, 60)
+    texts = [unlike(rng, 60) + passage[k : k + 5] + unlike(rng, 60) for k in range(56)]
+    texts += [unlike(rng, 30) + passage + unlike(rng, 30) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = substring.find(df).collect()
+    assert [(r["peer_id"], r["doc_id"], r["start_word"], r["end_word"]) for r in got] == [(56, 57, 30, 90)]
+
+
+@pytest.mark.parametrize("similarity,least", [(0.82, 0.95), (0.9, 0.97), (1.0, 1.0)])
+def test_recall_of_near_passages(spark, similarity, least):
+    """Pairs of passages of a given similarity, in documents of their own, against brute force."""
+    rng, texts, expected = random.Random(17), [], []
+    while len(expected) < 150:
+        a = unlike(rng, 110)
+        b = list(a)
+        while True:
+            c = list(b)
+            c[rng.randrange(110)] = unlike(rng, 1)[0]
+            x, y = shingles(" ".join(a), 5), shingles(" ".join(c), 5)
+            if len(x & y) / len(x | y) < similarity:
+                break
+            b = c
+        expected.append((len(texts), len(texts) + 1))
+        texts += [unlike(rng, 40) + a + unlike(rng, 40), unlike(rng, 20) + b + unlike(rng, 60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {(r["peer_id"], r["doc_id"]) for r in substring.find(df).collect()}
+    assert got <= set(expected) and len(got) >= least * len(expected)
+
+
+def test_keys_over_many_batches(spark):
+    """One passage in very many documents and very small batches: the open key runs on from batch to batch."""
+    rng = random.Random(18)
+    passage = unlike(rng, 60)
+    texts = [unlike(rng, 10) + passage + unlike(rng, 10) for _ in range(120)] + [passage * 3] * 2
+    df = spark.createDataFrame([(i % 121, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(passage))], "doc_id long, text string").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = substring.find(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    links = [(r["peer_id"], r["doc_id"]) for r in got]
+    assert all(r["n_words"] >= 60 for r in got if r["doc_id"] not in (0, 120) and r["peer_id"] not in (0, 120))
+    component = {i: i for i in range(121)}
+    for a, b in sorted(links) * 8:
+        component[a] = component[b] = min(component[a], component[b])
+    assert set(component.values()) == {0}
+
+
 def test_all_repeats_of_a_passage_are_found(spark):
     rng = random.Random(12)
     passage = unlike(rng, 60)
@@ -166,6 +218,68 @@ def test_forward_sums_all_segmentations():
         assert scorer.together([w])[0, 0] == pytest.approx(expected)
 
 
+def test_expected_uses_agree_with_all_segmentations():
+    pieces = sorted({"▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "babababababababababab"})
+    p = [*np.random.default_rng(2).dirichlet(np.ones(len(pieces))), langid.FLOOR]
+    lattice = langid.Lattice(pieces)
+
+    def every(s):
+        if not s:
+            yield 1.0, ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in lattice.number:
+                i = lattice.number[s[:k]]
+                for weight, uses in every(s[k:]):
+                    yield weight * p[i], (i, *uses)
+
+    for w in ("ab", "babab", "bab" * 4):
+        total, uses = 0.0, Counter()
+        for weight, used in every("▁" + w):
+            total += weight
+            for i in used:
+                uses[i] += weight
+        for got in (langid.expected, langid.expected_in_logs):
+            sums = Counter()
+            for i, x in got(lattice.edges(w), p):
+                sums[i] += x
+            assert dict(sums) == pytest.approx({i: x / total for i, x in uses.items()})
+    long = langid.expected(lattice.edges("ab" * 3000), p)  # words of any length are learned from
+    lengths = {lattice.number[x]: len(x) for x in pieces}
+    assert sum(x * lengths[i] for i, x in long) == pytest.approx(6001)
+
+
+def test_letters_are_letters_alone():
+    assert langid.letters("½ ² Ⅷ 12 _") == [] and langid.letters("Ab½c d1e _f ßÉ") == ["ab", "c", "d", "e", "f", "ßé"]
+
+
+def test_scores_and_predictions_against_brute_force(spark):
+    """fit, identify and its scores, held to sums over all segmentations with the fitted probabilities."""
+    rng = random.Random(6)
+    own = {"x": "lamo rita seno vula".split(), "y": "krat stug pelm dorf".split()}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(12)), lang) for i, lang in enumerate(["x", "y"] * 40)] + [(500, "lamo ½ krat", None), (501, "½ 12", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = vocabulary_file("piece_bpe_32k.model")
+    got = {r["doc_id"]: r for r in langid.identify(df, path).collect()}
+    pieces = langid.vocabulary(path)
+    learned = {lang: Counter(w for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 for w in langid.letters(t)) for lang in own}
+    model = {lang: langid.fit(words, pieces) for lang, words in learned.items()}
+    number = {x: i for i, x in enumerate(pieces)}
+
+    def chance(s, p):
+        if not s:
+            return 1.0
+        out = sum(p[number[s[:k]]] * chance(s[k:], p) for k in range(1, len(s) + 1) if s[:k] in number)
+        return out + (langid.FLOOR * chance(s[1:], p) if s[0] not in number else 0.0)
+
+    for i, t, _ in rows:
+        sums = {lang: sum(np.log(chance("▁" + w, p)) for w in langid.letters(t)) for lang, p in model.items()}
+        best = max(sums, key=sums.get)
+        if not langid.letters(t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        else:
+            assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 / sum(np.exp(v - sums[best]) for v in sums.values()))
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 
@@ -199,15 +313,43 @@ def test_mix_meets_targets(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
-def test_positions_invert_the_schedule():
-    for ramp in (0.0, 0.5, -0.5):
-        from geoquill.functions.mathx import Np
+def test_positions_invert_the_schedule(spark):
+    rows = [(ramp, part / 50) for ramp in (0.0, 0.5, -0.5, 0.99) for part in range(51)]
+    df = spark.createDataFrame(rows, "ramp double, part double").withColumn("t", mixing.when_demanded(F.col("part"), F.col("ramp")))
+    for r in df.collect():
+        # demand up to t is the integral of 1 + ramp * (2 u - 1)
+        steps = (np.arange(2000) + 0.5) / 2000 * r["t"]
+        assert (1 + r["ramp"] * (2 * steps - 1)).mean() * r["t"] == pytest.approx(r["part"], abs=1e-9)
 
-        t = np.linspace(0, 1, 11)
-        part = t + ramp * (t * t - t)
-        b = 1 - ramp
-        back = part if ramp == 0 else (Np.sqrt(b * b + 4 * ramp * part) - b) / (2 * ramp)
-        assert np.allclose(back, t)
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i if i % 7 else None, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 30))), rng.choice("abcd")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, bucket_rows=8, run_buckets=3).collect()
+    by = defaultdict(list)
+    for i, t, source in rows:
+        key = str(i) if i is not None else "text " + t
+        d = hashlib.md5(key.encode()).hexdigest()
+        by[source].append((int(d[:12], 16), d, len(t.split()), i, t))
+    places = {}
+    for k, (source, items) in enumerate(sorted(by.items())):
+        total = sum(x[2] for x in items)
+        whole = int(next(r["target"] for r in got if r["source"] == source))
+        ramp, start = (0.0, 0.5, -0.5)[k % 3], 0
+        for _, d, size, i, t in sorted(items):
+            took = [min(size, whole - p * total - start) for p in range(2)]
+            at = [(p * total + start) / whole for p in range(2) if size and whole > p * total + start]
+            solve = lambda x: x if not ramp else (-(1 - ramp) + ((1 - ramp) ** 2 + 4 * ramp * x) ** 0.5) / (2 * ramp)  # noqa: E731, B023
+            places[i, t, source] = (sum(max(0, x) for x in took), [solve(x) for x in at])
+            start += size
+    assert len(got) == len(rows)
+    for r in got:
+        took, at = places[r["doc_id"], r["text"], r["source"]]
+        assert r["taken"] == took and r["positions"] == pytest.approx(at)
+    order = [r["position"] for r in mixing.mix(df.coalesce(1), bucket_rows=8).collect()]
+    placed = [p for p in order if p is not None]
+    assert placed == sorted(placed) and None not in order[: len(placed)] and None in order
 
 
 # 4 -------------------------------------------------------------------------------------------
@@ -258,6 +400,31 @@ def test_gif_rules():
         list(gifcols.decode_gif(b"nothing"))
 
 
+def test_bad_media_are_noted(spark):
+    text = "some words of a payload " * 40
+    whole = gifcols.encode_gif(gifcols.payload(text)[1])
+    head = whole[: 13 + 768]
+    huge = whole[:6] + b"\xff\xff\xff\xff" + whole[10:]
+    one = bytearray(whole)
+    one[whole.index(b"\x2c\0\0\0\0") + 10] = 1  # a code size that isn't
+    media = [whole, whole[:-1], head, whole[:20], huge, bytes(one), b"GIF89a", b"", None]
+    df = spark.createDataFrame(list(enumerate(media)), "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in gifcols.decode(df).collect()}
+    assert got[0]["error"] is None and len(got[0]["frames"]) == 1
+    assert got[1]["error"] and len(got[1]["frames"]) == 1
+    assert all(got[i]["error"] and not got[i]["frames"] for i in range(2, 8)) and got[8]["error"] is None
+
+
+def test_a_full_table_stays_full():
+    codes = [256, *([7] * 9000), 257]
+    out, n, size = 0, 0, 0
+    widths = [9, *[int(w) for w in gifcols._widths(8, 9001)]]
+    for c, w in zip(codes, widths, strict=True):
+        out |= c << n
+        n += w
+    assert gifcols.expand(out.to_bytes(n // 8 + 1, "little"), 8, 9000) == bytes([7]) * 9000
+
+
 def test_gif_lzw_agrees_over_long_streams():
     rng = random.Random(4)
     for data in (bytes(rng.randrange(256) for _ in range(20000)), b"ab" * 9000, bytes(192), bytes(range(256)) * 30):
@@ -398,6 +565,8 @@ def test_bpe_equals_the_library(docs, rows, nothing):
     again = bpe.decode(docs.sparkSession.createDataFrame([(r["doc_id"], r["ids"]) for r in got], "doc_id long, ids array<int>"), path).collect()
     assert all(r["decoded"] == texts[r["doc_id"]] for r in again)
     assert bpe.encode(nothing, path).count() == 0
+    odd = docs.sparkSession.createDataFrame([(0, [library.encode("ab").ids[0], None, 10**8]), (1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(odd, path).orderBy("doc_id").collect()] == [library.decode(library.encode("ab").ids[:1]), "", ""]
 
 
 def test_forced_boundaries_lie_in_no_token():
@@ -488,6 +657,19 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_stops_reading_early():
+    rng = np.random.default_rng(4)
+    v = rng.exponential(40, (4000, 4)).round().astype(np.int64)
+    lists = topk.Lists(np.arange(4000), v)
+    depths = []
+    for q in (*v[:20], np.zeros(4, np.int64), -v[0]):
+        ids, scores, depth = topk.nearest(lists, q, 0, 10, 16)
+        expected = sorted((-int(v[i] @ q), i) for i in range(1, 4000))[:10]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == expected
+        depths.append(depth)
+    assert np.median(depths) <= 500
+
+
 # 9 -------------------------------------------------------------------------------------------
 
 
@@ -503,6 +685,19 @@ def test_shards(docs, rows, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_slots_with_small_buckets(spark):
+    rng = random.Random(15)
+    rows = [(None if i % 5 == 0 else i, rng.choice(["same text", f"text {i % 50}", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, again = (sharding.shard(d, shards=6, bucket_rows=7).collect() for d in (df, df.repartition(4)))
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), r["shard"], r["slot"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_shards_are_even_and_keep_copies_together(spark):
     rng = random.Random(8)
     rows = [(i, "hot text" * 20 if i % 3 == 0 else f"text {i // 4} " * rng.randint(5, 20)) for i in range(6000)]
@@ -519,22 +714,28 @@ def test_shards_are_even_and_keep_copies_together(spark):
 # 10 ------------------------------------------------------------------------------------------
 
 
-def brute_licenses(t):
+def brute_licenses(t, threshold=0.8):
     w = re.findall(licenses.TOKEN, (t or "").translate(LOWER))
-    places, base, best, found = [], set(), 0.0, set()
+    places, base, found = [], set(), []
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
         hits = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         places += hits
         base |= {label} if hits else set()
-    for label, template in licenses.TEMPLATES.items():
-        want = set(template.split())
-        for i in range(0, max(1, len(w)), 32):
-            share = len(want & set(w[i : i + 64])) / len(want)
-            if share >= 0.8 - 1e-12:
-                found.add(label)
-                best = max(best, share)
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best
+    known = licenses.prepared(licenses.TEMPLATES, threshold)
+    sets = {x.name: set(x.words) for x in known}
+    for x in known:
+        for i in range(0, len(w), x.half):
+            both = len(sets[x.name] & set(w[i : i + 2 * x.half]))
+            if both >= threshold * len(x.words) - 1e-9:
+                found.append((x.half, i, x.name, (both, both / len(x.words))))
+    left = []
+    for half, i, name, got in found:
+        rivals = [r for h, j, y, r in found if h == half and abs(i - j) <= half and y.split("/")[0] != name.split("/")[0] and len(sets[y] & sets[name]) >= threshold * len(sets[name]) - 1e-9]
+        if all(r <= got for r in rivals):
+            left.append((name.split("/")[0], got[1]))
+    best = max((s for _, s in left), default=0.0)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in left})), 1.0 if places else best
 
 
 def test_licenses(docs, rows, nothing):
@@ -546,3 +747,32 @@ def test_licenses(docs, rows, nothing):
         assert tuple(r[c] for c in licenses.OUT[:-1]) == e[:-1] and r["score"] == pytest.approx(e[-1])
     assert sum(r["labels"] != "" for r in got) >= 2
     assert licenses.scan(nothing).count() == 0
+
+
+def test_license_texts_get_their_own_label(spark):
+    rng = random.Random(30)
+    rows, expected = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        plain = " ".join(unlike(rng, rng.randrange(200)))
+        changed = text.split()
+        for at in rng.sample(range(len(changed)), len(changed) // 40):
+            changed[at] = "changed"
+        for body in (text, text.upper(), " ".join(changed)):
+            expected[len(rows)] = name.split("/")[0]
+            rows.append((len(rows), f"{plain} {body} {plain}"))
+    rows += [(k, " ".join(t.split()[::2])) for k, t in enumerate(licenses.TEMPLATES.values(), len(rows))]
+    rows.append((len(rows), " ".join(licenses.TEMPLATES.values())))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in rows:
+        e = brute_licenses(t)
+        assert tuple(got[i][c] for c in licenses.OUT[:-1]) == e[:-1] and got[i]["score"] == pytest.approx(e[-1])
+    assert len(licenses.TEMPLATES) >= 20
+    assert {i: got[i]["labels"] for i in expected} == expected
+
+
+def test_licenses_of_copies_and_nulls(spark):
+    text = licenses.TEMPLATES["cc-by-sa"]
+    rows = [(1, text)] * 40 + [(2, None), (3, ""), (4, licenses.TEMPLATES["cc-by"])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["labels"]) for r in got) == {(1, "cc-by-sa"): 40, (2, ""): 1, (3, ""): 1, (4, "cc-by"): 1}
+    assert {r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={}, phrases={"a creative commons": "cc"}).collect()} == {"", "cc"}
