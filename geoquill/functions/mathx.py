@@ -10,10 +10,13 @@ Missing values are NaN, never NULL. Division follows IEEE 754, whatever the sess
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 
 NAN = "double('NaN')"
+#: Characters of expressions that make a span of generated code of about 3000 bytes; the JVM compiles up to 8000.
+SPAN = 1500
 
 
 class E:
@@ -99,7 +102,7 @@ class Sql:
     """Builds column expressions."""
 
     def __init__(self, prefix: str = "_g"):
-        self.prefix, self.stages, self.count = prefix, [], 0
+        self.prefix, self.stages, self.count, self.weight = prefix, [], 0, 0
 
     def let(self, *values):
         out = []
@@ -108,6 +111,7 @@ class Sql:
                 out.append(v)
                 continue
             self.count += 1
+            self.weight += len(v.s)
             name = f"{self.prefix}{self.count}"
             while len(self.stages) <= v.level:
                 self.stages.append([])
@@ -125,6 +129,20 @@ class Sql:
     def isnan(self, a):
         return self._f("isnan({})", a)
 
+    def failed(self, *values):
+        """Whether one of some named values is NaN. Every SPAN characters of expressions the question is put as a
+        function over an array, which has no generated code: it ends a span of code, so that no method outgrows what
+        the JVM compiles."""
+        values = self.let(*values)
+        if self.weight < SPAN:
+            return reduce(lambda a, b: a | b, map(self.isnan, values))
+        self.weight = 0
+        return self._f("coalesce(exists(array(" + ", ".join(["{}"] * len(values)) + "), v -> isnan(v)), true)", *values)
+
+    def ratio(self, a, b):
+        """a / b where b is never 0."""
+        return self._f("coalesce(try_divide({}, {}), " + NAN + ")", a, b)
+
     def log(self, a):
         return self._f("coalesce(ln({}), " + NAN + ")", a)
 
@@ -172,6 +190,14 @@ class Np:
     def let(*values):
         return list(values) if len(values) > 1 else values[0]
 
+    @staticmethod
+    def failed(*values):
+        return reduce(np.logical_or, map(np.isnan, values))
+
+    @staticmethod
+    def ratio(a, b):
+        return a / b
+
     @staticmethod
     def pick(values, index):
         index = np.asarray(index, float)

@@ -31,8 +31,8 @@ ADAPTORS = {
     "neu:in": "adapt from=neuf", "neu:out": "adapt to=neuf", "enu:in": "adapt from=enuf", "enu:out": "adapt to=enuf",
 }
 #: A filter over a projection is pushed down by writing its columns' expressions out, again and again through every
-#: stage. Pipelines with more named values than this end in a column that isn't deterministic by name (it is always
-#: true), which keeps filters above them; filters on other columns belong before such a pipeline.
+#: stage. The results of pipelines with more named values than this are made by `inline` of one struct: filters on
+#: them stay above, filters on the input's columns go down to the scan.
 LONG = 8
 STACK = ("push", "pop", "roll", "unroll", "swap", "flip", "drop")
 
@@ -126,7 +126,7 @@ class Pipeline:
                 good.append((step.name, False))
                 continue
             c = list(m.let(*f(m, *c)))
-            bad = m.let(m.isnan(c[0]) | m.isnan(c[1]))
+            bad = m.let(m.failed(c[0], c[1]))
             good.append((step.name, ~bad if not isinstance(bad, (bool, np.bool_)) else not bad))
         return c, good
 
@@ -145,13 +145,16 @@ class Pipeline:
         c, good = self.run(m, *start, direction=direction)
         good = [wrap(g) for _, g in good]
         every = reduce(lambda a, b: a & b, good, E("true"))
-        if m.count > LONG:
-            every = every & E("(spark_partition_id() >= 0)")
         # a tuple that fails is NaN throughout
-        names = [f"if({every.s}, {wrap(v).s}, double('NaN')) AS `{n}`" for v, n in zip(c, into, strict=True)]
+        made = {n: f"if({every.s}, {wrap(v).s}, double('NaN'))" for v, n in zip(c, into, strict=True)}
+        made |= {ok: every.s} if ok else {}
+        made |= {f"ok_{k}": g.s for k, g in enumerate(good, 1)} if steps else {}
         for stage in m.stages:
             df = df.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
-        return df.selectExpr(*[f"`{k}`" for k in keep], *names, *([f"{every.s} AS `{ok}`"] if ok else []), *([f"{g.s} AS ok_{k}" for k, g in enumerate(good, 1)] if steps else []))
+        kept = [f"`{k}`" for k in keep]
+        if m.count <= LONG:
+            return df.selectExpr(*kept, *[f"{v} AS `{n}`" for n, v in made.items()])
+        return df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'{n}', {v}" for n, v in made.items()) + ")))")
 
     def _arrow(self, df: DataFrame, x: str, y: str, z: str | None, t: str | None, direction: str) -> DataFrame:
         plan = self
