@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from ..functions import geodesics
 from ..functions.ellipsoid import Ellipsoid
 from ..functions.mathx import Np, clamp, copysign, wrapped
@@ -476,48 +478,48 @@ def geos(p: Params) -> Op:
 
 @operator("tpeqd")
 def tpeqd(p: Params) -> Op:
-    """Distances from two points are true, on the sphere."""
+    """Distances from two points are true, on the sphere; longitudes count from the middle of the points'. On the map
+    a place is the third corner of a plane triangle with its two great-circle distances as sides; back, it is the third
+    corner of a spherical one."""
     a = p.ellps().a
-    f1, l1, f2, l2 = p.angle("lat_1"), p.angle("lon_1", 0.0), p.angle("lat_2"), p.angle("lon_2", 0.0)
-    if (f1, l1) == (f2, l2) or abs(f1) == HALF and abs(f2) == HALF:
-        raise p.fail("the two points are distinct and not both poles")
-    dlam = float(wrapped(Np, l2 - l1))
-    s1, c1, s2, c2 = math.sin(f1), math.cos(f1), math.sin(f2), math.cos(f2)
-    cross = (c2 * math.sin(dlam), c1 * s2 - s1 * c2 * math.cos(dlam))
-    z0 = math.atan2(math.hypot(*cross), s1 * s2 + c1 * c2 * math.cos(dlam))
-    if z0 == 0:
-        raise p.fail("the two points are distinct")
-    az = math.atan2(*cross)
-    tilt = math.asin(max(-1.0, min(1.0, c1 * math.sin(az))))
-    ca, sa = math.cos(tilt), math.sin(tilt)
-    lp = float(wrapped(Np, math.atan2(c1 * math.cos(az), s1) - z0 / 2))
-    half = dlam / 2
-    lamc = HALF - math.atan2(math.sin(az) * s1, math.cos(az)) - half
-    spread = c1 * c2 * math.sin(dlam)
-    tan_half, factor = math.tan(z0 / 2), 0.5 / math.sin(z0 / 2)
+    (f1, l1), (f2, l2) = ((p.angle(f"lat_{k}"), p.angle(f"lon_{k}", 0.0)) for k in (1, 2))
+    half = float(wrapped(Np, l2 - l1)) / 2
+    place = lambda lat, lon: np.array([math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)])
+    one, two = place(f1, -half), place(f2, half)
+    pole = np.cross(one, two)
+    base = math.atan2(float(np.linalg.norm(pole)), float(one @ two))
+    if base < 1e-12 or base > math.pi - 1e-12:
+        raise p.fail("the two points are distinct and not antipodes")
+    pole = pole / np.linalg.norm(pole)
+    ahead = np.cross(pole, one)  # from the first point towards the second
+    x_0, y_0 = p.x_0, p.y_0
+    dot = lambda u, v: u[0] * float(v[0]) + u[1] * float(v[1]) + u[2] * float(v[2])
 
-    def fwd(m, lam, lat):
-        s, c = m.let(m.sin(lat), m.cos(lat))
-        d1, d2 = m.let(lam + half, lam - half)
-        z1 = m.acos(clamp(m, s1 * s + c1 * c * m.cos(d1), -1.0, 1.0))
-        z2 = m.let(m.acos(clamp(m, s2 * s + c2 * c * m.cos(d2), -1.0, 1.0)))
-        t = m.let(z1 * z1 - z2 * z2)
-        y = m.let(m.sqrt(m.maximum(4 * z0 * z0 * z2 * z2 - (z0 * z0 - t) * (z0 * z0 - t), 0.0)) / (2 * z0))
-        below = spread * s - c * (c1 * s2 * m.sin(d1) - s1 * c2 * m.sin(d2)) < 0
-        return a / (2 * z0) * t, a * m.where(below, -y, y)
+    def fwd(m, lon, lat):
+        c = m.let(m.cos(lat))
+        v = m.let(c * m.cos(lon), c * m.sin(lon), m.sin(lat))
+        aside = m.let(dot(v, pole))
+
+        def away(point):
+            # across and along the great circle of both points
+            return m.atan2(m.hypot(aside, dot(v, np.cross(pole, point))), dot(v, point))
+
+        d1, d2 = m.let(away(one), away(two))
+        x = m.let((d1 - d2) * (d1 + d2) / (2 * base))
+        y = m.sqrt(m.maximum(d1 * d1 - (x + base / 2) * (x + base / 2), 0.0))
+        return a * x + x_0, a * m.where(aside < 0, -y, y) + y_0
 
     def inv(m, x, y):
-        x, y = m.let(x / a, y / a)
-        z1, z2 = m.let(m.cos(m.hypot(y, x + z0 / 2)), m.cos(m.hypot(y, x - z0 / 2)))
-        s, d = m.let(tan_half * (z1 + z2), z1 - z2)
-        lam = m.let(-m.atan2(d, s) - lp)
-        lat = m.acos(clamp(m, m.hypot(s, d) * factor, -1.0, 1.0))
-        lat = m.let(m.where(y < 0, -lat, lat))
-        sp, cp, cl = m.let(m.sin(lat), m.cos(lat), m.cos(lam))
-        return m.atan2(cp * m.sin(lam), sa * cp * cl - ca * sp) + lamc, m.asin(clamp(m, sa * sp + ca * cp * cl, -1.0, 1.0))
+        x, y = m.let((x - x_0) / a, (y - y_0) / a)
+        d1 = m.let(m.hypot(x + base / 2, y))
+        c1, s1 = m.let(m.cos(d1), m.sin(d1))
+        along = m.let((m.cos(m.hypot(x - base / 2, y)) - c1 * math.cos(base)) / math.sin(base))
+        across = m.let(m.sqrt(m.maximum(s1 * s1 - along * along, 0.0)))
+        across = m.let(m.where(y < 0, -across, across))
+        u, v, w = m.let(*(c1 * float(one[k]) + along * float(ahead[k]) + across * float(pole[k]) for k in range(3)))
+        return m.atan2(v, u), m.atan2(w, m.hypot(u, v))
 
-    x_0, y_0 = p.x_0, p.y_0
-    return plane(lambda m, x, y: tuple(v + o for v, o in zip(fwd(m, x, y), (x_0, y_0), strict=True)), lambda m, x, y: inv(m, *m.let(x - x_0, y - y_0)))
+    return plane(fwd, inv)
 
 
 # -- Krovak -----------------------------------------------------------------------------------
@@ -579,6 +581,7 @@ operator("krovak")(lambda p: _krovak(p, False))
 operator("mod_krovak")(lambda p: _krovak(p, True))
 
 
+
 @operator("poly")
 def poly(p: Params) -> Op:
     """American polyconic."""

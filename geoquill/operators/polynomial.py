@@ -153,43 +153,68 @@ def labrd(p: Params) -> Op:
     return Op(op.fwd, op.inv, arrow=True)
 
 
+def power_table(m, table: dict[tuple[int, int], float], u, v):
+    """Sum of c u^i v^j over a table {(i, j): c}, and its derivatives by u and v. Powers of u are all odd or all even."""
+    rows: dict[int, list[float]] = {}
+    for (i, j), c in table.items():
+        row = rows.setdefault(i, [])
+        row += [0.0] * (j + 1 - len(row))
+        row[j] += c
+
+    def horner(c, x):
+        """Value and derivative of a power series."""
+        value, slope = c[-1], 0.0
+        for k in reversed(c[:-1]):
+            value, slope = m.let(k + x * value, value + x * slope)
+        return value, slope
+
+    square = m.let(u * u)
+    first = min(rows)
+    inner = [horner(rows.get(i, [0.0]), v) for i in range(first, max(rows) + 1, 2)]
+    value, by_square = horner([c for c, _ in inner], square)
+    by_v, _ = horner([c for _, c in inner], square)
+    value, by_square, by_v = m.let(value, by_square, by_v)
+    if first:
+        return u * value, value + 2 * square * by_square, u * by_v
+    return value, 2 * u * by_square, by_v
+
+
 @operator("rouss")
 def rouss(p: Params) -> Op:
-    """Roussilhe's oblique stereographic projection by polynomials in arc length and parallel length."""
+    """Roussilhe's oblique stereographic projection: power series in the lengths of the parallel and of the meridian
+    arc. The inverse solves the same series by Newton's method."""
     e, lat_0, k = p.ellps(), p.lat_0, p.k_0
     if e.spherical:
         raise p.fail("an ellipsoid is needed")
-    s2 = e.es * math.sin(lat_0) ** 2
-    t, n = math.tan(lat_0), 1 / math.sqrt(1 - s2)
-    g, t2, s0, a = (1 - s2) ** 2 / (1 - e.es), math.tan(lat_0) ** 2, float(e.arc(Np, lat_0)) / e.a, e.a
-    # coefficients of the published expansions, by power of the parallel length and of the arc
-    x30, x31 = g * (2 * t2 - 1 - 2 * s2) / 12, g * t * (1 + 4 * t2) / (12 * n)
-    x12, x14, x32, x50 = g / 4, g * g / 24, g * g * (-1 + t2 * (11 + 12 * t2)) / 24, g * g * (-2 + t2 * (11 - 2 * t2)) / 240
-    y20, y03, y21, y40 = t / (2 * n), g / 12, g * (1 + 2 * t2 - 2 * s2) / 4, g * t * (2 - t2) / (24 * n)
-    y22, y41, y23, y05 = g * t * (5 + 4 * t2) / (8 * n), g * g * (-2 + t2 * (-5 + 6 * t2)) / 48, g * g * (5 + t2 * (19 + 12 * t2)) / 24, g * g / 120
+    a, origin = e.a, float(e.arc(Np, lat_0)) / e.a
+    t, t2, dip = math.tan(lat_0), math.tan(lat_0) ** 2, 2 * e.es * math.sin(lat_0) ** 2
+    n = float(e.prime_vertical(Np, lat_0)) / a
+    g = a * a / float(e.prime_vertical(Np, lat_0) * e.meridian(Np, lat_0))  # Gaussian curvature of the unit ellipsoid
+    # the published series, by powers of the parallel's and the arc's length
+    east = {
+        (1, 0): 1.0, (1, 2): g / 4, (1, 4): g * g / 24,
+        (3, 0): g / 12 * (1 + dip - 2 * t2), (3, 1): -g * t / n / 12 * (1 + 4 * t2), (3, 2): g * g / 24 * (1 - 11 * t2 - 12 * t2 * t2),
+        (5, 0): g * g / 240 * (2 - 11 * t2 + 2 * t2 * t2),
+    }
+    north = {
+        (0, 1): 1.0, (0, 3): g / 12, (0, 5): g * g / 120,
+        (2, 0): t / n / 2, (2, 1): g / 4 * (1 - dip + 2 * t2), (2, 2): g * t / n / 8 * (5 + 4 * t2), (2, 3): g * g / 24 * (5 + 19 * t2 + 12 * t2 * t2),
+        (4, 0): g * t / n / 24 * (2 - t2), (4, 1): g * g / 48 * (2 + 5 * t2 - 6 * t2 * t2),
+    }
 
     def fwd(m, lam, lat):
-        s = m.let(e.arc(m, lat) / a - s0)
-        al = m.let(lam * e.msfn(m, lat))
-        a2, ss = m.let(al * al, s * s)
-        x = al * (1 + ss * (x12 + ss * x14) - a2 * (x30 + s * x31 + ss * x32 + a2 * x50))
-        y = a2 * (y20 + a2 * y40) + s * (1 + a2 * (y21 - a2 * y41) + ss * (y03 + ss * y05) + s * a2 * (y22 + s * y23))
-        return a * k * x, a * k * y
-
-    c1, c2, c3 = g / 4, g * (2 * t2 - 1 - 2 * s2) / 12, g * t * (1 + t2) / (3 * n)
-    c4, c5, c6 = g * g * (-3 + t2 * (34 + 22 * t2)) / 240, g * g * (4 + t2 * (13 + 12 * t2)) / 24, g * g / 16
-    c7, c8 = g * g * t * (11 + t2 * (33 + 16 * t2)) / (48 * n), g * g * t * (1 + 4 * t2) / (36 * n)
-    d1, d2, d3, d4 = t / (2 * n), g / 12, g * (2 * t2 + 1 - 2 * s2) / 4, g * t * (1 + t2) / (8 * n)
-    d5, d6, d7, d8 = g * t * (1 + 2 * t2) / (4 * n), g * g * (1 + t2 * (6 + 6 * t2)) / 16, g * g * t2 * (3 + 4 * t2) / 8, g * g / 80
-    d9, d10, d11 = g * g * t * (-21 + t2 * (178 - 26 * t2)) / 720, g * g * t * (29 + t2 * (86 + 48 * t2)) / (96 * n), g * g * t * (37 + 44 * t2) / (96 * n)
+        u, v = m.let(lam * e.msfn(m, lat), e.arc(m, lat) / a - origin)
+        return a * k * power_table(m, east, u, v)[0], a * k * power_table(m, north, u, v)[0]
 
     def inv(m, x, y):
         x, y = m.let(x / (a * k), y / (a * k))
-        x2, y2 = m.let(x * x, y * y)
-        al = x * (1 - c1 * y2 + x2 * (c2 + c3 * y - c4 * x2 + c5 * y2 - c7 * x2 * y) + y2 * (c6 * y2 - c8 * x2 * y))
-        s = s0 + y * (1 + y2 * (-d2 + d8 * y2)) + x2 * (-d1 + y * (-d3 + y * (-d5 + y * (-d7 + y * d11))) + x2 * (d4 + y * (d6 + y * d10) - x2 * d9))
-        lat = m.let(e.lat_of_arc(m, s * a))
-        return al / e.msfn(m, lat), lat
+        u, v = x, y
+        for _ in range(5):
+            (f, fu, fv), (h, hu, hv) = (m.let(*power_table(m, c, u, v)) for c in (east, north))
+            f, h, det = m.let(f - x, h - y, fu * hv - fv * hu)
+            u, v = m.let(u - (f * hv - h * fv) / det, v - (h * fu - f * hu) / det)
+        lat = m.let(e.lat_of_arc(m, (v + origin) * a))
+        return u / e.msfn(m, lat), lat
 
     return framed(p, fwd, inv, wrap=False)
 
@@ -266,7 +291,7 @@ def tunmg(p: Params) -> Op:
 # -- space oblique Mercator -------------------------------------------------------------------
 
 
-def space_oblique(p: Params, tilt: float, ratio: float, lon_0: float, start: float) -> Op:
+def space_oblique(p: Params, tilt: float, ratio: float, lon_0: float) -> Op:
     """Along the ground track of a satellite with the orbit's inclination and the ratio of its period to a day."""
     if not 0 <= tilt <= math.pi or ratio < 0:
         raise p.fail("the orbit is out of range")
@@ -294,44 +319,50 @@ def space_oblique(p: Params, tilt: float, ratio: float, lon_0: float, start: flo
     c1, c3 = (across * np.cos(lam)).sum() / 15, (across * np.cos(3 * lam)).sum() / 45
     a = e.a
 
+    def lengths(track):
+        """Distances along and across for points of the track."""
+        return b * track + a2 * np.sin(2 * track) + a4 * np.sin(4 * track), c1 * np.sin(track) + c3 * np.sin(3 * track)
+
+    def bearing(lon, tan, track):
+        """Angle along the orbit of a place (longitude, tangent of the reduced latitude) when the satellite is at track."""
+        look = lon + ratio * track
+        return np.arctan2(tan * sa + np.sin(look) * ca, np.cos(look))
+
+    def passing(lon, tan, peak, middle):
+        """The track angle at which the satellite passes a place, within a quarter turn of `middle`, for a place met near
+        `peak`: bearing less track, up to half turns, falls through 0 there."""
+        half = lambda angle: np.remainder(angle + HALF, math.pi) - HALF
+        track = middle + half(bearing(lon, tan, peak) - middle)
+        low, high = track - 0.9, track + 0.9
+        for _ in range(55):
+            track = (low + high) / 2
+            ahead = half(bearing(lon, tan, track) - track) > 0
+            low, high = np.where(ahead, track, low), np.where(ahead, high, track)
+        return track
+
     def fwd(m, lon, lat):
         lon, lat = lon - lon_0, np.clip(lat, -HALF, HALF)
-        tan = np.tan(lat)
-        begin = np.where(lat >= 0, HALF, HALF + math.pi)
-        track, apparent = np.full(np.shape(lon), np.nan), np.zeros(np.shape(lon))
-        open_ = np.ones(np.shape(lon), bool)
-        for _ in range(3):  # the pass of the satellite that sees the point
-            side = np.where(np.cos(lon + ratio * begin) < 0, 1.0, -1.0)
-            base = begin + side * np.sin(begin) * HALF
-            now, done = begin, np.zeros(np.shape(lon), bool)
-            value, seen = begin, apparent
-            for _ in range(51):
-                look = lon + ratio * now
-                c = np.cos(look)
-                c = np.where(np.abs(c) < 1e-7, np.copysign(1e-7, c), c)
-                new = np.arctan((one * tan * sa + np.sin(look) * ca) / c) + base
-                value, seen = np.where(done, value, new), np.where(done, seen, look)
-                done |= np.abs(np.abs(now) - np.abs(new)) < 1e-7
-                now = new
-            track, apparent = np.where(open_ & done, value, track), np.where(open_, seen, apparent)
-            open_ &= ~(done | (value > start) & (value < start + 2 * math.pi))
-            begin = np.where(open_, np.where(value <= start, 2 * math.pi + HALF, HALF), begin)
+        tan = one * np.tan(lat)
+        # northern places are met about a quarter turn after the ascending node, southern ones after three
+        peak = np.where(lat >= 0, HALF, HALF + math.pi)
+        behind = np.cos(lon + ratio * peak) < 0
+        track = passing(lon, tan, peak, peak + np.where(behind == (lat >= 0), HALF, -HALF))
         s = np.sin(lat)
-        high = np.arcsin(np.clip((one * ca * s - sa * np.cos(lat) * np.sin(apparent)) / np.sqrt(1 - es * s * s), -1, 1))
-        high = np.arcsinh(np.tan(high))
+        offset = np.arcsin(np.clip((one * ca * s - sa * np.cos(lat) * np.sin(lon + ratio * track)) / np.sqrt(1 - es * s * s), -1, 1))
+        along, across = lengths(track)
         slope = slant(Np, track)
-        d = np.hypot(j, slope)
-        x = b * track + a2 * np.sin(2 * track) + a4 * np.sin(4 * track) - high * slope / d
-        return a * x, a * (c1 * np.sin(track) + c3 * np.sin(3 * track) + high * j / d)
+        height = np.arcsinh(np.tan(offset)) / np.hypot(j, slope)
+        return a * (along - slope * height), a * (across + j * height)
 
     def inv(m, x, y):
         x, y = x / a, y / a
         track = x / b
         for _ in range(50):
             s = slant(Np, track) / j
-            track = (x + y * s - a2 * np.sin(2 * track) - a4 * np.sin(4 * track) - s * (c1 * np.sin(track) + c3 * np.sin(3 * track))) / b
+            along, across = lengths(track)
+            track = track + (x - along + s * (y - across)) / b
         s = slant(Np, track) / j
-        high = np.arctan(np.sinh(np.sqrt(1 + s * s) * (y - c1 * np.sin(track) - c3 * np.sin(3 * track))))
+        high = np.arctan(np.sinh(np.sqrt(1 + s * s) * (y - lengths(track)[1])))
         safe = np.where(np.abs(np.cos(track)) < 1e-7, track - 1e-7, track)
         sp = np.sin(high)
         s2, t2 = sp * sp, np.sin(track) ** 2
@@ -353,7 +384,7 @@ def som(p: Params) -> Op:
         text = p.text(key)
         return float(text[:-1]) if text.endswith("r") else p.angle(key)
 
-    return space_oblique(p, angle("inc_angle"), p.real("ps_rev"), angle("asc_lon"), 0.0)
+    return space_oblique(p, angle("inc_angle"), p.real("ps_rev"), angle("asc_lon"))
 
 
 @operator("misrsom")
@@ -361,7 +392,7 @@ def misrsom(p: Params) -> Op:
     path = p.natural("path")
     if not 1 <= path <= 233:
         raise p.fail("path is 1 to 233")
-    return space_oblique(p, math.radians(98.30382), 98.88 / 1440, math.radians(129.3056) - 2 * math.pi / 233 * path, 0.0)
+    return space_oblique(p, math.radians(98.30382), 98.88 / 1440, math.radians(129.3056) - 2 * math.pi / 233 * path)
 
 
 @operator("lsat")
@@ -372,4 +403,4 @@ def lsat(p: Params) -> Op:
     if not 1 <= number <= 5 or not 1 <= path <= paths:
         raise p.fail("lsat is 1 to 5, path within its orbits")
     tilt, period, first = (99.092, 103.2669323, 128.87) if early else (98.2, 98.8841202, 129.3)
-    return space_oblique(p, math.radians(tilt), period / 1440, math.radians(first) - 2 * math.pi / paths * path, math.pi * (1 / 248 + 0.5161290322580645))
+    return space_oblique(p, math.radians(tilt), period / 1440, math.radians(first) - 2 * math.pi / paths * path)
