@@ -407,6 +407,16 @@ def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
 
 
 NODES = ("least", "most", "more", "label", "bits")
+#: Bits of the second, wider bitmap of a leaf's root, against which single sets are held.
+WIDE = 1 << 16
+
+
+def wide(sets: list[bytes]) -> bytes:
+    marks = np.zeros(WIDE, np.uint8)
+    marks[(np.frombuffer(b"".join(sets), np.uint64) % np.uint64(WIDE)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
 PLACE = ["block", "part", "leaf"]
 
 
@@ -433,30 +443,33 @@ def marked(nodes: DataFrame) -> DataFrame:
     return nodes.withColumnsRenamed({c: c + "2" for c in nodes.columns if c != "block"})
 
 
-def further_links(leaves: DataFrame, links: DataFrame, least: int, scale: int, made: list[str]) -> DataFrame:
+def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least: int, scale: int, made: list[str]) -> DataFrame:
     """Links between components of the links so far, of blocks with several leaves, by dual traversal of block trees."""
     labels = components(links, made)
-    sets = leaves.filter("leaves > 1").select("block", F.explode("sets").alias("s")).select("block", "s.*")
-    sets = sets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    shares = sets.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("m"))
+    nodes = blocks.filter("leaves > 1").select("block", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    shares = nodes.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     shares = shares.withColumn("part", F.when(F.col("n") >= OWN, F.col("label")).otherwise(-1))
     fill = F.ceil(F.greatest(F.sum("n") / LEAF, F.sum("m") / LEAF_SHINGLES)).cast("long")
     parts = shares.groupBy("block", "part").agg(fill.alias("fill"))
     # sets by a component of their own, and all others of the block
-    placed = sets.join(cut(shares.join(parts, ["block", "part"]).select("block", "label", "part", "fill"), "jaccard-parts", made), ["block", "label"])
-    placed = placed.withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("fill")))
-    grown = placed.groupBy(*PLACE).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("sets"))
+    leaf = F.pmod(F.xxhash64("node"), F.col("fill")).alias("leaf")
+    placed = nodes.join(shares.join(parts, ["block", "part"]).select("block", "label", "part", "fill"), ["block", "label"]).select("node", "label", "part", leaf)
+    placed = cut(placed, "jaccard-placed", made)
+    sets = leaves.filter("leaves > 1").select("block", F.explode("sets").alias("s")).select("block", "s.*")
+    grown = sets.join(placed, "node").groupBy(*PLACE).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("sets"))
     grown = cut(grown, "jaccard-grown", made)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
-                top = planted(row.column(3)[0].as_py(), labels="label").levels[-1]
-                yield batch_of({**dict(zip(PLACE, row.columns, strict=False)), "size": [1], "least": top.least, "most": top.most, "more": top.more, "label": top.label, "bits": pa.array([top.bits[0].tobytes()], pa.binary())})
+                items = row.column(3)[0].as_py()
+                top = planted(items, labels="label").levels[-1]
+                yield batch_of({**dict(zip(PLACE, row.columns, strict=False)), "size": [len(items)], "least": top.least, "most": top.most, "more": top.more, "label": top.label, "bits": pa.array([top.bits[0].tobytes()], pa.binary()), "wide": pa.array([wide([x["shingles"] for x in items])], pa.binary())})
 
     key = "block long, part long, leaf long, "
-    levels = [cut(grown.mapInArrow(roots, key + NODE), "jaccard-nodes", made)]
+    base = cut(grown.mapInArrow(roots, key + NODE + ", wide binary"), "jaccard-nodes", made)
+    levels = [base.drop("wide")]
     while (levels[-1].agg(F.max("leaf")).first()[0] or 0) >= TRUNK:
         node = F.struct("size", *NODES).alias("node")
         groups = levels[-1].groupBy("block", "part", F.floor(F.col("leaf") / TRUNK).alias("leaf")).agg(F.collect_list(node).alias("children"))
@@ -470,23 +483,45 @@ def further_links(leaves: DataFrame, links: DataFrame, least: int, scale: int, m
     while levels:
         below = levels.pop().drop("size").withColumn("up", F.floor(F.col("leaf") / TRUNK))
         up = pairs.withColumnsRenamed({"leaf": "up", "leaf2": "up2"})
-        both = up.join(below, ["block", "part", "up"]).drop("up").join(marked(below).withColumnRenamed("up2", "up2"), ["block", "part2", "up2"]).filter(ordered)
+        both = up.join(below, ["block", "part", "up"]).drop("up").join(marked(below), ["block", "part2", "up2"]).filter(ordered)
         pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = None, Union()  # the second side's rows come together; what they joined stays known
+    # down from the roots on one side: sets that may link to something below a root; a set goes only to those
+    many = base.groupBy("block").agg(F.ceil(F.count("*") / 128).alias("many"))
+    other = marked(base.select(*PLACE, "least", "most", "label", "wide"))
+    asked = pairs.filter(place("") != place("2")).join(other, ["block", "part2", "leaf2"]).join(many, "block")
+    asked = asked.groupBy(*PLACE, F.pmod(F.xxhash64("part2", "leaf2"), F.col("many")).alias("chunk"))
+    asked = asked.agg(F.collect_list(F.struct("part2", "leaf2", "least2", "most2", "label2", "wide2")).alias("roots")).join(grown, PLACE)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                key = [batch.column(c)[k].as_py() for c in range(3)]
-                if key != mine:
-                    mine, seen, y = key, Union(), planted(batch.column(4)[k].as_py(), labels="label")
-                x = planted(batch.column(3)[k].as_py(), labels="label")
-                yield found(list(traverse(x, y, least, scale, seen)))
+                block, items = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                sets = [np.frombuffer(x["shingles"], np.uint64) for x in items]
+                sizes, labels = np.array([len(s) for s in sets], np.int64), np.array([x["label"] for x in items], np.int64)
+                at, first = np.concatenate(sets) % np.uint64(WIDE), np.cumsum(sizes) - sizes
+                for root in batch.column(1)[k].as_py():
+                    marks = np.unpackbits(np.frombuffer(root["wide2"], np.uint8), bitorder="little")
+                    hits = np.add.reduceat(marks[at.astype(np.int64)], first, dtype=np.int64)
+                    smallest = np.maximum(root["least2"], -(-least * sizes // scale))
+                    ok = (labels != root["label2"]) & (least * sizes <= scale * root["most2"]) & (least * root["least2"] <= scale * sizes) & ((scale + least) * hits >= least * (sizes + smallest))
+                    left = [items[i] for i in np.flatnonzero(ok)]
+                    n = len(left)
+                    yield batch_of({"block": [block] * n, "part2": [root["part2"]] * n, "leaf2": [root["leaf2"]] * n, "node": [x["node"] for x in left], "label": [x["label"] for x in left], "shingles": pa.array([x["shingles"] for x in left], pa.binary())})
+
+    asked = asked.select("block", "roots", "sets")
+    sifted = cut(asked.mapInArrow(sift, "block long, part2 long, leaf2 long, node long, label long, shingles binary"), "jaccard-sifted", made)
+    there = ["block", "part2", "leaf2"]
+    chunks = sifted.groupBy(*there).agg(F.ceil(F.count("*") / (4 * LEAF)).alias("chunks"))
+    callers = sifted.join(chunks, there).groupBy(*there, F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("callers"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                yield found(list(traverse(planted(x.as_py(), labels="label"), planted(y.as_py(), labels="label"), least, scale, Union())))
 
-    other = pairs.filter(place("") != place("2"))
-    first = other.join(grown, PLACE)
-    second = grown.select("block", F.col("part").alias("part2"), F.col("leaf").alias("leaf2"), F.col("sets").alias("sets2"))
-    return first.join(second, ["block", "part2", "leaf2"]).select("block", "part2", "leaf2", "sets", "sets2").mapInArrow(across, LINKS)
+    second = grown.withColumnsRenamed({"part": "part2", "leaf": "leaf2"})
+    return callers.join(second, there).select("callers", "sets").mapInArrow(across, LINKS)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, least: int = 90, scale: int = 100) -> DataFrame:
@@ -513,13 +548,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
                 yield batch_of({**dict(zip(("node", "block", "leaves", "leaf"), part.columns, strict=False)), "shingles": pa.array(sets, pa.binary())})
 
     leaf = F.pmod(F.xxhash64("node"), F.col("leaves"))
-    held = rows.join(blocks, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "block", "leaves", leaf.alias("leaf"), "text")
+    # blocks grow with the table: a merge join at every size, no broadcast
+    held = rows.join(blocks.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "block", "leaves", leaf.alias("leaf"), "text")
     held = held.mapInArrow(members, "node long, block long, leaves long, leaf long, shingles binary")
     leaves = held.groupBy("block", "leaves", "leaf").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
     leaves = cut(leaves, "jaccard-leaves", made)
     links = cut(first_links(leaves, least, scale), "jaccard-links", made)
     if not leaves.filter("leaves > 1").isEmpty():
-        more = cut(further_links(leaves, links, least, scale, made), "jaccard-links", made)
+        more = cut(further_links(leaves, blocks, links, least, scale, made), "jaccard-links", made)
         links = links.union(more)
     nodes = classes.join(components(links, made), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h"))
