@@ -32,13 +32,19 @@ def direct(ellps: Ellipsoid, lon, lat, azimuth, distance):
     a, b = _series(ellps, cos2_alpha)
     first = distance / (ellps.b * a)
     sigma, live = first.copy(), np.isfinite(first)
+    rows = np.flatnonzero(live)  # only rows that still move are computed
+    sigma, live = np.atleast_1d(sigma), np.atleast_1d(live).copy()
+    first, b, sigma1 = (np.atleast_1d(v) for v in (first, b, sigma1))
     for _ in range(ROUNDS):
-        cos_2m = np.cos(2 * sigma1 + sigma)
-        new = np.where(live, first + _delta(b, np.sin(sigma), np.cos(sigma), cos_2m), sigma)
-        live = live & (np.abs(new - sigma) > 1e-13)
-        sigma = new
-        if not live.any():
+        if not len(rows):
             break
+        old = sigma[rows]
+        new = first[rows] + _delta(b[rows], np.sin(old), np.cos(old), np.cos(2 * sigma1[rows] + old))
+        sigma[rows] = new
+        rows = rows[np.abs(new - old) > 1e-13]
+    live = np.isin(np.arange(len(sigma)), rows)
+    shape = lon.shape
+    sigma, live, sigma1, b = (v.reshape(shape) for v in (sigma, live, sigma1, b))
     cos_2m, sin_s, cos_s = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
     x = sin_u * sin_s - cos_u * cos_s * cos_a
     lat2 = np.arctan2(sin_u * cos_s + cos_u * sin_s * cos_a, (1 - ellps.f) * np.hypot(sin_alpha, x))
@@ -58,27 +64,34 @@ def inverse(ellps: Ellipsoid, lon1, lat1, lon2, lat2):
     s1, s2 = t1 * c1, t2 * c2
     span = lon2 - lon1
     span = span - 2 * np.pi * np.round(span / (2 * np.pi))
-    lam, live = span.copy(), np.isfinite(span)
+    shape = span.shape
+    s1, c1, s2, c2, span, lat1, lat2 = (np.atleast_1d(v) for v in (s1, c1, s2, c2, span, lat1, lat2))
+    lam = span.copy()
+    state = {k: np.full(span.shape, np.nan) for k in ("sin_s", "cos_s", "sigma", "cos2_alpha", "cos_2m")}
     with np.errstate(all="ignore"):
+        rows = np.flatnonzero(np.isfinite(span))  # only rows that still move are computed
         for _ in range(ROUNDS):
-            sin_l, cos_l = np.sin(lam), np.cos(lam)
-            sin_s = np.hypot(c2 * sin_l, c1 * s2 - s1 * c2 * cos_l)
-            cos_s = s1 * s2 + c1 * c2 * cos_l
+            if not len(rows):
+                break
+            u1, v1, u2, v2, old = s1[rows], c1[rows], s2[rows], c2[rows], lam[rows]
+            sin_l, cos_l = np.sin(old), np.cos(old)
+            sin_s = np.hypot(v2 * sin_l, v1 * u2 - u1 * v2 * cos_l)
+            cos_s = u1 * u2 + v1 * v2 * cos_l
             sigma = np.arctan2(sin_s, cos_s)
-            sin_alpha = np.where(sin_s == 0, 0.0, c1 * c2 * sin_l / np.where(sin_s == 0, 1, sin_s))
+            sin_alpha = np.where(sin_s == 0, 0.0, v1 * v2 * sin_l / np.where(sin_s == 0, 1, sin_s))
             cos2_alpha = 1 - sin_alpha**2
-            cos_2m = np.where(cos2_alpha == 0, 0.0, cos_s - 2 * s1 * s2 / np.where(cos2_alpha == 0, 1, cos2_alpha))
+            cos_2m = np.where(cos2_alpha == 0, 0.0, cos_s - 2 * u1 * u2 / np.where(cos2_alpha == 0, 1, cos2_alpha))
             c = ellps.f / 16 * cos2_alpha * (4 + ellps.f * (4 - 3 * cos2_alpha))
-            new = span + (1 - c) * ellps.f * sin_alpha * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
-            moved = np.abs(new - lam)
-            lam = np.where(live, new, lam)
-            live = live & (moved > 1e-12)
-            if not live.any():
-                break
-        a, b = _series(ellps, cos2_alpha)
-        s = ellps.b * a * (sigma - _delta(b, sin_s, cos_s, cos_2m))
+            new = span[rows] + (1 - c) * ellps.f * sin_alpha * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
+            lam[rows] = new
+            for k, v in zip(state, (sin_s, cos_s, sigma, cos2_alpha, cos_2m), strict=True):
+                state[k][rows] = v
+            rows = rows[~(np.abs(new - old) <= 1e-12)]
+        a, b = _series(ellps, state["cos2_alpha"])
+        s = ellps.b * a * (state["sigma"] - _delta(b, state["sin_s"], state["cos_s"], state["cos_2m"]))
         sin_l, cos_l = np.sin(lam), np.cos(lam)
         az1 = np.arctan2(c2 * sin_l, c1 * s2 - s1 * c2 * cos_l)
         az2 = np.arctan2(c1 * sin_l, c1 * s2 * cos_l - s1 * c2)
+    open_ = np.isin(np.arange(len(lam)), rows)
     same = (span == 0) & (lat1 == lat2)
-    return tuple(np.where(live, np.nan, np.where(same, 0.0, v)) for v in (az1, az2, s))
+    return tuple(np.where(open_, np.nan, np.where(same, 0.0, v)).reshape(shape) for v in (az1, az2, s))

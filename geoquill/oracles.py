@@ -314,15 +314,10 @@ def sql() -> dict[str, str]:
     out["grid_misses"] = f"{pts('world')} SELECT k FROM pts WHERE NOT ({box})"
     near = "lon BETWEEN 7.5 AND 16.5 AND lat BETWEEN 53.5 AND 58.5"  # half a cell beyond is still taken
     out["pipeline_success_counts"] = f"{pts('world')} SELECT count(*) AS n, count(*) AS ok_1, count(*) FILTER (WHERE {near}) AS ok_2, count(*) FILTER (WHERE {near}) AS ok_3, count(*) FILTER (WHERE {near}) AS successes FROM pts"
-    # nearest supplier of the customer's nation, by the chord between geocentric positions
-    stations = f"s0 AS (SELECT s_nationkey AS nation, {points('nordic', 'supplier', 's_suppkey')[7:]}), s1 AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM s0), s2 AS (SELECT nation, k AS s, {_geocentric()[0]} AS sx, {_geocentric()[1]} AS sy, {_geocentric()[2]} AS sz FROM s1)"
-    chord = "sqrt(pow(gx - sx, 2) + pow(gy - sy, 2) + pow(gz - sz, 2))"
-    out["nearest_supplier"] = f"{pts('nordic')}{geo}, {stations} SELECT k, s AS supplier, round(chord, 3) AS chord FROM (SELECT k, s, {chord} AS chord, row_number() OVER (PARTITION BY k ORDER BY {chord}, s) AS n FROM g JOIN customer ON k = c_custkey JOIN s2 ON nation = c_nationkey) WHERE n = 1"
-    tracks = f"WITH p0 AS (SELECT o_custkey AS c, o_orderdate AS ordered, {points('nordic', 'orders', 'o_orderkey')[7:]}), pts AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM p0)"
-    legs = "lag(gx) OVER w AS px, lag(gy) OVER w AS py, lag(gz) OVER w AS pz"
-    out["route_length_per_customer"] = f"{tracks}{geo}, l AS (SELECT c, gx, gy, gz, {legs} FROM g WINDOW w AS (PARTITION BY c ORDER BY ordered, k)) SELECT c AS customer, round(sum(coalesce(sqrt(pow(gx - px, 2) + pow(gy - py, 2) + pow(gz - pz, 2)), 0)), 1) AS metres, count(*) AS n FROM l GROUP BY c"
     tile = f"CAST(floor((lam + {d(pi)}) / {d(2 * pi)} * 4) AS INTEGER) AS tx, CAST(floor((1 - asinh(tan(phi)) / {d(pi)}) / 2 * 4) AS INTEGER) AS ty"
     out["bbox_rollup"] = f"{pts('world')}, b AS (SELECT {tile} FROM pts) SELECT tx, ty, count(*) AS n FROM b GROUP BY ROLLUP (tx, ty)"
     ev = f"WITH p0 AS (SELECT ts, {points('nordic', 'events', 'event_id')[7:]}), pts AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM p0)"
     out["events_window_centroid"] = f"{ev} SELECT date_trunc('hour', ts) AS start, round(avg(6378137 * lam), 1) + 0.0 AS x, round(avg(6378137 * asinh(tan(phi))), 1) + 0.0 AS y, count(*) AS n FROM pts GROUP BY 1"
-    return out
+    from . import oracles_more
+
+    return out | oracles_more.sql()
