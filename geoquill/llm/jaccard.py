@@ -407,8 +407,9 @@ def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
 
 
 NODES = ("least", "most", "more", "label", "bits")
-#: Bits of the second, wider bitmap of a leaf's root, against which single sets are held.
-WIDE = 1 << 16
+#: Bits of the second, wider bitmap of a leaf's root, against which single sets are held: one in eight is set at most
+#: (but for a leaf of one very large set). Roots that come to a leaf together.
+WIDE, ROOTS = 8 * LEAF_SHINGLES, 32
 
 
 def wide(sets: list[bytes]) -> bytes:
@@ -487,7 +488,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
         pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
 
     # down from the roots on one side: sets that may link to something below a root; a set goes only to those
-    many = base.groupBy("block").agg(F.ceil(F.count("*") / 128).alias("many"))
+    many = base.groupBy("block").agg(F.ceil(F.count("*") / ROOTS).alias("many"))
     other = marked(base.select(*PLACE, "least", "most", "label", "wide"))
     asked = pairs.filter(place("") != place("2")).join(other, ["block", "part2", "leaf2"]).join(many, "block")
     asked = asked.groupBy(*PLACE, F.pmod(F.xxhash64("part2", "leaf2"), F.col("many")).alias("chunk"))

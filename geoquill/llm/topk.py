@@ -41,34 +41,45 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.rows = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(vectors, self.rows, axis=0)
+        self.rows = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(np.ascontiguousarray(vectors.T), self.rows, axis=1).astype(float)
 
-    def read(self, q: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and products at places start to stop of each list, products descending."""
+    def read(self, rising: np.ndarray, falling: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and components at places start to stop of each list: from the top for rising dimensions, else from the
+        bottom; the last place read is the last column."""
         n = len(self.ids)
-        top, bottom = slice(n - stop, n - start), slice(start, stop)
-        rising = q >= 0
-        rows = np.where(rising, self.rows[top][::-1], self.rows[bottom])
-        return rows, np.where(rising, self.values[top][::-1], self.values[bottom]) * q
+        top = slice(n - stop, n - start)
+        rows = np.concatenate((self.rows[rising, top][:, ::-1], self.rows[falling, start:stop]))
+        return rows, np.concatenate((self.values[rising, top][:, ::-1], self.values[falling, start:stop]))
 
 
 def nearest(lists: Lists, q: np.ndarray, own: int, k: int, step: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best for one query, and how deep the lists were read."""
+    """Ids and scores of the k best for one query, and how deep the lists were read. Partial scores are doubles that
+    hold whole numbers exactly; where they couldn't, all candidates are resolved."""
     n, d = lists.vectors.shape
-    live = np.flatnonzero(lists.ids != own)
-    seen, known = np.zeros(n, np.int64), np.zeros((n, d), bool)
-    least = np.minimum(lists.values[0] * q, lists.values[-1] * q) if n else q
-    depth, dimension = 0, np.arange(d)
-    while d and depth < n and len(live) > 4 * k:
-        to = min(n, depth + step)
-        rows, products = lists.read(q, depth, to)
-        np.add.at(seen, rows.ravel(), products.ravel())
-        known[rows, dimension] = True
+    live, depth = np.flatnonzero(lists.ids != own), 0
+    rising, falling = np.flatnonzero(q >= 0), np.flatnonzero(q < 0)
+    order = np.concatenate((rising, falling))
+    weight = q[order].astype(float)
+    few = max(4 * k, n // 16)
+    if n and d:
+        ends = np.stack((lists.values[order, 0], lists.values[order, -1])) * weight[:, None].T
+        least = ends.min(axis=0)
+        if float(np.abs(ends).max(axis=0).sum()) >= 2.0**53:
+            few = n
+    seen, known = np.zeros(n), np.zeros((d, n))
+    while d and depth + step <= (n + 1) // 2 and len(live) > few:
+        to = depth + step
+        rows, values = lists.read(rising, falling, depth, to)
+        products = values * weight[:, None]
+        seen += np.bincount(rows.ravel(), products.ravel(), n)
+        for j in range(d):
+            known[j, rows[j]] = 1.0
         depth, step = to, 2 * step
-        unread = ~known[live]
-        low = seen[live] + np.where(unread, least, 0).sum(axis=1)
-        high = seen[live] + np.where(unread, products[-1], 0).sum(axis=1)
+        # a list that hasn't shown a candidate adds its least product at least, that at the reading place at most
+        bounds = np.stack((least, products[:, -1]))
+        low, high = seen + bounds.sum(axis=1)[:, None] - bounds @ known
+        low, high = low[live], high[live]
         edge = np.partition(low, len(live) - k)[len(live) - k]
         live = live[high >= edge]
     scores = lists.vectors[live] @ q  # resolved
@@ -104,7 +115,7 @@ def block(queries: pa.Table, candidates: pa.Table, k: int, step: int) -> pa.Tabl
     return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 8192, query_rows: int = 1024, step: int = 128) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 4096, query_rows: int = 1024, step: int = 512) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) for the rows of `vectors` where is_query holds, against all other rows.
     A candidate is sent once for every `query_rows` queries, a query once for every `block_rows` candidates."""
     rows = usable(vectors, key, vector, scale)

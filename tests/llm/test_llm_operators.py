@@ -662,9 +662,9 @@ def test_top_k_stops_reading_early():
     v = (rng.exponential(40, (4000, 1)) * rng.uniform(0.5, 1, (4000, 4))).round().astype(np.int64)
     lists = topk.Lists(np.arange(4000), v)
     depths = []
-    for q in (*v[:20], np.zeros(4, np.int64), -v[0]):
+    for q in (*v[:20], np.zeros(4, np.int64), -v[0], v[0] * 2**45):
         ids, scores, depth = topk.nearest(lists, q, 0, 10, 16)
-        expected = sorted((-int(v[i] @ q), i) for i in range(1, 4000))[:10]
+        expected = sorted((-sum(a * b for a, b in zip(v[i].tolist(), q.tolist(), strict=True)), i) for i in range(1, 4000))[:10]
         assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == expected
         depths.append(depth)
     assert np.median(depths) <= 100
