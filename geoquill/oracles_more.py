@@ -431,6 +431,35 @@ def sheets() -> dict[str, str]:
     return out
 
 
+def recipes() -> dict[str, str]:
+    """Windows, registers, column functions, plane geometry."""
+    from .oracles import points
+
+    out = {}
+    ev = f"WITH p0 AS (SELECT ts, user_id, {points('nordic', 'events', 'event_id')[7:]}), pts AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM p0), e AS (SELECT *, 6378137 * lam AS ex, 6378137 * asinh(tan(phi)) AS ey FROM pts)"
+    half = "time_bucket(INTERVAL 30 MINUTES, ts, TIMESTAMP '2000-01-01 00:00:00')"
+    out["events_sliding_centroid"] = f"{ev}, w AS (SELECT *, unnest([{half}, {half} - INTERVAL 30 MINUTES]) AS start FROM e) SELECT start, round(avg(ex), 1) + 0.0 AS x, round(avg(ey), 1) + 0.0 AS y, count(*) AS n FROM w GROUP BY start"
+    out["events_session_extent"] = (
+        f"{ev}, g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)"
+        " SELECT user_id, min(ts) AS start, round(min(ex), 2) + 0.0 AS west, round(max(ex), 2) + 0.0 AS east, round(min(ey), 2) + 0.0 AS south, round(max(ey), 2) + 0.0 AS north, count(*) AS n FROM s GROUP BY user_id, session"
+    )
+    steps, x, y = transverse(10, 0.99998, 400000)
+    out["registered_grid"] = f"{pts('nordic')}{steps} SELECT k, round({x}, 3) + 0.0 AS x, round(-5000000 + {y}, 3) + 0.0 AS y FROM tn"
+    s1 = "(sin(phi) * sin(phi))"
+    g80 = f"9.7803267715::DOUBLE * (1 + {s1} * (5.2790414e-3 + {s1} * (2.327180e-5 + {s1} * (1.262e-7 + {s1} * 7.0e-10)))) - (3.0877e-6 - 4.3e-9 * {s1} + 7.2e-13 * h) * h"
+    src = f"{pts('world')}, src AS (SELECT pts.*, c_nationkey AS nation, phi AS lat1, lam AS lon1, {d(radians(55))} AS lat2, {d(radians(12))} AS lon2 FROM pts JOIN customer ON k = c_custkey)"
+    out["place_measures"] = recursive(
+        f"{src}{between('src', 'k')} SELECT nation, round(avg(metres), 1) AS metres, round(avg({NU}), 3) AS prime, round(avg(degrees(asin({qs()} / {d(q_of(pi / 2))}))), 7) AS authalic, round(avg({g80}), 8) AS gravity,"
+        f" round(avg(({NU} + h) * cos(phi) * cos(lam)), 2) AS x, round(avg({arc()}), 2) AS arc FROM src JOIN gd USING (k) GROUP BY nation"
+    )
+    # the second segment is lat = 54 + (lon - 8) / 2; the first falls by 2 over 4 degrees
+    t = "((54 + (lon - 8) / 2 - lat) / (-2 - 2))"
+    hit = f"{t} >= 0 AND {t} <= 1 AND lon + 4 * {t} BETWEEN 8 AND 16"
+    out["segment_crossings"] = f"{pts('nordic')} SELECT k, CASE WHEN {hit} THEN 1 ELSE 0 END AS n, CASE WHEN {hit} THEN round(lon + 4 * {t}, 6) + 0.0 END AS x, CASE WHEN {hit} THEN round(lat - 2 * {t}, 6) + 0.0 END AS y FROM pts"
+    out["push_pop"] = f"{pts('world')} SELECT k, round(lon, 6) + 0.0 AS x, round(lat, 6) + 0.0 AS y, round(h, 6) + 0.0 AS z FROM pts"
+    return out
+
+
 def _series() -> list[float]:
     from .oracles import mercator_series
 
@@ -447,5 +476,5 @@ def sql() -> dict[str, str]:
         "robin_fwd": robinson(), "guam_aeqd_fwd": guam(), "calcofi_fwd": calcofi(), "col_urban_fwd": col_urban(), "rouss_fwd": roussilhe(), "krovak_fwd": krovak(False), "mod_krovak_fwd": krovak(True),
         "omerc_fwd": hotine(), "ocea_fwd": oblique_area(), "tmgrid_fwd": zoned(), "qsc_fwd": cube_top(), "tpeqd_fwd": two_points(), "labrd_fwd": laborde(),
         "misrsom_fwd": ground_track(*misr), "lsat_fwd": ground_track(*landsat), "som_fwd": ground_track(radians(98), 0.0687, radians(40)),
-        **cones(), **polynomials(), **geodesic_queries(), **sheets(),
+        **cones(), **polynomials(), **geodesic_queries(), **sheets(), **recipes(),
     }

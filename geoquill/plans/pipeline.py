@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import E, Np, Sql, wrap
+from . import registers
 from .language import PipelineError, Step, expand, inverted
 from .parameters import Params
 from .registry import OPERATORS, Op
@@ -38,12 +39,32 @@ STACK = ("push", "pop", "roll", "unroll", "swap", "flip", "drop")
 
 
 class Context:
-    """Macros, operators and grids that pipelines of a session know."""
+    """Macros, operators and grids that pipelines of a session know. Macros that aren't registered are looked for in
+    the folders `paths` and then among the bundled ones (see plans.registers)."""
 
-    def __init__(self):
+    def __init__(self, paths: list[str] | tuple[str, ...] = ()):
         self.macros: dict[str, str] = dict(ADAPTORS)
         self.operators: dict[str, Callable[[Params], Op]] = {}
         self.grids: dict[str, object] = {}
+        self.paths = list(paths)
+
+    def macro(self, name: str) -> str | None:
+        """The text of a macro."""
+        if name not in self.macros:
+            found = registers.look_up(name, self.paths)
+            if found is None:
+                return None
+            self.macros[name] = found
+        return self.macros[name]
+
+    def register_text(self, prefix: str, text: str) -> None:
+        """All macros of a register: fenced blocks of a Markdown text."""
+        self.macros |= {f"{prefix}:{suffix}": body for suffix, body in registers.blocks(text).items()}
+
+    def register_point_operator(self, name: str, build: Callable[[Params], object]) -> None:
+        """An operator on single points: build gives an object with fwd((x, y, z, t)) and, where there is one, inv;
+        both give four numbers, or None for a failure. Every point is a Python call: use it where nothing else does."""
+        self.operators[name] = lambda p: by_point(build(p))
 
     def register_macro(self, name: str, text: str) -> None:
         if ":" not in name:
@@ -68,7 +89,7 @@ class Pipeline:
 
         load()
         self.text, self.context = text, context or Context()
-        self.steps = expand(native(text), self.context.macros.get)
+        self.steps = expand(native(text), self.context.macro)
         if not self.steps:
             self.steps = [Step("noop")]
         self.ops = [self._bind(s) for s in self.steps]
@@ -254,6 +275,23 @@ def _stack(step: Step, back: bool, c: list, stack: list) -> bool:
     return not fails
 
 
+def by_point(operator: object) -> Op:
+    """An array operator from one on points."""
+
+    def over(f):
+        def run(m, x, y, z, t):
+            rows = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, y, z, t)))
+            shape = rows[0].shape
+            made = [f(c) for c in zip(*(r.ravel().tolist() for r in rows), strict=True)]
+            table = np.array([c if c is not None else (math.nan,) * 4 for c in made], float).reshape(-1, 4)
+            return tuple(table[:, k].reshape(shape) for k in range(4))
+
+        return run
+
+    back = getattr(operator, "inv", None)
+    return Op(over(operator.fwd), over(back) if back else None, arrow=True)
+
+
 def transform(df: DataFrame, text: str, x: str, y: str, **options) -> DataFrame:
     """Pipeline(text).transform(...) in one call."""
     return Pipeline(text, options.pop("context", None)).transform(df, x, y, **options)

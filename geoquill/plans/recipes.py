@@ -28,7 +28,8 @@ def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by:
     """(key, station, metres): for each place the nearest station with the same value of `by`; ties to the smaller
     station. Places whose `by` has no station are left out.
 
-    Stations lie in cells of latitude and longitude, by value of `by` so large that a cell has about `per_cell`.
+    Stations lie in cells of latitude and longitude, by value of `by` so large that a cell has about `per_cell`; up to
+    16 times as many stations are one cell.
     A place is compared with the stations of its cell and the eight around it, and is done if those are all there are, or
     if the nearest is nearer than anything beyond can be. The others go on with cells twice as large, until one cell is
     the whole globe; so the work for each place is bounded by the density of stations, not by their number. Tables of a
@@ -39,7 +40,7 @@ def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by:
     # the first size of cells: extent over the root of the number of cells wanted
     extent = b.groupBy("g").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat2", "lon2")])
     area = F.greatest(F.col("max_lat2") - F.col("min_lat2"), F.lit(1e-3)) * F.greatest(F.col("max_lon2") - F.col("min_lon2"), F.lit(1e-3))
-    level = F.ceil(F.log2(F.sqrt(area / F.greatest(F.col("n") / per_cell, F.lit(1.0))))).cast("int")
+    level = F.when(F.col("n") <= 16 * per_cell, 9).otherwise(F.ceil(F.log2(F.sqrt(area / (F.col("n") / per_cell))))).cast("int")
     box = [f"{f}_{c}" for f in ("min", "max") for c in ("lat2", "lon2")]
     sizes = extent.select("g", level.alias("level"), *box)
     a, b = _kept(a.join(F.broadcast(sizes), "g") if sizes.count() <= 10_000 else a.join(sizes, "g"), "places"), _kept(b.join(sizes, "g"), "stations")

@@ -19,7 +19,8 @@ from .plans.factors import factors
 from .plans.pipeline import Context, Pipeline
 from .sources import gridstore, text
 from .sources.gridfiles import Grid
-from .streaming import centroids
+from .functions import columns as geo
+from .streaming import centroids, sessions, sliding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,6 +208,42 @@ def events_window_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("start", rounded("x", 1).alias("x"), rounded("y", 1).alias("y"), "n")
 
 
+def events_sliding_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = points(spark, sf_dir, "nordic", "events", "event_id", "ts")
+    out = sliding(events, Pipeline("webmerc"), "ts", "lam", "phi")
+    return out.select("start", rounded("x", 1).alias("x"), rounded("y", 1).alias("y"), "n")
+
+
+def events_session_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = points(spark, sf_dir, "nordic", "events", "event_id", "ts", "user_id")
+    out = sessions(events, Pipeline("webmerc"), "ts", "lam", "phi", "user_id", "6 hours")
+    return out.select("user_id", "start", *[rounded(c, 2).alias(c) for c in ("west", "east", "south", "north")], "n")
+
+
+def registered_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a macro of a bundled register."""
+    out = Pipeline("TM:DKTM2").transform(points(spark, sf_dir, "nordic"), "lat", "lon")
+    return out.select("k", rounded("x", 3).alias("x"), rounded("y", 3).alias("y"))
+
+
+def place_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column functions in an aggregation."""
+    df = points(spark, sf_dir, "world", "customer", "c_custkey", "c_nationkey AS nation")
+    cart = geo.cartesian("lon", "lat", "h")
+    return df.groupBy("nation").agg(
+        F.round(F.avg(geo.distance("lat", "lon", F.lit(55.0), F.lit(12.0))), 1).alias("metres"), F.round(F.avg(geo.prime_vertical("lat")), 3).alias("prime"),
+        F.round(F.avg(geo.latitude("lat", "authalic")), 7).alias("authalic"), F.round(F.avg(geo.gravity("lat", "h")), 8).alias("gravity"), F.round(F.avg(cart["x"]), 2).alias("x"), F.round(F.avg(geo.meridian_distance("lat")), 2).alias("arc"),
+    )
+
+
+def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a leg of each customer meets the legs from (8, 54) to (16, 58)."""
+    df = points(spark, sf_dir, "nordic")
+    met = geo.intersection("lon", "lat", F.col("lon") + 4, F.col("lat") - 2, F.lit(8.0), F.lit(54.0), F.lit(16.0), F.lit(58.0))
+    one = F.try_element_at(met, F.lit(1))
+    return df.select("k", F.size(met).alias("n"), rounded(one["x"], 6).alias("x"), rounded(one["y"], 6).alias("y"))
+
+
 def geodesic_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between customers and the suppliers that they ordered from."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"))
@@ -302,6 +339,12 @@ def queries() -> dict[str, Query]:
         "events_window_centroid": events_window_centroid,
         "geodesic_inverse": geodesic_inverse,
         "geodesic_direct": geodesic_direct,
+        "events_sliding_centroid": events_sliding_centroid,
+        "events_session_extent": events_session_extent,
+        "registered_grid": registered_grid,
+        "place_measures": place_measures,
+        "segment_crossings": segment_crossings,
+        "push_pop": partial(elements, "push v_1 v_2 | addone | addone | pop v_2 v_1", ("x", "y", "z"), 6),
         "map_factors_utm": map_factors_utm,
         "roundtrip_report": roundtrip_report,
         "proj_strings": proj_strings,

@@ -40,6 +40,30 @@ def names(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(store).groupBy("grid_id").agg(F.max("level").alias("level"), F.count("*").alias("cells"))
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, grid_id: str, store: str) -> bool:
+    """Takes a grid out of the store; False if it isn't there."""
+    known = [r["grid_id"] for r in names(spark, store).collect()]
+    found = [g for g in known if g == grid_id or g.startswith(f"{grid_id}/")]
+    for g in found:
+        p, fs = _folder(spark, f"{store}/grid_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(g)}")
+        fs.delete(p, True)
+    return bool(found)
+
+
+def vacuum(spark: SparkSession, store: str) -> None:
+    """Rewrites the store with one file for each grid."""
+    fresh = f"{store.rstrip('/')}.fresh"
+    spark.read.parquet(store).repartition("grid_id").write.mode("overwrite").partitionBy("grid_id").parquet(fresh)
+    (old, fs), (new, _) = _folder(spark, store), _folder(spark, fresh)
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
 def place(c: Column, origin: Column, step: Column, count: Column) -> Column:
     """The cell along one axis, border cells reaching outwards."""
     return F.least(F.greatest(F.floor((c - origin) / step), F.lit(0)), count - 2).cast("int")
