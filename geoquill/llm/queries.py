@@ -35,7 +35,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
