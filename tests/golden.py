@@ -1,5 +1,6 @@
 """Published or tool-computed positions by projection: definition, latitude, longitude (degrees), x, y, tolerance."""
 
+#: Positions of the literature and of the test collections that the projections are published with.
 GOLDEN = [
     ('btmerc k_0=0.9996 lon_0=9 x_0=500000', 55.0, 12.0, 691875.632139661, 6098907.825005012, 0.005),
     ('butm zone=32', 55.0, 12.0, 691875.632139661, 6098907.825005012, 0.005),
