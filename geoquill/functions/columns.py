@@ -2,8 +2,8 @@
 aggregation.
 
 Angles are in degrees and lengths in metres. Closed formulas are ordinary expressions of Spark's own functions, compiled
-with the rest of the plan. Geodesics iterate until they stand still, so they run on Arrow batches. Null stays null or
-becomes NaN; a place that isn't one gives NaN.
+with the rest of the plan. Geodesics iterate until they stand still, so they run on Arrow batches; where they don't
+converge (near antipodes), and for null or NaN, they are null.
 """
 
 from __future__ import annotations

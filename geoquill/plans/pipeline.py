@@ -159,7 +159,7 @@ class Pipeline:
         if engine == "arrow" or engine == "auto" and self.on_arrays:
             out = self._arrow(df, x, y, z, t, direction)
             bits = F.col("_geo.bits")
-            return out.select(*[f"`{c}`" for c in keep], *[F.col(f"_geo.{k}").alias(n) for k, n in zip("xyzt", into, strict=True)], *([F.col("_geo.ok").alias(ok)] if ok else []), *([(F.shiftright(bits, k) % 2 == 1).alias(f"ok_{k + 1}") for k in range(len(self._order(direction)))] if steps else []))
+            return out.select(*[f"`{c}`" for c in keep], *[F.coalesce(f"_geo.{k}", F.lit(math.nan)).alias(n) for k, n in zip("xyzt", into, strict=True)], *([F.col("_geo.ok").alias(ok)] if ok else []), *([(F.shiftright(bits, k) % 2 == 1).alias(f"ok_{k + 1}") for k in range(len(self._order(direction)))] if steps else []))
         m = Sql()
         start = [E(f"coalesce(double(`{c}`), double('NaN'))") if c else E("0.0D") if k == 2 else nan for k, c in enumerate((x, y, z, t))]
         start = m.let(*start)

@@ -35,8 +35,9 @@ def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by:
     the whole globe; so the work for each place is bounded by the density of stations, not by their number. Tables of a
     round are written once.
     """
-    a = places.select(F.col(key).alias("k"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    b = stations.select(F.col(station).alias("s"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat2"), F.col("lon").cast("double").alias("lon2"))
+    lon = F.pmod(F.col("lon").cast("double") + 180.0, F.lit(360.0)) - 180.0
+    a = places.select(F.col(key).alias("k"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat"), lon.alias("lon"))
+    b = stations.select(F.col(station).alias("s"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat2"), lon.alias("lon2"))
     # the first size of cells: extent over the root of the number of cells wanted
     extent = b.groupBy("g").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat2", "lon2")])
     area = F.greatest(F.col("max_lat2") - F.col("min_lat2"), F.lit(1e-3)) * F.greatest(F.col("max_lon2") - F.col("min_lon2"), F.lit(1e-3))
@@ -56,7 +57,7 @@ def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by:
         held = b.select("s", "g", "lat2", "lon2", row("lat2").alias("r"), column("lon2").cast("long").alias("c"))
         pairs = near.join(held, ["g", "r", "c"]).withColumn("metres", geo.distance("lat", "lon", "lat2", "lon2", ellps))
         # a geodesic that doesn't converge is nearly half the globe long
-        pairs = pairs.withColumn("metres", F.when(F.isnan("metres"), F.lit(2.0e7)).otherwise(F.col("metres")))
+        pairs = pairs.withColumn("metres", F.coalesce(F.nanvl("metres", F.lit(2.0e7)), F.lit(2.0e7)))
         within = lambda cell, c, at: (cell(f"min_{c}") >= cell(at) - 1) & (cell(f"max_{c}") <= cell(at) + 1)
         all_there = within(row, "lat2", "lat") & within(column, "lon2", "lon")
         best = pairs.groupBy("k", "g", "lat", "lon", "level", *box).agg(F.min(F.struct("metres", "s")).alias("b"))
