@@ -47,7 +47,7 @@ from .graph import components
 
 #: Bits of a node's bitmap; sets and shingles of a leaf on average; children of a node.
 BITS = 4096
-LEAF, LEAF_SHINGLES, FAN = 256, 1 << 17, 8
+LEAF, LEAF_SHINGLES, FAN = 2048, 1 << 20, 8
 #: A component of so many sets of a block has leaves of its own; leaves under a node of the table.
 OWN, TRUNK = 64, 32
 
@@ -409,7 +409,7 @@ def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
 NODES = ("least", "most", "more", "label", "bits")
 #: Bits of the second, wider bitmap of a leaf's root, against which single sets are held: one in eight is set at most
 #: (but for a leaf of one very large set). Roots that come to a leaf together.
-WIDE, ROOTS = 8 * LEAF_SHINGLES, 32
+WIDE, ROOTS = 8 * LEAF_SHINGLES, 8
 
 
 def wide(sets: list[bytes]) -> bytes:
@@ -448,14 +448,14 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     """Links between components of the links so far, of blocks with several leaves, by dual traversal of block trees."""
     labels = components(links, made)
     nodes = blocks.filter("leaves > 1").select("block", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    shares = nodes.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    shares = shares.withColumn("part", F.when(F.col("n") >= OWN, F.col("label")).otherwise(-1))
-    fill = F.ceil(F.greatest(F.sum("n") / LEAF, F.sum("m") / LEAF_SHINGLES)).cast("long")
-    parts = shares.groupBy("block", "part").agg(fill.alias("fill"))
-    # sets by a component of their own, and all others of the block
+    shares = nodes.groupBy("block", "label").agg(F.count("*").alias("n"))
+    # sets by a component of their own, and all others of the block by size, so that leaves of far sizes don't meet
+    part = F.when(F.col("n") >= OWN, F.col("label")).otherwise(-1 - F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1.2)))
+    nodes = nodes.join(shares, ["block", "label"]).withColumn("part", part)
+    fill = F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n_shingles") / LEAF_SHINGLES)).cast("long")
+    parts = nodes.groupBy("block", "part").agg(fill.alias("fill"))
     leaf = F.pmod(F.xxhash64("node"), F.col("fill")).alias("leaf")
-    placed = nodes.join(shares.join(parts, ["block", "part"]).select("block", "label", "part", "fill"), ["block", "label"]).select("node", "label", "part", leaf)
-    placed = cut(placed, "jaccard-placed", made)
+    placed = cut(nodes.join(parts, ["block", "part"]).select("node", "label", "part", leaf), "jaccard-placed", made)
     sets = leaves.filter("leaves > 1").select("block", F.explode("sets").alias("s")).select("block", "s.*")
     grown = sets.join(placed, "node").groupBy(*PLACE).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("sets"))
     grown = cut(grown, "jaccard-grown", made)
@@ -479,7 +479,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     place = lambda mark: F.struct(F.col("part" + mark), F.col("leaf" + mark))
     ordered = "part < part2 or (part = part2 and leaf <= leaf2)"
     # roots of one component don't meet
-    both = top.join(marked(top), "block").filter(ordered).filter("part <> part2 or part = -1")
+    both = top.join(marked(top), "block").filter(ordered).filter("part <> part2 or part < 0")
     pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
     while levels:
         below = levels.pop().drop("size").withColumn("up", F.floor(F.col("leaf") / TRUNK))
@@ -521,8 +521,16 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield found(list(traverse(planted(x.as_py(), labels="label"), planted(y.as_py(), labels="label"), least, scale, Union())))
 
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in batch.column(0):
+                t = planted(sets.as_py(), labels="label")
+                yield found(list(traverse(t, t, least, scale, Union())))
+
+    # sets that were dealt into one leaf now but not before
+    inner = grown.filter("part < 0").select("sets").mapInArrow(within, LINKS)
     second = grown.withColumnsRenamed({"part": "part2", "leaf": "leaf2"})
-    return callers.join(second, there).select("callers", "sets").mapInArrow(across, LINKS)
+    return inner.union(callers.join(second, there).select("callers", "sets").mapInArrow(across, LINKS))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, least: int = 90, scale: int = 100) -> DataFrame:

@@ -517,7 +517,7 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("leaf,trunk", [(256, 32), (24, 2)])
+@pytest.mark.parametrize("leaf,trunk", [(256, 32), (24, 2)])  # smaller leaves than usual, to have several
 def test_a_block_of_many_near_copies(spark, monkeypatch, leaf, trunk):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "TRUNK", trunk)
@@ -532,6 +532,26 @@ def test_a_block_of_many_near_copies(spark, monkeypatch, leaf, trunk):
     assert sum({r["representative"]: r["n_links"] for r in got}.values()) < 6 * n
 
 
+def test_a_loose_block_of_several_leaves(spark, monkeypatch):
+    """Unlike texts that share passages lie in one block; near copies among them are found wherever they are dealt."""
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    monkeypatch.setattr(jaccard, "OWN", 6)
+    monkeypatch.setattr(jaccard, "TRUNK", 3)
+    monkeypatch.setattr(jaccard, "ROOTS", 2)
+    rng = random.Random(23)
+    shared = [unlike(rng, 60) for _ in range(3)]
+    texts = [unlike(rng, rng.randint(20, 90)) + shared[i % 3] + shared[(i + 1) % 3] + unlike(rng, 5) for i in range(110)]
+    for i in range(0, 110, 2):
+        w = list(texts[i])
+        w[rng.randrange(len(w))] = "other"
+        texts.append(w)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = brute_components(rows, 3, 90, 100)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert len({c for _, c in expected.values()}) == 110
+
+
 def test_an_id_on_two_texts_keeps_the_links_of_both(spark):
     rng = random.Random(21)
     a, b = unlike(rng, 100), unlike(rng, 100)
