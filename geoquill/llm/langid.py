@@ -39,7 +39,7 @@ from .common import cut, drop, quoted, without
 ALNUM = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words that a worker remembers, bytes of their scores, and words that are looked up together.
-REMEMBERED, REMEMBERED_BYTES, TOGETHER = 200_000, 1 << 26, 50_000
+REMEMBERED, REMEMBERED_BYTES, TOGETHER = 400_000, 1 << 26, 50_000
 FLOOR = 1e-7
 OUT = ["held_out", "lang_pred", "score"]
 
