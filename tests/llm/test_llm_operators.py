@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoquill.llm import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
+from geoquill.llm import bpe, gifcols, graph, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
 from geoquill.llm.graph import components
 from geoquill.llm.queries import vocabulary_file
 
@@ -561,13 +561,34 @@ def test_an_id_on_two_texts_keeps_the_links_of_both(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (3, 3), (5, 5), (7, 5), (7, 7), (7, 7), (9, 7)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [1_000_000, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
+    random.Random(2).shuffle(links)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
+    assert len(got) == 71 and all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_within_a_task():
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 1), (50, 20), (300, 280), (2000, 1990)):
+        a, b = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        up = {}
+
+        def find(x, up=up):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = sorted((find(x), find(y)))
+            up[y] = x
+        nodes, labels = graph.joined(a, b)
+        assert dict(zip(nodes.tolist(), labels.tolist(), strict=True)) == {x: find(x) for x in {*a.tolist(), *b.tolist()}}
+
+
 # 6 -------------------------------------------------------------------------------------------
 
 
