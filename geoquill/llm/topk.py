@@ -68,7 +68,7 @@ def nearest(lists: Lists, q: np.ndarray, own: int, k: int, step: int) -> tuple[n
         if float(np.abs(ends).max(axis=0).sum()) >= 2.0**53:
             few = n
     seen, known = np.zeros(n), np.zeros((d, n))
-    while d and depth + step <= (n + 1) // 2 and len(live) > few:
+    while d and depth + step <= (n + 3) // 4 and len(live) > few:
         to = depth + step
         rows, values = lists.read(rising, falling, depth, to)
         products = values * weight[:, None]
