@@ -7,7 +7,8 @@ component is negative, from its bottom, so products come in descending order. Li
 rows of each at a time, and never elsewhere. What was read of a candidate gives its partial score; a list that hasn't
 shown the candidate yet adds at least the list's least product and at most the product at its reading place: lower
 and upper bounds. A candidate whose upper bound is under the k-th best lower bound is an outsider; reading stops once
-few others are left. Their scores are then resolved, and the blocks' best are merged by query.
+few others are left, or at a quarter of the lists, from where reading on costs more than the scores of those left.
+Their scores are then resolved, and the blocks' best are merged by query.
 
 Ties go to the smaller id, and bounds are compared so that equal scores stay in. Scores are integers, exact as long as
 components times scale and the sums of products fit in 64 bits; components beyond that saturate.
