@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gifcols, jaccard, langid, licenses, mixing, secretscan, sharding, sql, substring, topk
+from . import bpe, gifcols, jaccard, langid, licenses, mixing, ranges, secretscan, sharding, sql, sql_pairs, substring, topk, turns, whitening
 
 
 def vocabulary_file(name: str) -> str:
@@ -73,9 +73,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op11_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring, op2_langid, op3_mix, op4_gif, op5_jaccard, op6_bpe, op7_secrets, op8_topk, op9_shard, op10_licenses)}
+    return {f.__name__: f for f in (op1_substring, op2_langid, op3_mix, op4_gif, op5_jaccard, op6_bpe, op7_secrets, op8_topk, op9_shard, op10_licenses, op11_ranges, op12_turns, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql()
+    return sql.oracle_sql() | sql_pairs.oracle_sql()
