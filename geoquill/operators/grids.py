@@ -1,7 +1,8 @@
 """Grid-based shifts: datum and height grids, deformation, deflection of the vertical.
 
-Grids are looked up by name in the context. They are bounded files and travel with the plan; the table form
-(sources.gridstore) is a join instead.
+Grids are found by name: in the context's memory, as files in its folders, in its store. Those in memory and in files
+are small and looked up on arrays, one decoded copy in each worker (see sources.gridcache). A step that names a stored
+grid is made of joins instead (see plans.stored).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 import numpy as np
 
 from ..functions.mathx import Np, wrapped
+from ..plans import stored
 from ..plans.parameters import Params
 from ..plans.registry import Op, operator
 
@@ -26,7 +28,7 @@ class Stack:
             if name == "@null":
                 self.null = True
                 break
-            grid = p.context.grids.get(name.removeprefix("@")) if p.context else None
+            grid = p.context.grid(name.removeprefix("@")) if p.context else None
             if grid is not None:
                 self.grids.append(grid)
             elif not name.startswith("@"):
@@ -34,6 +36,11 @@ class Stack:
         self.bands = self.grids[0].bands if self.grids else 0
         self.kind = self.grids[0].kind if self.grids else "horizontal"
         self.projected = bool(self.grids) and self.grids[0].projected
+        self.stored = any(isinstance(g, stored.Stored) for g in self.grids)
+
+    @property
+    def tables(self) -> stored.Tables:
+        return stored.Tables(self.grids, self.null)
 
     def at(self, lon, lat):
         """Values of the first grid that holds a point, then of the first within half a cell of it; NaN elsewhere,
@@ -58,6 +65,8 @@ def gridshift(p: Params) -> Op:
     if not grids.grids:
         same = lambda m, x, y, z, t: (x, y, z, t)
         return Op(same, same)
+    if grids.stored:
+        return Op(None, None, stored=stored.Shift(grids.tables, grids.kind, grids.bands, grids.projected, flat))
     unit = 1.0 if grids.projected else SECOND
     level = lambda lon: lon if grids.projected else wrapped(Np, lon)
 
@@ -100,6 +109,8 @@ def deformation(p: Params) -> Op:
     dt, epoch, raw = p.real("dt", math.nan), p.real("t_epoch", math.nan), p.flag("raw")
     if math.isnan(dt) and math.isnan(epoch):
         raise p.fail("dt or t_epoch is needed")
+    if grids.stored:
+        return Op(None, None, stored=stored.Velocity(grids.tables, e, dt, epoch, raw))
 
     def moved(sign: float):
         def run(m, x, y, z, t):
@@ -123,6 +134,8 @@ def deflection(p: Params) -> Op:
     """Deflection of the vertical at (lat, lon) in degrees: north and east component in arc seconds, by differences of
     geoid heights over a metre."""
     grids, e = Stack(p), p.ellps()
+    if grids.stored:
+        return Op(None, None, stored=stored.Deflection(grids.tables, e), one_way=True)
 
     def fwd(m, x, y, z, t):
         lat, lon = x * (math.pi / 180), y * (math.pi / 180)

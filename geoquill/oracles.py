@@ -318,6 +318,7 @@ def sql() -> dict[str, str]:
     out["bbox_rollup"] = f"{pts('world')}, b AS (SELECT {tile} FROM pts) SELECT tx, ty, count(*) AS n FROM b GROUP BY ROLLUP (tx, ty)"
     ev = f"WITH p0 AS (SELECT ts, {points('nordic', 'events', 'event_id')[7:]}), pts AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM p0)"
     out["events_window_centroid"] = f"{ev} SELECT date_trunc('hour', ts) AS start, round(avg(6378137 * lam), 1) + 0.0 AS x, round(avg(6378137 * asinh(tan(phi))), 1) + 0.0 AS y, count(*) AS n FROM pts GROUP BY 1"
-    from . import oracles_more
+    from . import oracles_more, oracles_tables
 
-    return out | oracles_more.sql()
+    out |= oracles_more.sql()
+    return out | oracles_tables.sql(out)

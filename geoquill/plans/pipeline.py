@@ -6,6 +6,9 @@ list of names at that time. What remains is a chain of column expressions with n
 span of generated code. Pipelines with an operator that iterates run over Arrow batches in one hop instead. Either
 form is a projection: it keeps partitioning and order, shuffles nothing, and works on streams.
 
+Steps over stored grids are joins. A pipeline with such steps is compiled in parts, with the tuple and the column stack
+in columns between them.
+
 A tuple that fails is NaN throughout, and `ok` is false. Null input counts as NaN.
 """
 
@@ -14,14 +17,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mathx import E, Np, Sql, wrap
-from . import registers
+from ..sources.gridcache import Handle, InFile, Sent
+from . import registers, stored
 from .language import PipelineError, Step, expand, inverted
 from .parameters import Params
 from .registry import OPERATORS, Op
@@ -40,13 +46,16 @@ STACK = ("push", "pop", "roll", "unroll", "swap", "flip", "drop")
 
 class Context:
     """Macros, operators and grids that pipelines of a session know. Macros that aren't registered are looked for in
-    the folders `paths` and then among the bundled ones (see plans.registers)."""
+    the folders `paths` and then among the bundled ones (see plans.registers). Grids that aren't registered are looked
+    for as files in those folders (and `grids` within), then in the grid store `store`, when a pipeline first names
+    them."""
 
-    def __init__(self, paths: list[str] | tuple[str, ...] = ()):
+    def __init__(self, paths: list[str] | tuple[str, ...] = (), store: str | None = None):
         self.macros: dict[str, str] = dict(ADAPTORS)
         self.operators: dict[str, Callable[[Params], Op]] = {}
         self.grids: dict[str, object] = {}
-        self.paths = list(paths)
+        self.paths, self.store = list(paths), store
+        self._handles: dict[str, Sent] = {}
 
     def macro(self, name: str) -> str | None:
         """The text of a macro."""
@@ -77,6 +86,21 @@ class Context:
 
     def register_grid(self, name: str, grid: object) -> None:
         self.grids[name] = grid
+        self._handles.pop(name, None)
+
+    def grid(self, name: str) -> Handle | stored.Stored | None:
+        """A grid by name: in memory, in a file, in the store."""
+        if name in self.grids:
+            held = self._handles.get(name)
+            if held is None or held.grid() is not self.grids[name]:
+                self._handles[name] = Sent(self.grids[name])
+            return self._handles[name]
+        for folder in self.paths:
+            for path in (Path(folder) / name, Path(folder) / "grids" / name):
+                if path.is_file():
+                    return InFile(str(path.resolve()), path.name, path.stat().st_mtime_ns)
+        session = SparkSession.getActiveSession()
+        return stored.find(session, self.store, name) if self.store and session else None
 
     def pipeline(self, text: str) -> Pipeline:
         return Pipeline(text, self)
@@ -107,7 +131,7 @@ class Pipeline:
         if build is None:
             raise PipelineError(f"no operator {step.name}")
         op = build(Params(step, self.context))
-        if step.flag("inv") and op.inv is None:
+        if step.flag("inv") and not op.turns:
             raise PipelineError(f"{step.name} has no inverse")
         return op
 
@@ -132,15 +156,18 @@ class Pipeline:
         # omit_fwd and omit_inv were exchanged along with the direction
         return [(s, op) for s, op in pairs if not s.flag("omit_fwd")]
 
-    def run(self, m, x, y, z, t, direction: str = "fwd"):
-        """(x, y, z, t), and by step whether the tuple was good, in terms of the functions m."""
-        c, stack, good = [x, y, z, t], [], []
-        for step, op in self._order(direction):
+    def run(self, m, x, y, z, t, direction: str = "fwd", order: list | None = None, stack: list | None = None):
+        """(x, y, z, t), and by step whether the tuple was good, in terms of the functions m. `order`: some steps of a
+        direction only; `stack` is theirs before, and after."""
+        c, stack, good = [x, y, z, t], [] if stack is None else stack, []
+        for step, op in self._order(direction) if order is None else order:
             back = step.flag("inv")
             if op is None:
                 worked = _stack(step, back, c, stack)
                 good.append((step.name, worked))
                 continue
+            if op.stored:
+                raise PipelineError(f"{step.name}: stored grids are for tables")
             f = op.inv if back else op.fwd
             if f is None:
                 c = [math.nan] * 4
@@ -155,6 +182,8 @@ class Pipeline:
         """All columns of df and the result's; z is 0 and t is NaN where no column is named. With steps, columns
         `ok_1`, ... tell by step whether the tuple was good. engine: auto, columns or arrow."""
         keep = [c for c in df.columns if c not in {*into, ok}]
+        if any(op is not None and op.stored for _, op in self._order(direction)):
+            return self._by_parts(df, keep, (x, y, z, t), direction, into, ok, steps)
         nan = E("double('NaN')")
         if engine == "arrow" or engine == "auto" and self.on_arrays:
             out = self._arrow(df, x, y, z, t, direction)
@@ -175,7 +204,61 @@ class Pipeline:
         kept = [f"`{k}`" for k in keep]
         if m.count <= LONG:
             return df.selectExpr(*kept, *[f"{v} AS `{n}`" for n, v in made.items()])
-        return df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'{n}', {v}" for n, v in made.items()) + ")))")
+        return df.selectExpr(*kept, _struct(made))
+
+    def _by_parts(self, df: DataFrame, keep: list[str], names: tuple, direction: str, into: tuple, ok: str | None, steps: bool) -> DataFrame:
+        """The tuple is in the columns _p0 to _p3, the stack in _s0, ..., and each step's success in _ok1, ..."""
+        start = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(math.nan)) if c else F.lit(0.0 if k == 2 else math.nan) for k, c in enumerate(names)]
+        df = df.select("*", *[c.alias(f"_p{k}") for k, c in enumerate(start)])
+        goods, depth = [], 0
+        for whole, part in groupby(self._order(direction), lambda s: bool(s[1] is not None and s[1].stored)):
+            part = list(part)
+            if whole:
+                for step, op in part:
+                    df = op.stored.apply(df, step.flag("inv"))
+                    goods.append(f"_ok{len(goods) + 1}")
+                    df = df.withColumn(goods[-1], ~(F.isnan("_p0") | F.isnan("_p1")))
+                continue
+            known = [c for c in df.columns if c not in {*(f"_p{k}" for k in range(4)), *(f"_s{k}" for k in range(depth))}]
+            fresh = [f"_ok{len(goods) + k + 1}" for k in range(len(part))]
+            if any(op is not None and op.arrow for _, op in part):
+                df, depth = self._part_on_arrays(df, known, part, depth, fresh)
+            else:
+                m = Sql(f"_g{len(goods)}_")
+                stack = [E(f"_s{k}") for k in range(depth)]
+                c, good = self.run(m, *m.let(*(E(f"_p{k}") for k in range(4))), order=part, stack=stack)
+                for stage in m.stages:
+                    df = df.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
+                made = {f"_p{k}": v for k, v in enumerate(c)} | {f"_s{k}": v for k, v in enumerate(stack)} | dict(zip(fresh, (g for _, g in good), strict=True))
+                depth = len(stack)
+                values = {n: wrap(v).s for n, v in made.items()}
+                kept = [f"`{k}`" for k in known]
+                df = df.selectExpr(*kept, *[f"{v} AS `{n}`" for n, v in values.items()]) if m.count <= LONG else df.selectExpr(*kept, _struct(values))
+            goods += fresh
+        every = reduce(lambda a, b: a & b, map(F.col, goods), F.lit(True))
+        out = [F.when(every, F.col(f"_p{k}")).otherwise(math.nan).alias(n) for k, n in enumerate(into)]
+        return df.select(*[f"`{c}`" for c in keep], *out, *([every.alias(ok)] if ok else []), *([F.col(g).alias(f"ok_{k}") for k, g in enumerate(goods, 1)] if steps else []))
+
+    def _part_on_arrays(self, df: DataFrame, known: list[str], part: list, depth: int, fresh: list[str]) -> tuple[DataFrame, int]:
+        """A part of the steps in one Arrow hop."""
+        left: list = [0.0] * depth
+        with np.errstate(all="ignore"):
+            self.run(Np, *(np.zeros(1) for _ in range(4)), order=part, stack=left)  # how deep the stack is afterwards
+        after, plan = len(left), self
+        names = [*(f"_p{k}" for k in range(4)), *(f"_s{k}" for k in range(after)), *fresh]
+
+        @F.pandas_udf(", ".join(f"{n} {'boolean' if n in fresh else 'double'}" for n in names))
+        def apply(*columns: pd.Series) -> pd.DataFrame:
+            rows = [np.asarray(c, float) for c in columns]
+            stack = rows[4:]
+            with np.errstate(all="ignore"):
+                c, good = plan.run(Np, *rows[:4], order=part, stack=stack)
+            shape = rows[0].shape
+            values = [*(np.broadcast_to(np.asarray(v, float), shape) for v in (*c, *stack)), *(np.broadcast_to(np.asarray(g, bool), shape) for _, g in good)]
+            return pd.DataFrame(dict(zip(names, values, strict=True)))
+
+        df = df.withColumn("_part", apply(*[F.col(f"_p{k}") for k in range(4)], *[F.col(f"_s{k}") for k in range(depth)]))
+        return df.select(*[f"`{k}`" for k in known], *[F.col(f"_part.{n}").alias(n) for n in names]), after
 
     def _arrow(self, df: DataFrame, x: str, y: str, z: str | None, t: str | None, direction: str) -> DataFrame:
         plan = self
@@ -215,6 +298,11 @@ class Pipeline:
         return back.select(*[f"`{c}`" for c in df.columns], *[(F.col(f"_{k}") - s).alias(f"d{k}") for k, s in zip("xyzt", start, strict=True)])
 
 
+def _struct(values: dict[str, str]) -> str:
+    """Columns that filters don't go through (see LONG)."""
+    return "inline(array(named_struct(" + ", ".join(f"'{n}', {v}" for n, v in values.items()) + ")))"
+
+
 def _arguments(step: Step, move: str) -> list[int]:
     if move in ("swap", "drop"):
         return []

@@ -15,11 +15,19 @@ Direction = Callable[..., tuple]
 
 @dataclass
 class Op:
-    """An operator with its parameters bound. `arrow`: it iterates or looks up until done, so it runs on arrays."""
+    """An operator with its parameters bound. `arrow`: it iterates or looks up until done, so it runs on arrays.
+    `stored`: it runs on tables alone, by its apply(df, back) over the columns _p0 to _p3."""
 
-    fwd: Direction
+    fwd: Direction | None
     inv: Direction | None = None
     arrow: bool = False
+    stored: object = None
+    one_way: bool = False
+
+    @property
+    def turns(self) -> bool:
+        """Whether there is an inverse."""
+        return self.inv is not None or self.stored is not None and not self.one_way
 
 
 OPERATORS: dict[str, Callable[[Params], Op]] = {}

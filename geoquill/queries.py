@@ -6,6 +6,7 @@ The tables hold no coordinates; positions are derived from keys by integer arith
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -17,7 +18,7 @@ from . import oracles, oracles_more
 from .plans import recipes
 from .plans.factors import factors
 from .plans.pipeline import Context, Pipeline
-from .sources import gridstore, text
+from .sources import gridstore, gridwrite, scratch, text
 from .sources.gridfiles import Grid
 from .functions import columns as geo
 from .streaming import centroids, sessions, sliding
@@ -149,6 +150,35 @@ def gridshift_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", rounded("v1", 6).alias("v1"), rounded("v2", 6).alias("v2"))
 
 
+def example_store(spark: SparkSession, end: str = "") -> Context:
+    """The example grids in a store; `shift` and `geoid` come in as files where an ending is given."""
+    store = f"{scratch.folder(spark)}/grids-{uuid.uuid4().hex}"
+    for name, grid in example_grids().grids.items():
+        if end and name in (("geoid",) if end == "gtx" else ("shift",)):
+            path = gridwrite.write(spark, grid, f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}.{end}")
+            gridstore.add_file(spark, path, store, name)
+        elif not end:
+            gridstore.add(spark, grid, store)
+    return Context(store=store)
+
+
+def stored(pipeline: str, direction: str, area: str, end: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longitude, latitude and height after steps over stored grids."""
+    out = Pipeline(pipeline, example_store(spark, end)).transform(points(spark, sf_dir, area), "lam", "phi", "h", "t", direction=direction)
+    return out.select("k", rounded(F.degrees("x"), 8).alias("lon_out"), rounded(F.degrees("y"), 8).alias("lat_out"), rounded("z", 5).alias("h_out"))
+
+
+def deformation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = points(spark, sf_dir, "nordic").withColumn("zero", F.lit(0.0))
+    out = Pipeline("cart | deformation grids=velocity t_epoch=2000", example_store(spark)).transform(flat, "lam", "phi", "zero", "t")
+    return out.select("k", *[rounded(c, 3).alias(c) for c in "xyz"])
+
+
+def deflection_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Pipeline("deflection grids=geoid", example_store(spark)).transform(points(spark, sf_dir, "nordic"), "lat", "lon")
+    return out.select("k", rounded("x", 2).alias("xi"), rounded("y", 2).alias("eta"))
+
+
 def deformation_fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = points(spark, sf_dir, "nordic").withColumn("zero", F.lit(0.0))
     out = Pipeline("cart | deformation grids=velocity t_epoch=2000", example_grids()).transform(flat, "lam", "phi", "zero", "t")
@@ -328,6 +358,16 @@ def queries() -> dict[str, Query]:
         "gridshift_fwd": partial(gridded, "gridshift grids=shift"),
         "geoid_fwd": geoid_fwd,
         "gridshift_join": gridshift_join,
+        "gridshift_store": partial(stored, "gridshift grids=shift,@null", "fwd", "world", ""),
+        "gridshift_store_inv": partial(stored, "gridshift grids=shift", "inv", "nordic", ""),
+        "geoid_store": partial(stored, "gridshift grids=geoid", "fwd", "nordic", ""),
+        "deformation_store": deformation_store,
+        "deflection_store": deflection_store,
+        "grid_ntv2": partial(stored, "gridshift grids=shift", "inv", "nordic", "gsb"),
+        "grid_gtx": partial(stored, "gridshift grids=geoid", "fwd", "nordic", "gtx"),
+        "grid_gravsoft": partial(stored, "gridshift grids=shift", "inv", "nordic", "gri"),
+        "grid_gsa": partial(stored, "gridshift grids=shift", "inv", "nordic", "gsa"),
+        "grid_geotiff": partial(stored, "gridshift grids=shift", "inv", "nordic", "tif"),
         "deformation_fwd": deformation_fwd,
         "deflection_fwd": deflection_fwd,
         "grid_membership": grid_membership,

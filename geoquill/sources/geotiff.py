@@ -1,16 +1,18 @@
 """Grids in GeoTIFF files: floating-point rasters in strips or tiles, without compression, by LZW or by deflate, with
-the metadata that tells which sample is which offset. Several images become parts of one grid."""
+the metadata that tells which sample is which offset. Several images become parts of one grid. Of the data only the
+places that are needed are sliced, so a file may be mapped or read by range."""
 
 from __future__ import annotations
 
 import math
 import struct
 import zlib
+from dataclasses import replace
 from xml.etree import ElementTree
 
 import numpy as np
 
-from .gridfiles import Grid
+from .gridfiles import Grid, Head, whole
 
 #: Bytes and codes of the field types; tags by name.
 KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
@@ -31,32 +33,36 @@ def directories(data: bytes) -> list[dict[str, tuple]]:
     if data[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
-    version, = struct.unpack_from(order + "H", data, 2)
+
+    def unpack(form: str, at: int) -> tuple:
+        return struct.unpack(order + form, data[at : at + struct.calcsize(order + form)])
+
+    version, = unpack("H", 2)
     if version not in (42, 43):
         raise TiffError("no TIFF header")
     # the later form has wide counts and places
     count, entry, wide, at = ("H", 12, "I", 4) if version == 42 else ("Q", 20, "Q", 8)
     names, out = {v: k for k, v in TAGS.items()}, []
-    place, = struct.unpack_from(order + wide, data, at)
+    place, = unpack(wide, at)
     while place:
-        n, = struct.unpack_from(order + count, data, place)
+        n, = unpack(count, place)
         place += struct.calcsize(count)
         fields: dict[str, tuple] = {"order": (order,)}
         for k in range(n):
             begin = place + k * entry
-            tag, kind, values = struct.unpack_from(order + "HH" + wide, data, begin)
+            tag, kind, values = unpack("HH" + wide, begin)
             if tag not in names or kind not in KINDS:
                 continue
             size, code = KINDS[kind]
             held = begin + 4 + struct.calcsize(wide)
             if size * values > struct.calcsize(wide):
-                held, = struct.unpack_from(order + wide, data, held)
+                held, = unpack(wide, held)
             if code == "s":
                 fields[names[tag]] = (data[held : held + values].split(b"\0")[0].decode("utf-8", "replace"),)
             else:
-                fields[names[tag]] = struct.unpack_from(f"{order}{values}{code}", data, held)
+                fields[names[tag]] = unpack(f"{values}{code}", held)
         out.append(fields)
-        place, = struct.unpack_from(order + wide, data, place + n * entry)
+        place, = unpack(wide, place + n * entry)
     return out
 
 
@@ -86,9 +92,10 @@ def unpacked_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def raster(data: bytes, f: dict[str, tuple]) -> np.ndarray:
-    """rows x columns x samples."""
+def raster(data: bytes, f: dict[str, tuple], first: int = 0, last: int | None = None) -> np.ndarray:
+    """rows x columns x samples, of the rows from first to last."""
     columns, rows, samples = f["width"][0], f["height"][0], f.get("samples", (1,))[0]
+    last = rows if last is None else last
     kind, bits, order = f.get("format", (1,))[0], f.get("bits", (1,))[0], f["order"][0]
     if kind != 3 or bits not in (32, 64):
         raise TiffError("samples are single or double floats")
@@ -100,8 +107,11 @@ def raster(data: bytes, f: dict[str, tuple]) -> np.ndarray:
         w, h, places, sizes = columns, min(rows, f.get("strip_rows", (rows,))[0]), f["strips"], f["strip_sizes"]
     across, down, each = -(-columns // w), -(-rows // h), 1 if planar else samples
     packing, predictor = f.get("compression", (1,))[0], f.get("predictor", (1,))[0]
-    out = np.full((rows, columns, samples), np.nan)
+    out = np.full((last - first, columns, samples), np.nan)
     for k, (place, length) in enumerate(zip(places, sizes, strict=True)):
+        top = k % (across * down) // across * h
+        if top >= last or top + h <= first:
+            continue
         part = data[place : place + length]
         if packing == 5:
             part = unpacked_lzw(part)
@@ -122,7 +132,8 @@ def raster(data: bytes, f: dict[str, tuple]) -> np.ndarray:
             block = np.frombuffer(part, f"{order}f{size}").reshape(high, w, each)
         else:
             raise TiffError(f"predictor {predictor}")
-        block = block[: rows - top, : columns - left]
+        block = block[: rows - top, : columns - left][max(0, first - top) : last - top]
+        top = max(0, top - first)
         out[top : top + block.shape[0], left : left + block.shape[1], band : band + each] = block
     return out
 
@@ -144,7 +155,7 @@ def described(text: str) -> tuple[dict[str, str], dict[int, dict[str, str]]]:
 SECONDS = {"arc-second": 1.0, "arc-seconds per year": 1.0, "degree": 3600.0, "radian": 180 * 3600 / math.pi}
 
 
-def image(name: str, data: bytes, f: dict[str, tuple], inherited: tuple[dict, dict] | None) -> tuple[Grid, tuple[dict, dict]]:
+def image(name: str, data: bytes, f: dict[str, tuple], inherited: tuple[dict, dict] | None) -> tuple[Head, tuple[dict, dict]]:
     """A grid; what the metadata doesn't say holds as for the image before."""
     if len(f.get("scale", ())) < 2 or len(f.get("tie", ())) < 6:
         raise TiffError("scale and tie point are needed")
@@ -155,39 +166,41 @@ def image(name: str, data: bytes, f: dict[str, tuple], inherited: tuple[dict, di
     keys = f.get("keys", ())
     geo = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
     projected = geo[MODEL] == 1 if MODEL in geo else PROJECTED in geo and GEOGRAPHIC not in geo
-    values = raster(data, f)
-    if "no_value" in f:
-        values[values == float(f["no_value"][0])] = np.nan
     names = {v.get("description", "").lower(): k for k, v in by.items()}
     find = lambda *wanted: next((names[w] for w in wanted if w in names), None)
     kind = OFFSETS.get(whole.get("type", "HORIZONTAL_OFFSET").upper())
     if kind is None:
         raise TiffError(f"type {whole.get('type')}")
 
-    def band(k: int, positive: str) -> np.ndarray:
+    def scaled(values: np.ndarray, k: int, positive: str) -> np.ndarray:
         item = by.get(k, {})
         v = values[..., k] * float(item.get("scale", 1) or 1) + float(item.get("offset", 0) or 0) + float(item.get("constant_offset", 0) or 0)
         unit = SECONDS.get(item.get("unittype", "").lower(), 1.0)
         return (v if item.get("positive_value", positive).lower() == positive else -v) * unit
 
+    # the sample of each band, and its positive direction (None: taken as it is)
     if kind == "deformation":
-        order = [find("east_velocity"), find("north_velocity"), find("up_velocity")]
-        bands = [values[..., i if k is None else k] for i, k in enumerate(order)]
+        plan = [(i if k is None else k, None) for i, k in enumerate((find("east_velocity"), find("north_velocity"), find("up_velocity")))]
     elif kind in ("vertical", "ellipsoidal"):
-        k = find("geoid_undulation", "hydroid_height", "ellipsoidal_height_offset", "vertical_offset")
-        bands = [band(0 if k is None else k, "")]
+        plan = [(find("geoid_undulation", "hydroid_height", "ellipsoidal_height_offset", "vertical_offset") or 0, "")]
     else:
         lat, lon = find("latitude_offset", "northing_offset"), find("longitude_offset", "easting_offset")
-        bands = [band(1 if lon is None else lon, "east"), band(0 if lat is None else lat, "north")]
+        plan = [(1 if lon is None else lon, "east"), (0 if lat is None else lat, "north")]
         up = find("ellipsoidal_height_offset")
-        if up is not None:
-            bands.append(values[..., up])
+        plan += [] if up is None else [(up, None)]
+
+    def nodes(first: int, last: int) -> np.ndarray:
+        values = raster(data, f, first, last)
+        if "no_value" in f:
+            values[values == float(f["no_value"][0])] = np.nan
+        return np.stack([values[..., k] if positive is None else scaled(values, k, positive) for k, positive in plan], axis=-1)
+
     unit = 1.0 if projected else math.pi / 180
     dlon, dlat = f["scale"][0], f["scale"][1]
     half = 0.5 if geo.get(RASTER) == 1 else 0.0  # samples stand for areas: nodes are their middles
     north, west = f["tie"][4] - half * dlat, f["tie"][3] + half * dlon
-    grid = Grid(whole.get("grid_name", name), north * unit, west * unit, dlat * unit, dlon * unit, np.stack(bands, axis=-1), kind, projected)
-    return grid, (whole, by)
+    head = Head(whole.get("grid_name", name), north * unit, west * unit, dlat * unit, dlon * unit, f["height"][0], f["width"][0], len(plan), kind, projected, nodes)
+    return head, (whole, by)
 
 
 class WithHeights:
@@ -204,21 +217,23 @@ class WithHeights:
         return np.concatenate((self.flat.at(lon, lat, margin), self.heights.at(lon, lat, 0.5)), axis=-1)
 
 
-def geotiff(name: str, data: bytes) -> Grid | WithHeights:
-    images, meta = [], None
+def heads(name: str, data: bytes) -> list[Head]:
+    """The images as grids; one that lies within a coarser one before it is a part of that."""
+    out: list[Head] = []
+    meta = None
     for fields in directories(data):
-        grid, meta = image(name, data, fields, meta)
-        images.append(grid)
-    if not images:
+        head, meta = image(name, data, fields, meta)
+        around = [k for k, h in enumerate(out) if h.kind == head.kind and h.dlat >= head.dlat and h.holds(head)]
+        out.append(replace(head, parent=around[-1] if around else -1))
+    if not out:
         raise TiffError(f"{name}: no image")
+    if len(out) == 1:
+        out[0].name = name
+    return out
+
+
+def geotiff(name: str, data: bytes) -> Grid | WithHeights:
+    images = heads(name, data)
     if len(images) == 2 and images[0].bands == 2 and images[1].kind == "ellipsoidal":
-        return WithHeights(*images)
-    if len(images) == 1:
-        images[0].name = name
-        return images[0]
-    # a grid without values of its own, around all images
-    north, west = max(g.north for g in images), min(g.west for g in images)
-    south, east = min(g.south for g in images), max(g.east for g in images)
-    rows, columns = max(2, round((north - south) / min(g.dlat for g in images)) + 1), max(2, round((east - west) / min(g.dlon for g in images)) + 1)
-    empty = np.broadcast_to(np.float32(np.nan), (2, 2, images[0].bands))
-    return Grid(name, north, west, (north - south) or rows, (east - west) or columns, empty, images[0].kind, images[0].projected, images)
+        return WithHeights(*(h.grid() for h in images))
+    return whole(name, images)
