@@ -2,8 +2,9 @@
 aggregation.
 
 Angles are in degrees and lengths in metres. Closed formulas are ordinary expressions of Spark's own functions, compiled
-with the rest of the plan. Geodesics iterate until they stand still, so they run on Arrow batches; where they don't
-converge (near antipodes), and for null or NaN, they are null.
+with the rest of the plan. Geodesics take many named steps: `with_geodesic` adds them to a table as generated code;
+`distance`, `azimuth` and `destination`, for use within any expression, run on Arrow batches. Where they don't converge
+(near antipodes), and for null or NaN, they are null.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.text import number
 from . import ellipsoid, geodesics
 from .ellipsoid import Ellipsoid
+from .mathx import E, Sql
 
 Value = Column | str | float | int
 
@@ -180,6 +182,22 @@ def destination(lat: Value, lon: Value, azimuth: Value, metres: Value, ellps: st
     return run(*(F.coalesce(_c(v).cast("double"), F.lit(math.nan)) for v in (lat, lon, azimuth, metres)))
 
 
+def with_geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, metres: str | None = "metres", azimuth: str | None = None, back: str | None = None, ellps: str = "GRS80") -> DataFrame:
+    """df with the length of the geodesic between two places in columns of degrees, its direction at the start, and that
+    at the end, under the names given. All of it is generated code in the JVM, whatever the number of rows (points near
+    antipodes go on in a loop without); null where nothing converges, and for null or NaN."""
+    m = Sql("_between")
+    rad = math.pi / 180
+    a, b, c, d = m.let(*(E(f"coalesce(double(`{n}`), double('NaN'))") * rad for n in (lon1, lat1, lon2, lat2)))
+    az1, az2, s = geodesics.inverse_in(m, _ellps(ellps), a, b, c, d)
+    made = {n: f"nanvl({v.s}, null){'' if v is s else ' * ' + repr(180 / math.pi) + 'D'}" for n, v in ((metres, s), (azimuth, az1), (back, az2)) if n}
+    kept = [f"`{x}`" for x in df.columns if x not in made]
+    for stage in m.stages:
+        df = df.selectExpr("*", *[f"{v} AS {n}" for n, v in stage])
+    # one struct, so that filters on the result don't write the formulas out again
+    return df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'{n}', {v}" for n, v in made.items()) + ")))")
+
+
 # -- angles and plane geometry ----------------------------------------------------------------
 
 

@@ -1,7 +1,14 @@
-"""Geodesics by Vincenty's formulas, on arrays, each element iterated until it converges."""
+"""Geodesics by Vincenty's formulas: on arrays, each element iterated until it converges, and as expressions.
+
+As expressions the longitude on the auxiliary sphere takes two plain steps, one by Aitken's extrapolation and one more,
+in generated code; that stands still to 1e-12 but for points near antipodes, and only those go on in a loop without
+generated code, so no row leaves the JVM.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from .ellipsoid import Ellipsoid
@@ -95,3 +102,79 @@ def inverse(ellps: Ellipsoid, lon1, lat1, lon2, lat2):
     open_ = np.isin(np.arange(len(lam)), rows)
     same = (span == 0) & (lat1 == lat2)
     return tuple(np.where(open_, np.nan, np.where(same, 0.0, v)).reshape(shape) for v in (az1, az2, s))
+
+
+# -- as expressions ---------------------------------------------------------------------------
+
+STILL = 1e-12
+
+
+def _turn(m, ellps: Ellipsoid, c: dict, lam, spans: bool = True):
+    """One step of the longitude, and what was found on the way."""
+    sl, cl = m.let(m.sin(lam), m.cos(lam))
+    cos_s, a, b = m.let(c["ss"] + c["cc"] * cl, c["c2"] * sl, c["c1s2"] - c["s1c2"] * cl)
+    sin_s = m.let(m.hypot(a, b))
+    sigma, sin_a = m.let(m.atan2(sin_s, cos_s), m.where(m.abs(sin_s) <= 0.0, 0.0, c["cc"] * sl / m.where(m.abs(sin_s) <= 0.0, 1.0, sin_s)))
+    cos2_a = m.let(1 - sin_a * sin_a)
+    cos_2m = m.let(m.where(m.abs(cos2_a) <= 0.0, 0.0, cos_s - 2 * c["ss"] / m.where(m.abs(cos2_a) <= 0.0, 1.0, cos2_a)))
+    k = m.let(ellps.f / 16 * cos2_a * (4 + ellps.f * (4 - 3 * cos2_a)))
+    new = m.let(c["span"] + (1 - k) * ellps.f * sin_a * (sigma + k * sin_s * (cos_2m + k * cos_s * (2 * cos_2m * cos_2m - 1))))
+    if spans:
+        new = m.let(m.where(m.let(m.failed(new, sigma)), math.nan, new))  # a span of generated code ends where it would get long
+    return new, (sin_s, cos_s, sigma, cos2_a, cos_2m)
+
+
+def inverse_in(m, ellps: Ellipsoid, lon1, lat1, lon2, lat2):
+    """`inverse` in terms of the functions m of columns."""
+    t1, t2 = m.let((1 - ellps.f) * m.tan(lat1), (1 - ellps.f) * m.tan(lat2))
+    c1, c2 = m.let(1 / m.sqrt(1 + t1 * t1), 1 / m.sqrt(1 + t2 * t2))
+    s1, s2, span = m.let(t1 * c1, t2 * c2, lon2 - lon1)
+    # halves to even, as arrays are rounded: the same turn at exactly half a turn
+    span = m.let(span - 2 * math.pi * m.rint(span / (2 * math.pi)))
+    c = dict(zip(("ss", "cc", "c1s2", "s1c2"), m.let(s1 * s2, c1 * c2, c1 * s2, s1 * c2), strict=True)) | {"span": span, "c2": c2}
+    one, _ = _turn(m, ellps, c, span)
+    two, _ = _turn(m, ellps, c, one)
+    bend = m.let(two - 2 * one + span)
+    guess = m.let(m.where(m.abs(bend) > 1e-14, span - (one - span) * (one - span) / bend, two))
+    three, _ = _turn(m, ellps, c, guess)
+    start = m.let(m.where(m.abs(three - guess) <= STILL, three, two))
+    rest = m.until({"lam": start, "done": (m.abs(three - guess) <= STILL) | m.isnan(three)}, lambda w, s: _step(w, ellps, c, s["lam"]), "done", ROUNDS)
+    lam, done = m.let(rest["lam"], rest["done"])
+    _, (sin_s, cos_s, sigma, cos2_a, cos_2m) = _turn(m, ellps, c, lam)
+    u = m.let(m.sqrt(1 + cos2_a * ellps.second_es))
+    k = m.let((u - 1) / (u + 1))
+    a, b = m.let((1 + k * k / 4) / (1 - k), k * (1 - 3 * k * k / 8))
+    delta = b * sin_s * (cos_2m + b / 4 * (cos_s * (2 * cos_2m * cos_2m - 1) - b / 6 * cos_2m * (4 * sin_s * sin_s - 3) * (4 * cos_2m * cos_2m - 3)))
+    sl, cl = m.let(m.sin(lam), m.cos(lam))
+    same = (m.abs(span) <= 0.0) & (m.abs(lat1 - lat2) <= 0.0)
+    out = (m.atan2(c2 * sl, c["c1s2"] - c["s1c2"] * cl), m.atan2(c1 * sl, c["c1s2"] * cl - c["s1c2"]), ellps.b * a * (sigma - delta))
+    return tuple(m.let(m.where(done, m.where(same, 0.0, v), math.nan)) for v in out)
+
+
+def _step(m, ellps: Ellipsoid, c: dict, lam) -> dict:
+    new, _ = _turn(m, ellps, c, lam, False)
+    return {"lam": new, "done": (m.abs(new - lam) <= STILL) | m.isnan(new)}
+
+
+def direct_in(m, ellps: Ellipsoid, lon, lat, azimuth, distance):
+    """`direct` in terms of the functions m of columns: the arc's equation by steps that shrink a thousandfold each."""
+    t = m.let((1 - ellps.f) * m.tan(lat))
+    cu = m.let(1 / m.sqrt(1 + t * t))
+    su, sa, ca = m.let(t * cu, m.sin(azimuth), m.cos(azimuth))
+    sigma1, sin_a = m.let(m.atan2(t, ca), cu * sa)
+    cos2_a = m.let(1 - sin_a * sin_a)
+    u = m.let(m.sqrt(1 + cos2_a * ellps.second_es))
+    k = m.let((u - 1) / (u + 1))
+    a, b = m.let((1 + k * k / 4) / (1 - k), k * (1 - 3 * k * k / 8))
+    first = m.let(distance / (ellps.b * a))
+    sigma = first
+    for _ in range(6):
+        ss, cs, c2 = m.let(m.sin(sigma), m.cos(sigma), m.cos(2 * sigma1 + sigma))
+        sigma = m.let(first + b * ss * (c2 + b / 4 * (cs * (2 * c2 * c2 - 1) - b / 6 * c2 * (4 * ss * ss - 3) * (4 * c2 * c2 - 3))))
+    c2, ss, cs = m.let(m.cos(2 * sigma1 + sigma), m.sin(sigma), m.cos(sigma))
+    x = m.let(su * ss - cu * cs * ca)
+    lat2 = m.atan2(su * cs + cu * ss * ca, (1 - ellps.f) * m.hypot(sin_a, x))
+    lam = m.atan2(ss * sa, cu * cs - su * ss * ca)
+    c = m.let(ellps.f / 16 * cos2_a * (4 + ellps.f * (4 - 3 * cos2_a)))
+    lon2 = lon + lam - (1 - c) * ellps.f * sin_a * (sigma + c * ss * (c2 + c * cs * (2 * c2 * c2 - 1)))
+    return m.let(lon2), m.let(lat2), m.let(m.atan2(sin_a, -x))

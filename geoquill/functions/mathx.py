@@ -10,6 +10,7 @@ Missing values are NaN, never NULL. Division follows IEEE 754, whatever the sess
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 import numpy as np
@@ -152,6 +153,9 @@ class Sql:
     def floor(self, a):
         return self._f("double(floor({}))", a)
 
+    def rint(self, a):
+        return self._f("rint({})", a)
+
     def asinh(self, a):
         a = self.let(a)
         return self._f("(signum({0}) * log1p(abs({0}) + {0} * {0} / (1D + sqrt({0} * {0} + 1D))))", a)
@@ -179,6 +183,31 @@ class Sql:
         return self._f("coalesce(try_element_at(array(" + table + "), int({}) + 1), " + NAN + ")", index)
 
 
+    def until(self, state: dict, step, done: str, rounds: int) -> dict:
+        """Values that `step` (from and to a dict) changes until the one named `done` is true, for so many rounds at
+        most: an expression without generated code, for the few rows that need it."""
+        fields = lambda values: ", ".join(f"'{k}', {wrap(v).s}" for k, v in values.items())
+        inner = Sql(f"{self.prefix}w")
+        made = {k: wrap(v) for k, v in step(inner, {k: E(f"_w.{k}") for k in state}).items()}
+        body = inner.bound(f"named_struct({fields(made)})")
+        start = {k: wrap(v) for k, v in state.items()}
+        # rounds by rounds of rounds, so that a value that is done soon is passed on a few times only
+        few = math.isqrt(rounds)
+        some = lambda first: f"aggregate(sequence(1, {few}), {first}, (_w, _i) -> if(_w.{done}, _w, {body}))"
+        text = f"if({start[done].s}, named_struct({fields(start)}), aggregate(sequence(1, {-(-rounds // few)}), named_struct({fields(start)}), (_o, _j) -> if(_o.{done}, _o, {some('_o')})))"
+        out = self.let(E(text, max(v.level for v in start.values())))
+        return {k: E(f"{out.s}.{k}", out.level) for k in state}
+
+    def bound(self, text: str) -> str:
+        """An expression over the named values as one expression, with the values bound by functions of one element."""
+        for level in range(len(self.stages) - 1, -1, -1):
+            names = ", ".join(f"'{n}', {s}" for n, s in self.stages[level])
+            text = f"element_at(transform(array(named_struct({names})), {self.prefix}L{level} -> {text}), 1)"
+        where = {n: f"{self.prefix}L{k}.{n}" for k, stage in enumerate(self.stages) for n, _ in stage}
+        # names stand for themselves where they are made, and for a field of their stage where they are used
+        return re.sub(rf"(?<![\w'.]){self.prefix}\d+\b", lambda f: where.get(f[0], f[0]), text)
+
+
 for _name, _sql in {"sin": "sin", "cos": "cos", "tan": "tan", "asin": "asin", "acos": "acos", "atan": "atan", "sinh": "sinh", "cosh": "cosh", "tanh": "tanh", "atanh": "atanh", "exp": "exp", "sqrt": "sqrt", "abs": "abs", "sign": "signum"}.items():
     setattr(Sql, _name, (lambda form: lambda self, a: self._f(form, a))(_sql + "({})"))
 
@@ -194,6 +223,21 @@ class Np:
     def failed(*values):
         return reduce(np.logical_or, map(np.isnan, values))
 
+    @staticmethod
+    def until(state: dict, step, done: str, rounds: int) -> dict:
+        keys = list(state)
+        values = {k: np.array(v) for k, v in zip(keys, np.broadcast_arrays(*state.values()), strict=True)}
+        shape = values[done].shape
+        values = {k: np.atleast_1d(v).copy() for k, v in values.items()}
+        for _ in range(rounds):
+            rows = np.flatnonzero(~values[done].astype(bool))  # only rows that still move are computed
+            if not len(rows):
+                break
+            made = step(Np, {k: v[rows] for k, v in values.items()} | {"rows": rows})
+            for k in keys:
+                values[k][rows] = made[k]
+        return {k: v.reshape(shape) for k, v in values.items()}
+
     @staticmethod
     def ratio(a, b):
         return a / b
@@ -204,7 +248,7 @@ class Np:
         good = np.isfinite(index) & (index >= 0) & (index < len(values))
         return np.where(good, np.asarray(values, float)[np.where(good, index, 0).astype(int)], np.nan)
 
-    where, isnan, log, log1p, floor, asinh, power, atan2, hypot, minimum, maximum = (staticmethod(f) for f in (np.where, np.isnan, np.log, np.log1p, np.floor, np.arcsinh, np.power, np.arctan2, np.hypot, np.minimum, np.maximum))
+    where, isnan, log, log1p, floor, rint, asinh, power, atan2, hypot, minimum, maximum = (staticmethod(f) for f in (np.where, np.isnan, np.log, np.log1p, np.floor, np.rint, np.arcsinh, np.power, np.arctan2, np.hypot, np.minimum, np.maximum))
     sin, cos, tan, asin, acos, atan, sinh, cosh, tanh, atanh, exp, sqrt, abs, sign = (staticmethod(f) for f in (np.sin, np.cos, np.tan, np.arcsin, np.arccos, np.arctan, np.sinh, np.cosh, np.tanh, np.arctanh, np.exp, np.sqrt, np.abs, np.sign))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from ..functions import geodesics
 from ..functions.angles import degrees_to_packed, packed_to_degrees
 from ..functions.ellipsoid import gravity
+from ..functions.mathx import Np
 from ..plans.parameters import Params
 from ..plans.registry import Op, operator
 
@@ -77,12 +79,15 @@ def geodesic(p: Params) -> Op:
     ellps, both_ways = p.ellps(), p.flag("reversible")
 
     def fwd(m, x, y, z, t):
-        lon, lat, _ = geodesics.direct(ellps, y * RAD, x * RAD, z * RAD, t)
+        along = geodesics.direct if m is Np else partial(geodesics.direct_in, m)
+        lon, lat, _ = along(ellps, y * RAD, x * RAD, z * RAD, t)
         return lat / RAD, lon / RAD, x, y
 
     def inv(m, x, y, z, t):
-        az1, az2, s = geodesics.inverse(ellps, y * RAD, x * RAD, t * RAD, z * RAD)
-        back = (az2 / RAD + 180.0) % 360.0
+        between = geodesics.inverse if m is Np else partial(geodesics.inverse_in, m)
+        az1, az2, s = between(ellps, y * RAD, x * RAD, t * RAD, z * RAD)
+        turned = m.let(az2 / RAD + 180.0)
+        back = turned - 360.0 * m.floor(turned / 360.0)
         return (z + 0 * s, t, back, s) if both_ways else (az1 / RAD, az2 / RAD, s, back)
 
-    return Op(fwd, inv, arrow=True)
+    return Op(fwd, inv)

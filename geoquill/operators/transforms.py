@@ -244,6 +244,14 @@ def helmert(p: Params) -> Op:
         move, spin = ([v + dt * d for v, d in zip(a, b, strict=True)] for a, b in ((move, rates), (spin, spin_rates)))
         scale, dynamic = scale + dt * scale_rate, False
 
+    return similarity(move, rates if dynamic else None, spin, spin_rates, scale, scale_rate, epoch, exact, vector, rotated)
+
+
+def similarity(move, rates, spin, spin_rates, scale, scale_rate, epoch, exact: bool, vector: bool, rotated: bool = True) -> Op:
+    """By parameters that are numbers or values of columns; rates (if any) hold from the epoch. Angles in radians, scale
+    in parts per million."""
+    dynamic = rates is not None
+
     def at(m, t):
         if not dynamic:
             return move, spin, 1 + scale * 1e-6

@@ -393,6 +393,10 @@ def geodesic_queries() -> dict[str, str]:
     out["geodesic_direct"] = recursive(f"{src}{along('src', 'k')} SELECT k, round(degrees(lat2), 8) + 0.0 AS lat_out, round(degrees(lon2), 8) + 0.0 AS lon_out FROM gd")
     near = f"{pts('nordic')}, {stations}, src AS (SELECT k, supplier, phi AS lat1, lam AS lon1, lat2, lon2 FROM pts JOIN customer ON k = c_custkey JOIN s1 ON nation = c_nationkey)"
     out["nearest_supplier"] = recursive(f"{near}{between('src', 'k, supplier')} SELECT k, supplier, round(metres, 3) + 0.0 AS metres FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY metres, supplier) AS n FROM gd) WHERE n = 1")
+    out["nearest_5"] = recursive(f"{near}{between('src', 'k, supplier')} SELECT k, CAST(n AS INTEGER) AS rank, supplier, round(metres, 3) + 0.0 AS metres FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY metres, supplier) AS n FROM gd) WHERE n <= 5")
+    anywhere = stations.replace(points("nordic", "supplier", "s_suppkey")[7:], points("world", "supplier", "s_suppkey")[7:])
+    every = f"{pts('world')}, {anywhere}, src AS (SELECT k, supplier, phi AS lat1, lam AS lon1, lat2, lon2 FROM pts CROSS JOIN s1)"
+    out["nearest_3_anywhere"] = recursive(f"{every}{between('src', 'k, supplier')} SELECT k, CAST(n AS INTEGER) AS rank, supplier, round(metres, 2) + 0.0 AS metres FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY metres, supplier) AS n FROM gd WHERE good) WHERE n <= 3")
     tracks = f"WITH p0 AS (SELECT o_custkey AS customer, o_orderdate AS ordered, {points('nordic', 'orders', 'o_orderkey')[7:]}), t0 AS (SELECT *, radians(lat) AS lat2, radians(lon) AS lon2 FROM p0)"
     legs = ", t1 AS (SELECT *, lag(lat2) OVER w AS lat1, lag(lon2) OVER w AS lon1 FROM t0 WINDOW w AS (PARTITION BY customer ORDER BY ordered, k)), src AS (SELECT * FROM t1 WHERE lat1 IS NOT NULL)"
     out["route_length_per_customer"] = recursive(f"{tracks}{legs}{between('src', 'customer, k')} SELECT customer, round(coalesce(sum(metres), 0), 1) AS metres, count(*) AS n FROM t0 LEFT JOIN (SELECT k, metres FROM gd) USING (k) GROUP BY customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import pts
+from .oracles import _geocentric, points, pts
 
 
 def stored() -> dict[str, str]:
@@ -18,5 +18,17 @@ def stored() -> dict[str, str]:
     }
 
 
+def by_time() -> str:
+    """Parameters of the last error event of the user, by DuckDB's own join."""
+    x, y, z = _geocentric()
+    turn = "radians(e.value / 7 / 3600)"
+    grow = "(1 + (e.k % 5 - 2) * 1e-6::DOUBLE)"
+    moved = [f"{grow} * (g.gx + {turn} * g.gy) + e.value", f"{grow} * (g.gy - {turn} * g.gx)", f"{grow} * g.gz"]
+    out = ", ".join(f"round({v}, 3) + 0.0 AS {n}" for v, n in zip(moved, "xyz", strict=True))
+    return f"""WITH p0 AS (SELECT ts, user_id, event_type, value, {points('nordic', 'events', 'event_id')[7:]}), pts AS (SELECT *, radians(lat) AS phi, radians(lon) AS lam FROM p0),
+    g AS (SELECT *, {x} AS gx, {y} AS gy, {z} AS gz FROM pts WHERE event_type <> 'error'), e AS (SELECT * FROM pts WHERE event_type = 'error')
+    SELECT g.k AS k, {out}, e.k IS NOT NULL AS ok FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.ts >= e.ts"""
+
+
 def sql(known: dict[str, str]) -> dict[str, str]:
-    return stored() | {"deformation_store": known["deformation_fwd"], "deflection_store": known["deflection_fwd"]}
+    return stored() | {"helmert_by_time": by_time(), "deformation_store": known["deformation_fwd"], "deflection_store": known["deflection_fwd"]}

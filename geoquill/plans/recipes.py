@@ -4,80 +4,100 @@ are in degrees."""
 from __future__ import annotations
 
 import math
-import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as geo
+from ..functions.ellipsoid import Ellipsoid
 
 
 def route_length(stops: DataFrame, key: str, order: list[str], ellps: str = "GRS80") -> DataFrame:
     """(key, metres, n) by key: the length of the route through its stops in order, and their number."""
     w = Window.partitionBy(key).orderBy(*order)
     legs = stops.select(key, "lat", "lon", F.lag("lat").over(w).alias("lat0"), F.lag("lon").over(w).alias("lon0"))
-    legs = legs.withColumn("leg", F.when(F.col("lat0").isNotNull(), geo.distance("lat0", "lon0", "lat", "lon", ellps)).otherwise(0.0))
-    return legs.groupBy(key).agg(F.sum("leg").alias("metres"), F.count("*").alias("n"))
+    legs = geo.with_geodesic(legs, "lat0", "lon0", "lat", "lon", "leg", ellps=ellps)
+    leg = F.when(F.col("lat0").isNotNull(), F.col("leg")).otherwise(0.0)
+    return legs.groupBy(key).agg(F.sum(leg).alias("metres"), F.count("*").alias("n"))
 
 
-#: Metres of a degree along a meridian, less than anywhere on the named ellipsoids.
-DEGREE = 110_000.0
+#: Sides of cells in space are powers of two metres: the smallest, and one that holds the globe.
+LOW, HIGH = 6, 25
 
 
-def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by: str, per_cell: int = 4, ellps: str = "GRS80") -> DataFrame:
-    """(key, station, metres): for each place the nearest station with the same value of `by`; ties to the smaller
-    station. Places whose `by` has no station are left out.
+def _placed(df: DataFrame, ellps: Ellipsoid, *columns: Column) -> DataFrame:
+    """Columns, lat and lon, and the place in space, of rows that have one."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    rows = df.select(*columns, number("lat").alias("lat"), number("lon").alias("lon")).filter("lat is not null and lon is not null and abs(lat) <= 90 and abs(lon) < double('Infinity')")
+    xyz = ellps.cartesian(geo.Columns, F.radians("lon"), F.radians("lat"), F.lit(0.0))
+    return rows.select("*", *[v.alias(n) for n, v in zip("xyz", xyz, strict=True)])
 
-    Stations lie in cells of latitude and longitude, by value of `by` so large that a cell has about `per_cell`; up to
-    16 times as many stations are one cell.
-    A place is compared with the stations of its cell and the eight around it, and is done if those are all there are, or
-    if the nearest is nearer than anything beyond can be. The others go on with cells twice as large, until one cell is
-    the whole globe; so the work for each place is bounded by the density of stations, not by their number. Tables of a
-    round are written once.
+
+def _right(c: Column | str, bits: Column) -> Column:
+    """A whole number without its last bits, rounded down."""
+    return F.call_function("shiftright", F.col(c) if isinstance(c, str) else c, bits)
+
+
+def _cell(level: Column) -> list[Column]:
+    """The cube of a level at x, y, z, by its number along each axis."""
+    return [_right(F.floor(F.col(c) + float(1 << HIGH - 1)), level) for c in "xyz"]
+
+
+def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station: str, by: str | None = None, ellps: str = "GRS80") -> DataFrame:
+    """(key, rank from 1, station, metres): for each place its k nearest stations, those of its value of `by` where that
+    is named; ties to the smaller station; all of them where there are fewer.
+
+    Places and stations are points in space, in cubes whose sides are powers of two, so poles and the date line are
+    nothing special. The number of stations of every cube is counted, for all sides at once. For each place the smallest
+    cube around it that holds k stations bounds how far the k-th may be; the place then meets the stations of cubes of
+    about that side, its own and those around it. A chord is never longer than the geodesic, and the geodesic not
+    longer than what the smallest curvature makes of the chord, so chords tell in the JVM which few pairs can be among
+    the k nearest, and only those get their geodesic. It is one plan: no rounds, no tables between; the work for a place
+    follows the stations near it, not their number. Of stations at one place with one `by` only the k smallest take
+    part, so a crowd at one place is no crowd of pairs.
+
+    Rows without a key, a station, a `by` or a position take no part; so a place is left out if it has no position, or
+    its `by` has no station. Places that repeat a key at one position count once.
     """
-    lon = F.pmod(F.col("lon").cast("double") + 180.0, F.lit(360.0)) - 180.0
-    a = places.select(F.col(key).alias("k"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat"), lon.alias("lon"))
-    b = stations.select(F.col(station).alias("s"), F.col(by).alias("g"), F.col("lat").cast("double").alias("lat2"), lon.alias("lon2"))
-    # the first size of cells: extent over the root of the number of cells wanted
-    extent = b.groupBy("g").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat2", "lon2")])
-    area = F.greatest(F.col("max_lat2") - F.col("min_lat2"), F.lit(1e-3)) * F.greatest(F.col("max_lon2") - F.col("min_lon2"), F.lit(1e-3))
-    level = F.when(F.col("n") <= 16 * per_cell, 9).otherwise(F.ceil(F.log2(F.sqrt(area / (F.col("n") / per_cell))))).cast("int")
-    box = [f"{f}_{c}" for f in ("min", "max") for c in ("lat2", "lon2")]
-    sizes = extent.select("g", level.alias("level"), *box)
-    a, b = _kept(a.join(F.broadcast(sizes), "g") if sizes.count() <= 10_000 else a.join(sizes, "g"), "places"), _kept(b.join(sizes, "g"), "stations")
-    done = None
-    step = 0
-    while True:
-        size = F.pow(F.lit(2.0), F.col("level") + step)
-        turns = F.greatest(F.lit(1.0), F.floor(360.0 / size))  # cells around the globe; the last one is the widest
-        row = lambda c, shift=0: F.floor((F.col(c) + 90.0) / size).cast("long") + shift  # noqa: E731, B023
-        column = lambda c: F.least(F.floor(F.pmod(F.col(c) + 180.0, F.lit(360.0)) / size), turns - 1)  # noqa: E731, B023
-        cells = [F.struct(row("lat", i).alias("r"), F.pmod(column("lon") + j, turns).cast("long").alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        near = a.withColumn("cell", F.explode(F.array_distinct(F.array(*cells)))).select("k", "g", "lat", "lon", "level", *box, "cell.*")
-        held = b.select("s", "g", "lat2", "lon2", row("lat2").alias("r"), column("lon2").cast("long").alias("c"))
-        pairs = near.join(held, ["g", "r", "c"]).withColumn("metres", geo.distance("lat", "lon", "lat2", "lon2", ellps))
-        # a geodesic that doesn't converge is nearly half the globe long
-        pairs = pairs.withColumn("metres", F.coalesce(F.nanvl("metres", F.lit(2.0e7)), F.lit(2.0e7)))
-        within = lambda cell, c, at: (cell(f"min_{c}") >= cell(at) - 1) & (cell(f"max_{c}") <= cell(at) + 1)
-        all_there = within(row, "lat2", "lat") & within(column, "lon2", "lon")
-        best = pairs.groupBy("k", "g", "lat", "lon", "level", *box).agg(F.min(F.struct("metres", "s")).alias("b"))
-        # beyond the ring, latitude or longitude differs by a cell at least
-        beyond = DEGREE * size * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + size)))) * 0.9
-        sure = all_there | (F.col("b.metres") <= F.when(size >= 45.0, F.lit(0.0)).otherwise(beyond)) | (size >= 360.0)
-        found = _kept(best.select("k", F.col("b.s").alias("s"), F.col("b.metres").alias("metres"), sure.alias("sure")), "nearest")
-        done = found.filter("sure") if done is None else done.union(found.filter("sure"))
-        rest = a.join(found.filter("sure").select("k"), "k", "left_anti")
-        if rest.isEmpty():
-            return done.select(F.col("k").alias(key), F.col("s").alias(station), "metres")
-        a, step = _kept(rest, "places"), step + 1
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A table that is read again and again: written to the checkpoint folder where the session names one, and else
-    held by Spark."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    e = Ellipsoid.named(ellps)
+    group = F.col(f"`{by}`") if by else F.lit(0)
+    a = _placed(places, e, F.col(f"`{key}`").alias("k"), group.alias("g")).filter("k is not null and g is not null")
+    b = _placed(stations, e, F.col(f"`{station}`").alias("s"), group.alias("g")).filter("s is not null and g is not null").distinct()
+    there = Window.partitionBy("g", "lat", "lon").orderBy("s")
+    b = b.withColumn("n", F.row_number().over(there)).filter(F.col("n") <= k).drop("n")
+    # stations by cube, of the smallest side, then of all
+    axes = ("cx", "cy", "cz")
+    low = [c.alias(n) for n, c in zip(axes, _cell(F.lit(LOW)), strict=True)]
+    up = [_right(n, F.col("level") - LOW).alias(n) for n in axes]
+    levels = F.explode(F.sequence(F.lit(LOW), F.lit(HIGH))).alias("level")
+    counts = b.groupBy("g", *low).agg(F.count("*").alias("n")).select("g", *axes, "n", levels).select("g", "level", *up, "n").groupBy("g", "level", *axes).agg(F.sum("n").alias("n"))
+    own = a.select("g", *low).distinct().select("g", *[F.col(n).alias(f"o{n}") for n in axes], *axes, levels).select("g", *[f"o{n}" for n in axes], "level", *up)
+    holds = own.join(counts, ["g", "level", *axes]).groupBy("g", *[F.col(f"o{n}").alias(n) for n in axes]).agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("level"))), F.lit(HIGH)).alias("level"))
+    # no chord to one of the k is longer than the geodesic that the cube's diagonal may be
+    diagonal = math.sqrt(3) * F.pow(F.lit(2.0), F.col("level"))
+    curve = e.b * e.b / e.a
+    longest = lambda c: F.when(c < 1e6, c * (1 + c * c / (20 * curve * curve))).otherwise(c * (1.01 * math.pi / 2 * e.a / e.b))
+    a = a.select("*", *low).join(holds, ["g", *axes]).drop(*axes).withColumn("reach", longest(diagonal))
+    side = F.least(F.lit(HIGH), F.ceil(F.log2("reach"))).cast("int")
+    a = a.withColumn("side", side)
+    steps = [F.array(*[c + i for i in (-1, 0, 1)]) for c in _cell(F.col("side"))]
+    a = a.select("*", F.explode(steps[0]).alias("cx"), steps[1].alias("ys"), steps[2].alias("zs"))
+    a = a.select("*", F.explode("ys").alias("cy")).select("*", F.explode("zs").alias("cz")).drop("ys", "zs")
+    met = b.select("g", "s", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *low)
+    # a station stands in a cube of each side that some place looks through (at most twenty)
+    used = a.select("side").distinct()
+    met = met.join(F.broadcast(used), F.col("side").between(LOW, HIGH)).select("g", "s", "lat2", "lon2", "x2", "y2", "z2", "side", *[_right(n, F.col("side") - LOW).alias(n) for n in axes])
+    pairs = a.join(met, ["g", "side", *axes]).withColumn("chord", F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))).filter("chord <= reach + 0.001")
+    place = Window.partitionBy("k", "g", "lat", "lon")
+    known = F.nth_value("chord", k).over(place.orderBy("chord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    few = pairs.select("k", "g", "lat", "lon", "s", "lat2", "lon2", "chord", known.alias("kth")).filter(F.col("kth").isNull() | (F.col("chord") <= longest(F.col("kth")) + 0.001))
+    few = geo.with_geodesic(few.select("k", "g", "lat", "lon", "s", "lat2", "lon2"), "lat", "lon", "lat2", "lon2", "metres", ellps=ellps)
+    # a geodesic that doesn't converge is nearly half the globe long
+    few = few.withColumn("metres", F.coalesce("metres", F.lit(2.0e7)))
+    ranked = few.withColumn("rank", F.row_number().over(place.orderBy("metres", "s"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("k").alias(key), "rank", F.col("s").alias(station), "metres")
+
+
+def nearest(places: DataFrame, stations: DataFrame, key: str, station: str, by: str | None = None, ellps: str = "GRS80") -> DataFrame:
+    """(key, station, metres): for each place the nearest station; see k_nearest."""
+    return k_nearest(places, stations, 1, key, station, by, ellps).drop("rank")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, oracles_more
 from .plans import recipes
+from .plans.asof import helmert_at
 from .plans.factors import factors
 from .plans.pipeline import Context, Pipeline
 from .sources import gridstore, gridwrite, scratch, text
@@ -168,6 +169,15 @@ def stored(pipeline: str, direction: str, area: str, end: str, spark: SparkSessi
     return out.select("k", rounded(F.degrees("x"), 8).alias("lon_out"), rounded(F.degrees("y"), 8).alias("lat_out"), rounded("z", 5).alias("h_out"))
 
 
+def helmert_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is moved by what the last error event of its user before it measured."""
+    events = points(spark, sf_dir, "nordic", "events", "event_id", "ts", "user_id", "event_type", "value")
+    space = Pipeline("cart").transform(events, "lam", "phi", "h")
+    sets = events.filter("event_type = 'error'").select("ts", "user_id", F.col("value").alias("x"), (F.col("value") / 7).alias("rz"), (F.col("k") % 5 - 2.0).alias("s"))
+    out = helmert_at(space.filter("event_type <> 'error'"), sets, "ts", by=["user_id"], rows=20_000)
+    return out.select("k", *[rounded(c, 3).alias(c) for c in "xyz"], "ok")
+
+
 def deformation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = points(spark, sf_dir, "nordic").withColumn("zero", F.lit(0.0))
     out = Pipeline("cart | deformation grids=velocity t_epoch=2000", example_store(spark)).transform(flat, "lam", "phi", "zero", "t")
@@ -218,6 +228,20 @@ def nearest_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", "supplier", rounded("metres", 3).alias("metres"))
 
 
+def nearest_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the customer's nation."""
+    ours = points(spark, sf_dir, "nordic", "customer", "c_custkey", "c_nationkey AS nation").select("k", "nation", "lat", "lon")
+    theirs = points(spark, sf_dir, "nordic", "supplier", "s_suppkey", "s_nationkey AS nation").select(F.col("k").alias("supplier"), "nation", "lat", "lon")
+    return recipes.k_nearest(ours, theirs, 5, "k", "supplier", by="nation").select("k", "rank", "supplier", rounded("metres", 3).alias("metres"))
+
+
+def nearest_3_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all nations, over the whole world."""
+    ours = points(spark, sf_dir, "world").select("k", "lat", "lon")
+    theirs = points(spark, sf_dir, "world", "supplier", "s_suppkey").select(F.col("k").alias("supplier"), "lat", "lon")
+    return recipes.k_nearest(ours, theirs, 3, "k", "supplier").select("k", "rank", "supplier", rounded("metres", 2).alias("metres"))
+
+
 def route_length_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = points(spark, sf_dir, "nordic", "orders", "o_orderkey", "o_custkey AS customer", "o_orderdate AS at")
     out = recipes.route_length(stops, "customer", ["at", "k"])
@@ -361,6 +385,7 @@ def queries() -> dict[str, Query]:
         "gridshift_store": partial(stored, "gridshift grids=shift,@null", "fwd", "world", ""),
         "gridshift_store_inv": partial(stored, "gridshift grids=shift", "inv", "nordic", ""),
         "geoid_store": partial(stored, "gridshift grids=geoid", "fwd", "nordic", ""),
+        "helmert_by_time": helmert_by_time,
         "deformation_store": deformation_store,
         "deflection_store": deflection_store,
         "grid_ntv2": partial(stored, "gridshift grids=shift", "inv", "nordic", "gsb"),
@@ -374,6 +399,8 @@ def queries() -> dict[str, Query]:
         "grid_misses": grid_misses,
         "pipeline_success_counts": pipeline_success_counts,
         "nearest_supplier": nearest_supplier,
+        "nearest_5": nearest_5,
+        "nearest_3_anywhere": nearest_3_anywhere,
         "route_length_per_customer": route_length_per_customer,
         "bbox_rollup": bbox_rollup,
         "events_window_centroid": events_window_centroid,
