@@ -192,8 +192,7 @@ def with_geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, met
     az1, az2, s = geodesics.inverse_in(m, _ellps(ellps), a, b, c, d)
     made = {n: f"nanvl({v.s}, null){'' if v is s else ' * ' + repr(180 / math.pi) + 'D'}" for n, v in ((metres, s), (azimuth, az1), (back, az2)) if n}
     kept = [f"`{x}`" for x in df.columns if x not in made]
-    for stage in m.stages:
-        df = df.selectExpr("*", *[f"{v} AS {n}" for n, v in stage])
+    df = m.named(df)
     # one struct, so that filters on the result don't write the formulas out again
     return df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'{n}', {v}" for n, v in made.items()) + ")))")
 

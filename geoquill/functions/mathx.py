@@ -183,6 +183,22 @@ class Sql:
         return self._f("coalesce(try_element_at(array(" + table + "), int({}) + 1), " + NAN + ")", index)
 
 
+    def named(self, df):
+        """df with the named values as columns. Stages go into one selection, whose later items refer to earlier ones,
+        since each selection by itself would be analysed with all that lies below it; functions over arrays can't refer
+        to items of their own selection, so they begin a new one."""
+        parts: list[list[str]] = [[]]
+        for stage in self.stages:
+            arrays = any("->" in s for _, s in stage)
+            if arrays:
+                parts.append([])
+            parts[-1] += [f"{s} AS {n}" for n, s in stage]
+            if arrays:
+                parts.append([])
+        for part in parts:
+            df = df.selectExpr("*", *part) if part else df
+        return df
+
     def until(self, state: dict, step, done: str, rounds: int) -> dict:
         """Values that `step` (from and to a dict) changes until the one named `done` is true, for so many rounds at
         most: an expression without generated code, for the few rows that need it."""

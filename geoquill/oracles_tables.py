@@ -30,5 +30,18 @@ def by_time() -> str:
     SELECT g.k AS k, {out}, e.k IS NOT NULL AS ok FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.ts >= e.ts"""
 
 
+def leg(table: str, key: str, mix: int) -> str:
+    return f"SELECT k AS id, lon AS x1, lat AS y1, lon + ((k + {mix}) * {mix} % 401 - 200) / 1000::DOUBLE AS x2, lat + (k * {mix + 16} % 401 - 200) / 1000::DOUBLE AS y2 FROM ({points('nordic', table, key)})"
+
+
+def crossed(a: str, b: str, condition: str) -> str:
+    """All pairs; the parameter along each segment by Cramer's rule. Ends and parallel segments lie beyond the data."""
+    return f"""WITH a AS ({a}), b AS ({b}), p AS (
+      SELECT a.id AS id1, b.id AS id2, a.x1, a.y1, a.x2 - a.x1 AS ux, a.y2 - a.y1 AS uy, b.x2 - b.x1 AS vx, b.y2 - b.y1 AS vy, b.x1 - a.x1 AS wx, b.y1 - a.y1 AS wy FROM a JOIN b ON {condition}
+    ), q AS (SELECT *, ux * vy - uy * vx AS bend FROM p), r AS (SELECT *, (wx * vy - wy * vx) / bend AS s, (wx * uy - wy * ux) / bend AS t FROM q WHERE abs(bend) > 1e-12)
+    SELECT id1, id2, round(x1 + s * ux, 6) + 0.0 AS x, round(y1 + s * uy, 6) + 0.0 AS y FROM r WHERE s BETWEEN -1e-9 AND 1 + 1e-9 AND t BETWEEN -1e-9 AND 1 + 1e-9"""
+
+
 def sql(known: dict[str, str]) -> dict[str, str]:
-    return stored() | {"helmert_by_time": by_time(), "deformation_store": known["deformation_fwd"], "deflection_store": known["deflection_fwd"]}
+    ours, theirs = leg("customer", "c_custkey", 37), leg("supplier", "s_suppkey", 91)
+    return stored() | {"leg_crossings": crossed(ours, ours, "a.id < b.id"), "leg_crossings_between": crossed(ours, theirs, "true"), "helmert_by_time": by_time(), "deformation_store": known["deformation_fwd"], "deflection_store": known["deflection_fwd"]}

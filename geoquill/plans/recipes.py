@@ -91,9 +91,10 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station:
     place = Window.partitionBy("k", "g", "lat", "lon")
     known = F.nth_value("chord", k).over(place.orderBy("chord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     few = pairs.select("k", "g", "lat", "lon", "s", "lat2", "lon2", "chord", known.alias("kth")).filter(F.col("kth").isNull() | (F.col("chord") <= longest(F.col("kth")) + 0.001))
-    few = geo.with_geodesic(few.select("k", "g", "lat", "lon", "s", "lat2", "lon2"), "lat", "lon", "lat2", "lon2", "metres", ellps=ellps)
+    # about k pairs a place are left: one Arrow hop for them keeps the plan short, which is planned anew after each stage
+    metres = F.nanvl(geo.distance("lat", "lon", "lat2", "lon2", ellps), F.lit(None))
     # a geodesic that doesn't converge is nearly half the globe long
-    few = few.withColumn("metres", F.coalesce("metres", F.lit(2.0e7)))
+    few = few.select("k", "g", "lat", "lon", "s", F.coalesce(metres, F.lit(2.0e7)).alias("metres"))
     ranked = few.withColumn("rank", F.row_number().over(place.orderBy("metres", "s"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("k").alias(key), "rank", F.col("s").alias(station), "metres")
 

@@ -19,6 +19,7 @@ from .plans import recipes
 from .plans.asof import helmert_at
 from .plans.factors import factors
 from .plans.pipeline import Context, Pipeline
+from .plans.segments import crossings
 from .sources import gridstore, gridwrite, scratch, text
 from .sources.gridfiles import Grid
 from .functions import columns as geo
@@ -298,6 +299,23 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("k", F.size(met).alias("n"), rounded(one["x"], 6).alias("x"), rounded(one["y"], 6).alias("y"))
 
 
+def legs(spark: SparkSession, sf_dir: str, table: str, key: str, mix: int) -> DataFrame:
+    """A short segment from each place."""
+    df = points(spark, sf_dir, "nordic", table, key)
+    return df.select(F.col("k").alias("id"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + ((F.col("k") + mix) * mix % 401 - 200) / 1000).alias("x2"), (F.col("lat") + (F.col("k") * (mix + 16) % 401 - 200) / 1000).alias("y2"))
+
+
+def leg_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of customers' legs with each other."""
+    return crossings(legs(spark, sf_dir, "customer", "c_custkey", 37)).select("id1", "id2", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"))
+
+
+def leg_crossings_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of customers' legs with suppliers'."""
+    out = crossings(legs(spark, sf_dir, "customer", "c_custkey", 37), legs(spark, sf_dir, "supplier", "s_suppkey", 91))
+    return out.select("id1", "id2", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"))
+
+
 def geodesic_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between customers and the suppliers that they ordered from."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"))
@@ -411,6 +429,8 @@ def queries() -> dict[str, Query]:
         "registered_grid": registered_grid,
         "place_measures": place_measures,
         "segment_crossings": segment_crossings,
+        "leg_crossings": leg_crossings,
+        "leg_crossings_between": leg_crossings_between,
         "push_pop": partial(elements, "push v_1 v_2 | addone | addone | pop v_2 v_1", ("x", "y", "z"), 6),
         "map_factors_utm": map_factors_utm,
         "roundtrip_report": roundtrip_report,
