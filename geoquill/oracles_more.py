@@ -400,6 +400,9 @@ def geodesic_queries() -> dict[str, str]:
     tracks = f"WITH p0 AS (SELECT o_custkey AS customer, o_orderdate AS ordered, {points('nordic', 'orders', 'o_orderkey')[7:]}), t0 AS (SELECT *, radians(lat) AS lat2, radians(lon) AS lon2 FROM p0)"
     legs = ", t1 AS (SELECT *, lag(lat2) OVER w AS lat1, lag(lon2) OVER w AS lon1 FROM t0 WINDOW w AS (PARTITION BY customer ORDER BY ordered, k)), src AS (SELECT * FROM t1 WHERE lat1 IS NOT NULL)"
     out["route_length_per_customer"] = recursive(f"{tracks}{legs}{between('src', 'customer, k')} SELECT customer, round(coalesce(sum(metres), 0), 1) AS metres, count(*) AS n FROM t0 LEFT JOIN (SELECT k, metres FROM gd) USING (k) GROUP BY customer")
+    ways = f"WITH p0 AS (SELECT user_id, ts, {points('nordic', 'events', 'event_id')[7:]}), t0 AS (SELECT *, radians(lat) AS lat2, radians(lon) AS lon2 FROM p0)"
+    hops = ", t1 AS (SELECT *, lag(lat2) OVER w AS lat1, lag(lon2) OVER w AS lon1 FROM t0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, k)), src AS (SELECT * FROM t1 WHERE lat1 IS NOT NULL)"
+    out["events_route"] = recursive(f"{ways}{hops}{between('src', 'k')} SELECT k, user_id, round(coalesce(metres, 0), 2) AS leg, round(sum(coalesce(metres, 0)) OVER r, 1) AS metres, row_number() OVER r AS n FROM t0 LEFT JOIN (SELECT k, metres FROM gd) USING (k) WINDOW r AS (PARTITION BY user_id ORDER BY ts, k ROWS UNBOUNDED PRECEDING)")
     src = f"{pts('nordic')}, src AS (SELECT k, {d(radians(52))} AS lat1, {d(radians(10))} AS lon1, phi AS lat2, lam AS lon2 FROM pts)"
     out["aeqd_fwd"] = recursive(f"{src}{between('src', 'k')} SELECT k, round(metres * sin(az), 3) + 0.0 AS x, round(metres * cos(az), 3) + 0.0 AS y FROM gd")
     return out

@@ -86,8 +86,7 @@ def helmert_at(points: DataFrame, sets: DataFrame, on: str, right_on: str | None
     op = similarity([value(c) for c in "xyz"], [value(c) for c in ("dx", "dy", "dz")], [value(c, turn) for c in ("rx", "ry", "rz")], [value(c, turn) for c in ("drx", "dry", "drz")], value("s"), value("ds"), value("t_epoch"), exact, convention == "position_vector")
     made = (op.fwd if direction == "fwd" else op.inv)(m, *[E(f"_p{k}") for k in range(4)])
     values = [wrap(v) for v in m.let(*made[:3])]
-    for stage in m.stages:
-        start = start.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
+    start = m.named(start)
     good = " AND ".join(f"NOT isnan({v.s})" for v in values) + " AND _set IS NOT NULL"
     kept = [f"`{c}`" for c in points.columns if c not in {*into, ok}]
     return start.selectExpr(*kept, *[f"if({good}, {v.s}, double('NaN')) AS `{n}`" for v, n in zip(values, into, strict=True)], f"{good} AS `{ok}`")

@@ -22,7 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mathx import E, Np, Sql, wrap
@@ -178,9 +178,19 @@ class Pipeline:
             good.append((step.name, ~bad if not isinstance(bad, (bool, np.bool_)) else not bad))
         return c, good
 
-    def transform(self, df: DataFrame, x: str, y: str, z: str | None = None, t: str | None = None, direction: str = "fwd", into: tuple[str, str, str, str] = ("x", "y", "z", "t"), ok: str | None = "ok", engine: str = "auto", steps: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, x: str, y: str, z: str | None = None, t: str | None = None, direction: str = "fwd", into: tuple[str, str, str, str] = ("x", "y", "z", "t"), ok: str | None = "ok", engine: str = "auto", steps: bool = False, observe: Observation | str | None = None) -> DataFrame:
         """All columns of df and the result's; z is 0 and t is NaN where no column is named. With steps, columns
-        `ok_1`, ... tell by step whether the tuple was good. engine: auto, columns or arrow."""
+        `ok_1`, ... tell by step whether the tuple was good. engine: auto, columns or arrow.
+
+        `observe`: counts (n, ok_1, ..., successes, as success_counts has them) are taken on the pass that reads the
+        result, and are in the Observation after it; of a stream, under that name in the progress of its query."""
+        if observe is not None:
+            out = self.transform(df, x, y, z, t, direction, into, ok, engine, steps=True)
+            marks = [f"ok_{k}" for k in range(1, len(self._order(direction)) + 1)]
+            counts = [F.count_if(F.col(k)) for k in marks]
+            least = F.least(*counts) if len(counts) > 1 else counts[0]
+            out = out.observe(observe, F.count(F.lit(1)).alias("n"), *[c.alias(k) for c, k in zip(counts, marks, strict=True)], least.alias("successes"))
+            return out if steps else out.drop(*marks)
         keep = [c for c in df.columns if c not in {*into, ok}]
         if any(op is not None and op.stored for _, op in self._order(direction)):
             return self._by_parts(df, keep, (x, y, z, t), direction, into, ok, steps)
@@ -199,8 +209,7 @@ class Pipeline:
         made = {n: f"if({every.s}, {wrap(v).s}, double('NaN'))" for v, n in zip(c, into, strict=True)}
         made |= {ok: every.s} if ok else {}
         made |= {f"ok_{k}": g.s for k, g in enumerate(good, 1)} if steps else {}
-        for stage in m.stages:
-            df = df.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
+        df = m.named(df)
         kept = [f"`{k}`" for k in keep]
         if m.count <= LONG:
             return df.selectExpr(*kept, *[f"{v} AS `{n}`" for n, v in made.items()])
@@ -227,8 +236,7 @@ class Pipeline:
                 m = Sql(f"_g{len(goods)}_")
                 stack = [E(f"_s{k}") for k in range(depth)]
                 c, good = self.run(m, *m.let(*(E(f"_p{k}") for k in range(4))), order=part, stack=stack)
-                for stage in m.stages:
-                    df = df.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
+                df = m.named(df)
                 made = {f"_p{k}": v for k, v in enumerate(c)} | {f"_s{k}": v for k, v in enumerate(stack)} | dict(zip(fresh, (g for _, g in good), strict=True))
                 depth = len(stack)
                 values = {n: wrap(v).s for n, v in made.items()}

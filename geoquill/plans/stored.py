@@ -130,9 +130,7 @@ def computed(df: DataFrame, make: Callable) -> DataFrame:
     m = Sql("_d")
     made = make(m, *[E(f"_p{k}") for k in range(4)])
     names = [n for stage in m.stages for n, _ in stage]
-    out = df
-    for stage in m.stages:
-        out = out.selectExpr("*", *[f"{s} AS {n}" for n, s in stage])
+    out = m.named(df)
     kept = [c for c in df.columns if c not in made]
     return out.selectExpr(*[f"`{c}`" for c in kept], *[f"{v.s} AS `{n}`" for n, v in made.items()]).drop(*names)
 

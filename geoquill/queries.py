@@ -24,6 +24,7 @@ from .sources import gridstore, gridwrite, scratch, text
 from .sources.gridfiles import Grid
 from .functions import columns as geo
 from .streaming import centroids, sessions, sliding
+from .streaming.routes import routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -275,6 +276,13 @@ def events_session_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "start", *[rounded(c, 2).alias(c) for c in ("west", "east", "south", "north")], "n")
 
 
+def events_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of each user so far."""
+    events = points(spark, sf_dir, "nordic", "events", "event_id", "ts", "user_id")
+    out = routes(events, "user_id", "ts", "k")
+    return out.select(F.col("id").alias("k"), "user_id", F.round("leg", 2).alias("leg"), F.round("metres", 1).alias("metres"), "n")
+
+
 def registered_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By a macro of a bundled register."""
     out = Pipeline("TM:DKTM2").transform(points(spark, sf_dir, "nordic"), "lat", "lon")
@@ -426,6 +434,7 @@ def queries() -> dict[str, Query]:
         "geodesic_direct": geodesic_direct,
         "events_sliding_centroid": events_sliding_centroid,
         "events_session_extent": events_session_extent,
+        "events_route": events_route,
         "registered_grid": registered_grid,
         "place_measures": place_measures,
         "segment_crossings": segment_crossings,
