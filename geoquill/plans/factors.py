@@ -34,7 +34,7 @@ def factors(df: DataFrame, pipeline: Pipeline, lon: str, lat: str, ellps: str =
     out = out.withColumns({"_sum": F.hypot(a + d, b - c), "_difference": F.hypot(a - d, b + c), "_h": F.hypot(b, d), "_k": F.hypot(a, c), "_s": a * d - b * c})
     whole, rest, h, k, s = (F.col(n) for n in ("_sum", "_difference", "_h", "_k", "_s"))
     return out.select(
-        *kept, h.alias(NAMES[0]), k.alias(NAMES[1]), s.alias(NAMES[2]), (2 * F.asin(rest / whole)).alias(NAMES[3]), (F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / (h * k)))) * (180 / math.pi)).alias(NAMES[4]),
+        *kept, h.alias(NAMES[0]), k.alias(NAMES[1]), s.alias(NAMES[2]), (2 * F.asin(rest / whole)).alias(NAMES[3]), F.when(F.isnan(s), s).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / (h * k)))) * (180 / math.pi)).alias(NAMES[4]),
         (-F.atan2(b, d) * (180 / math.pi)).alias(NAMES[5]), ((whole + rest) / 2).alias(NAMES[6]), ((whole - rest) / 2).alias(NAMES[7]),
     )
 

@@ -61,7 +61,7 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station:
     """
     e = Ellipsoid.named(ellps)
     group = F.col(f"`{by}`") if by else F.lit(0)
-    a = _placed(places, e, F.col(f"`{key}`").alias("k"), group.alias("g")).filter("k is not null and g is not null")
+    a = _placed(places, e, F.col(f"`{key}`").alias("k"), group.alias("g")).filter("k is not null and g is not null").distinct()
     b = _placed(stations, e, F.col(f"`{station}`").alias("s"), group.alias("g")).filter("s is not null and g is not null").distinct()
     there = Window.partitionBy("g", "lat", "lon").orderBy("s")
     b = b.withColumn("n", F.row_number().over(there)).filter(F.col("n") <= k).drop("n")
