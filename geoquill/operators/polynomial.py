@@ -301,7 +301,7 @@ def space_oblique(p: Params, tilt: float, ratio: float, lon_0: float) -> Op:
     if abs(ca) < 1e-9:
         ca = 1e-9
     w = ((1 - es * ca * ca) / one) ** 2 - 1
-    q, t, u, j = es * sa * sa / one, es * sa * sa * (2 - es) / one**2, es * ca * ca / one, one**3
+    q, t, j = es * sa * sa / one, es * sa * sa * (2 - es) / one**2, one**3  # letters of the published formulas
 
     def slant(m, lam):
         """The track's slope against the scan lines."""
@@ -354,25 +354,37 @@ def space_oblique(p: Params, tilt: float, ratio: float, lon_0: float) -> Op:
         height = np.arcsinh(np.tan(offset)) / np.hypot(j, slope)
         return a * (along - slope * height), a * (across + j * height)
 
-    def inv(m, x, y):
-        x, y = x / a, y / a
-        track = x / b
-        for _ in range(50):
-            s = slant(Np, track) / j
+    def found(x, y):
+        """Track angle and height across it where the map's formulas give x and y: Newton's method in both, with slopes
+        of the formulas by differences."""
+
+        def miss(track, height):
             along, across = lengths(track)
-            track = track + (x - along + s * (y - across)) / b
-        s = slant(Np, track) / j
-        high = np.arctan(np.sinh(np.sqrt(1 + s * s) * (y - lengths(track)[1])))
-        safe = np.where(np.abs(np.cos(track)) < 1e-7, track - 1e-7, track)
-        sp = np.sin(high)
-        s2, t2 = sp * sp, np.sin(track) ** 2
-        look = np.arctan(((1 - s2 / one) * np.tan(safe) * ca - sp * sa * np.sqrt((1 + q * t2) * (1 - s2) - s2 * u) / np.cos(safe)) / (1 - s2 * (1 + u)))
-        look = look - np.where(np.cos(safe) >= 0, 0.0, math.pi) * np.where(look >= 0, 1.0, -1.0)
-        if abs(sa) < 1e-7:
-            lat = np.arcsin(np.clip(sp / np.sqrt(one * one + es * s2), -1, 1))
-        else:
-            lat = np.arctan((np.tan(safe) * np.cos(look) - ca * np.sin(look)) / (one * sa))
-        return look - ratio * track + lon_0, lat
+            return along - slant(Np, track) * height - x, across + j * height - y
+
+        track, height, step = x / b, (y - lengths(x / b)[1]) / j, 1e-6
+        for _ in range(12):
+            f, g = miss(track, height)
+            (f0, g0), (f1, g1) = miss(track - step, height), miss(track + step, height)
+            ft, gt, fh, gh = (f1 - f0) / (2 * step), (g1 - g0) / (2 * step), -slant(Np, track), j
+            bend = ft * gh - fh * gt
+            track, height = track - (f * gh - fh * g) / bend, height - (ft * g - gt * f) / bend
+        return track, height
+
+    #: From the axes of the orbit (node, along, pole) to those of the Earth at the time of passing.
+    turn = np.array([[1.0, 0.0, 0.0], [0.0, ca, -sa], [0.0, sa, ca]])
+
+    def inv(m, x, y):
+        track, height = found(x / a, y / a)
+        aside = np.sin(np.arctan(np.sinh(height * np.hypot(j, slant(Np, track)))))
+        lat = np.zeros(np.shape(aside))
+        for _ in range(12):  # the height over the orbit's plane depends a little on the latitude sought
+            s2 = np.sin(lat) ** 2
+            pole = np.clip(aside * np.sqrt((1 - es * s2) / (1 - s2 + one * one * s2)), -1, 1)
+            level = np.sqrt(1 - pole * pole)
+            place = np.tensordot(turn, np.stack((level * np.cos(track), level * np.sin(track), pole)), 1)
+            lat = np.arctan2(place[2], one * np.hypot(place[0], place[1]))
+        return np.arctan2(place[1], place[0]) - ratio * track + lon_0, lat
 
     op = plane(fwd, inv)
     return Op(op.fwd, op.inv, arrow=True)
