@@ -120,8 +120,8 @@ class Dual:
     def isnan(self, a):
         return self.m.isnan(dual(a).v)
 
-    def failed(self, *values):
-        return self.m.failed(*(dual(v).v for v in values))
+    def failed(self, *values, last: bool = False):
+        return self.m.failed(*(dual(v).v for v in values), last=last)
 
     def ratio(self, a, b):
         a, b = dual(a), dual(b)

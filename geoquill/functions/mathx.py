@@ -130,12 +130,12 @@ class Sql:
     def isnan(self, a):
         return self._f("isnan({})", a)
 
-    def failed(self, *values):
+    def failed(self, *values, last: bool = False):
         """Whether one of some named values is NaN. Every SPAN characters of expressions the question is put as a
         function over an array, which has no generated code: it ends a span of code, so that no method outgrows what
-        the JVM compiles."""
+        the JVM compiles. After the `last` step a span may be somewhat longer, since little follows."""
         values = self.let(*values)
-        if self.weight < SPAN:
+        if self.weight < (1.5 if last else 1) * SPAN:
             return reduce(lambda a, b: a | b, map(self.isnan, values))
         self.weight = 0
         return self._f("coalesce(exists(array(" + ", ".join(["{}"] * len(values)) + "), v -> isnan(v)), true)", *values)
@@ -236,7 +236,7 @@ class Np:
         return list(values) if len(values) > 1 else values[0]
 
     @staticmethod
-    def failed(*values):
+    def failed(*values, last: bool = False):
         return reduce(np.logical_or, map(np.isnan, values))
 
     @staticmethod

@@ -160,7 +160,8 @@ class Pipeline:
         """(x, y, z, t), and by step whether the tuple was good, in terms of the functions m. `order`: some steps of a
         direction only; `stack` is theirs before, and after."""
         c, stack, good = [x, y, z, t], [] if stack is None else stack, []
-        for step, op in self._order(direction) if order is None else order:
+        order = self._order(direction) if order is None else order
+        for k, (step, op) in enumerate(order, 1):
             back = step.flag("inv")
             if op is None:
                 worked = _stack(step, back, c, stack)
@@ -174,7 +175,7 @@ class Pipeline:
                 good.append((step.name, False))
                 continue
             c = list(m.let(*f(m, *c)))
-            bad = m.let(m.failed(c[0], c[1]))
+            bad = m.let(m.failed(c[0], c[1], last=k == len(order)))
             good.append((step.name, ~bad if not isinstance(bad, (bool, np.bool_)) else not bad))
         return c, good
 
