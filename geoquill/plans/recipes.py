@@ -70,7 +70,7 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station:
     low = [c.alias(n) for n, c in zip(axes, _cell(F.lit(LOW)), strict=True)]
     up = [_right(n, F.col("level") - LOW).alias(n) for n in axes]
     levels = F.explode(F.sequence(F.lit(LOW), F.lit(HIGH))).alias("level")
-    counts = b.groupBy("g", *low).agg(F.count("*").alias("n")).select("g", *axes, "n", levels).select("g", "level", *up, "n").groupBy("g", "level", *axes).agg(F.sum("n").alias("n"))
+    counts = b.select("g", *low, levels).groupBy("g", "level", *[u.alias(n) for u, n in zip([_right(n, F.col("level") - LOW) for n in axes], axes, strict=True)]).agg(F.count("*").alias("n"))
     own = a.select("g", *low).distinct().select("g", *[F.col(n).alias(f"o{n}") for n in axes], *axes, levels).select("g", *[f"o{n}" for n in axes], "level", *up)
     holds = own.join(counts, ["g", "level", *axes]).groupBy("g", *[F.col(f"o{n}").alias(n) for n in axes]).agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("level"))), F.lit(HIGH)).alias("level"))
     # no chord to one of the k is longer than the geodesic that the cube's diagonal may be
