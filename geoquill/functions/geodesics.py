@@ -77,6 +77,7 @@ def inverse(ellps: Ellipsoid, lon1, lat1, lon2, lat2):
     state = {k: np.full(span.shape, np.nan) for k in ("sin_s", "cos_s", "sigma", "cos2_alpha", "cos_2m")}
     with np.errstate(all="ignore"):
         rows = np.flatnonzero(np.isfinite(span))  # only rows that still move are computed
+        still = np.zeros(span.shape, bool)
         for _ in range(ROUNDS):
             if not len(rows):
                 break
@@ -93,13 +94,17 @@ def inverse(ellps: Ellipsoid, lon1, lat1, lon2, lat2):
             lam[rows] = new
             for k, v in zip(state, (sin_s, cos_s, sigma, cos2_alpha, cos_2m), strict=True):
                 state[k][rows] = v
-            rows = rows[~(np.abs(new - old) <= 1e-12)]
+            # once more after coming to rest, for what is kept belongs to the longitude before the step
+            now = np.abs(new - old) <= 1e-12
+            done = now & still[rows]
+            still[rows] = now
+            rows = rows[~done]
         a, b = _series(ellps, state["cos2_alpha"])
         s = ellps.b * a * (state["sigma"] - _delta(b, state["sin_s"], state["cos_s"], state["cos_2m"]))
         sin_l, cos_l = np.sin(lam), np.cos(lam)
         az1 = np.arctan2(c2 * sin_l, c1 * s2 - s1 * c2 * cos_l)
         az2 = np.arctan2(c1 * sin_l, c1 * s2 * cos_l - s1 * c2)
-    open_ = np.isin(np.arange(len(lam)), rows)
+    open_ = np.isin(np.arange(len(lam)), rows[~still[rows]])
     same = (span == 0) & (lat1 == lat2)
     return tuple(np.where(open_, np.nan, np.where(same, 0.0, v)).reshape(shape) for v in (az1, az2, s))
 
