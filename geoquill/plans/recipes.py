@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as geo
 from ..functions.ellipsoid import Ellipsoid
+from ..sources import scratch
 
 
 def route_length(stops: DataFrame, key: str, order: list[str], ellps: str = "GRS80") -> DataFrame:
@@ -49,11 +50,11 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station:
 
     Places and stations are points in space, in cubes whose sides are powers of two, so poles and the date line are
     nothing special. The number of stations of every cube is counted, for all sides at once. For each place the smallest
-    cube around it that holds k stations bounds how far the k-th may be; the place then meets the stations of cubes of
-    about that side, its own and those around it. A chord is never longer than the geodesic, and the geodesic not
+    cube around it that holds k stations is found, and the k-th chord in it bounds how far the k-th may be; the place then
+    meets the stations of cubes of about that side, its own and those around it. A chord is never longer than the geodesic, and the geodesic not
     longer than what the smallest curvature makes of the chord, so chords tell in the JVM which few pairs can be among
-    the k nearest, and only those get their geodesic. It is one plan: no rounds, no tables between; the work for a place
-    follows the stations near it, not their number. Of stations at one place with one `by` only the k smallest take
+    the k nearest, and only those get their geodesic. There are no rounds; the work for a place follows the stations near
+    it, not their number. Two tables of places are written between. Of stations at one place with one `by` only the k smallest take
     part, so a crowd at one place is no crowd of pairs.
 
     Rows without a key, a station, a `by` or a position take no part; so a place is left out if it has no position, or
@@ -77,18 +78,29 @@ def k_nearest(places: DataFrame, stations: DataFrame, k: int, key: str, station:
     diagonal = math.sqrt(3) * F.pow(F.lit(2.0), F.col("level"))
     curve = e.b * e.b / e.a
     longest = lambda c: F.when(c < 1e6, c * (1 + c * c / (20 * curve * curve))).otherwise(c * (1.01 * math.pi / 2 * e.a / e.b))
-    a = a.select("*", *low).join(holds, ["g", *axes]).drop(*axes).withColumn("reach", longest(diagonal))
-    side = F.least(F.lit(HIGH), F.ceil(F.log2("reach"))).cast("int")
-    a = a.withColumn("side", side)
+    a = scratch.kept(a.select("*", *low).join(holds, ["g", *axes]).drop(*axes), "places")
+    at = b.select("g", "s", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *low)
+    apart = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
+
+    def through(rows: DataFrame, level: str) -> DataFrame:
+        """Pairs of rows and stations in one cube of the row's level. A station stands in a cube of each level that some
+        row asks for (at most twenty)."""
+        used = rows.select(level).distinct()
+        met = at.join(F.broadcast(used), F.col(level).between(LOW, HIGH))
+        return rows.join(met.withColumns({n: _right(n, F.col(level) - LOW) for n in axes}), ["g", level, *axes])
+
+    # in its own cube a place has k stations: the k-th chord there bounds the k-th geodesic
+    place = Window.partitionBy("k", "g", "lat", "lon")
+    own = through(a.withColumns(dict(zip(axes, _cell(F.col("level")), strict=True))), "level").select("k", "g", "lat", "lon", apart.alias("within"))
+    own = own.withColumn("n", F.row_number().over(place.orderBy("within"))).filter(F.col("n") == k).drop("n")
+    a = a.join(own, ["k", "g", "lat", "lon"], "left").withColumn("reach", longest(F.coalesce("within", diagonal))).drop("within")
+    side = F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.ceil(F.log2(F.col("reach") + 0.001)))).cast("int")
+    # read again and again below, and long to plan
+    a = scratch.kept(a.withColumn("side", side).select("k", "g", "lat", "lon", "x", "y", "z", "reach", "side"), "places")
     steps = [F.array(*[c + i for i in (-1, 0, 1)]) for c in _cell(F.col("side"))]
     a = a.select("*", F.explode(steps[0]).alias("cx"), steps[1].alias("ys"), steps[2].alias("zs"))
     a = a.select("*", F.explode("ys").alias("cy")).select("*", F.explode("zs").alias("cz")).drop("ys", "zs")
-    met = b.select("g", "s", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *low)
-    # a station stands in a cube of each side that some place looks through (at most twenty)
-    used = a.select("side").distinct()
-    met = met.join(F.broadcast(used), F.col("side").between(LOW, HIGH)).select("g", "s", "lat2", "lon2", "x2", "y2", "z2", "side", *[_right(n, F.col("side") - LOW).alias(n) for n in axes])
-    pairs = a.join(met, ["g", "side", *axes]).withColumn("chord", F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))).filter("chord <= reach + 0.001")
-    place = Window.partitionBy("k", "g", "lat", "lon")
+    pairs = through(a, "side").withColumn("chord", apart).filter("chord <= reach + 0.001")
     known = F.nth_value("chord", k).over(place.orderBy("chord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     few = pairs.select("k", "g", "lat", "lon", "s", "lat2", "lon2", "chord", known.alias("kth")).filter(F.col("kth").isNull() | (F.col("chord") <= longest(F.col("kth")) + 0.001))
     # about k pairs a place are left: one Arrow hop for them keeps the plan short, which is planned anew after each stage
