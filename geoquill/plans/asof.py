@@ -78,6 +78,8 @@ def helmert_at(points: DataFrame, sets: DataFrame, on: str, right_on: str | None
     columns of `points`, the result and `ok`; rows before the first set fail and are NaN."""
     found = as_of(points, sets, on, right_on, by, "_set", rows)
     have = {c for c in SET if c in sets.columns}
+    if have & {"dx", "dy", "dz", "drx", "dry", "drz", "ds"} and not ("t_epoch" in have and t):
+        raise ValueError("rates need the sets' t_epoch, and t of the points")
     number = lambda c: f"coalesce(double({c}), double('NaN'))"
     start = found.selectExpr("*", *[f"{number(f'`{c}`')} AS _p{k}" for k, c in enumerate(xyz)], f"{number(f'`{t}`') if t else number('null')} AS _p3", *[f"{number(f'_set.`{c}`')} AS _v_{c}" for c in have])
     m = Sql("_h")

@@ -69,6 +69,8 @@ def test_parameters_by_time(spark):
     for k, text in ((1, "x=10 rz=0.5 s=2 dx=0.1"), (2, "x=10 rz=0.5 s=2 dx=0.1"), (3, "x=-5"), (5, "x=-5")):
         want = Pipeline(f"helmert exact convention=coordinate_frame t_epoch=2000 {text}").arrays(*rows[k][1:])
         assert (got[k]["x"], got[k]["y"], got[k]["z"]) == pytest.approx((want.x[0], want.y[0], want.z[0]), abs=1e-6)
+    with pytest.raises(ValueError):
+        helmert_at(df, sets.drop("t_epoch"), "year", t="year")
     back = helmert_at(out.filter("ok"), sets, "year", t="year", exact=True, direction="inv").orderBy("k").collect()
     assert [r["x"] for r in back] == pytest.approx([r[1] for r in rows[1:]], abs=1e-6)
 

@@ -48,6 +48,24 @@ def test_routes_of_a_stream_with_restart_and_late_rows(spark, tmp_path):
         spark.conf.unset(module.PROVIDER)
 
 
+def test_routes_begin_anew_after_a_gap(spark, tmp_path):
+    spark.conf.set(module.PROVIDER, module.ROCKS)
+    try:
+        at = lambda hours: START + datetime.timedelta(hours=hours)
+        batches = [[("q", at(0), 1, 55.0, 12.0), ("q", at(1), 2, 55.1, 12.0), ("q", at(9), 3, 55.2, 12.0)], [("z", at(30), 4, 55.0, 12.0)], [("q", at(31), 5, 55.3, 12.0), ("q", at(32), 6, 55.4, 12.0)], [("z", at(60), 7, 55.0, 12.0)], [("z", at(90), 8, 55.0, 12.0)]]
+        for k, batch in enumerate(batches):
+            spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+            stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            query = routes(stream, "user", "at", idle="3 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        got = {r["id"]: (round(r["leg"], 3), round(r["metres"], 3), r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        want = {r["id"]: (round(r["leg"], 3), round(r["metres"], 3), r["n"]) for r in routes(spark.createDataFrame(sum(batches, []), SCHEMA), "user", "at", idle="3 hours").collect()}
+        assert {k: v[2] for k, v in want.items()} == {1: 1, 2: 2, 3: 1, 5: 1, 6: 2, 4: 1, 7: 1, 8: 1} and want[6][0] == want[6][1] > 0
+        assert got == {k: v for k, v in want.items() if k != 8}
+    finally:
+        spark.conf.unset(module.PROVIDER)
+
+
 def test_routes_of_tables(spark):
     data = [("a", START, 1, 55.0, 12.0), ("a", START, 2, 55.0, 12.0), ("a", START + datetime.timedelta(hours=1), 0, 49.0, 2.0), (None, START, 5, 1.0, 1.0), ("b", None, 6, 1.0, 1.0), ("b", START, 7, None, 1.0), ("c", START, 8, float("nan"), 1.0), ("d", START, 9, 1.0, 2.0)]
     got = sorted((r["user"], r["id"], round(r["leg"], 4), round(r["metres"], 4), r["n"]) for r in routes(spark.createDataFrame(data, SCHEMA), "user", "at").collect())
