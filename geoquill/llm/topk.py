@@ -2,13 +2,15 @@
 
 Candidates and queries are dealt into blocks by a hash of their id, and each pair of a candidate block and a query
 block is one bounded task. A score is a sum over dimensions. A candidate block has one list for each dimension, its
-components in order, sorted once for all queries of the task; a query reads a list from its top or, where its own
-component is negative, from its bottom, so products come in descending order. Lists are read side by side, a run of
-rows of each at a time, and never elsewhere. What was read of a candidate gives its partial score; a list that hasn't
-shown the candidate yet adds at least the list's least product and at most the product at its reading place: lower
-and upper bounds. A candidate whose upper bound is under the k-th best lower bound is an outsider; reading stops once
-few others are left, or at a quarter of the lists, from where reading on costs more than the scores of those left.
-Their scores are then resolved, and the blocks' best are merged by query.
+components in descending order of magnitude, sorted once for all queries of the task, and one list of the candidates'
+lengths, which is read whole. The lists by dimension are read side by side, a run of rows of each at a time, runs
+growing, and never elsewhere. What was read of a candidate gives its partial score. What its other lists still hold is
+bounded by Cauchy and Schwarz: the query's length over those dimensions times the candidate's, which is what the
+components read leave of its length (lists are read equally deep by all queries, so this is kept by depth). Since large
+components of either sign come first, the rest is short long before the lists end: lower and upper bounds close in. A
+candidate whose upper bound is under the k-th best lower bound is an outsider; reading stops when no outsider can
+qualify any more, that is, when k candidates are left, or at the lists' ends (ties at the k-th place). The scores of
+those left are then resolved, and the blocks' best are merged by query.
 
 Ties go to the smaller id, and bounds are compared so that equal scores stay in. Scores are integers, exact as long as
 components times scale and the sums of products fit in 64 bits; components beyond that saturate.
@@ -38,54 +40,46 @@ def usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
 
 
 class Lists:
-    """A block's candidates, and by dimension their rows in ascending order of the component."""
+    """A block's candidates; by dimension, their rows and components in descending order of magnitude; and the squared
+    lengths that components beyond a depth have."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.rows = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(np.ascontiguousarray(vectors.T), self.rows, axis=1).astype(float)
-
-    def read(self, rising: np.ndarray, falling: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and components at places start to stop of each list: from the top for rising dimensions, else from the
-        bottom; the last place read is the last column."""
-        n = len(self.ids)
-        top = slice(n - stop, n - start)
-        rows = np.concatenate((self.rows[rising, top][:, ::-1], self.rows[falling, start:stop]))
-        return rows, np.concatenate((self.values[rising, top][:, ::-1], self.values[falling, start:stop]))
-
-
-def nearest(lists: Lists, q: np.ndarray, own: int, k: int, step: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best for one query, and how deep the lists were read. Partial scores are doubles that
-    hold whole numbers exactly; where they couldn't, all candidates are resolved."""
+        plain = np.ascontiguousarray(vectors.T).astype(float)
+        self.rows = np.argsort(-np.abs(plain), axis=1, kind="stable")
+        self.values = np.take_along_axis(plain, self.rows, axis=1)
+        self.lengths = (plain * plain).sum(axis=0)
+        self._rest: dict[int, np.ndarray] = {}
+
+    def rest(self, depth: int) -> np.ndarray:
+        if depth not in self._rest:
+            beyond = self.values[:, depth:]
+            self._rest[depth] = np.bincount(self.rows[:, depth:].ravel(), (beyond * beyond).ravel(), len(self.ids))
+        return self._rest[depth]
+
+
+def nearest(lists: Lists, q: np.ndarray, own: int, k: int, step: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Ids and scores of the k best for one query, how deep the lists were read, and how many scores were resolved.
+    Bounds are doubles, widened by more than their rounding."""
     n, d = lists.vectors.shape
     live, depth = np.flatnonzero(lists.ids != own), 0
-    rising, falling = np.flatnonzero(q >= 0), np.flatnonzero(q < 0)
-    order = np.concatenate((rising, falling))
-    weight = q[order].astype(float)
-    few = max(4 * k, n // 16)
-    if n and d:
-        ends = np.stack((lists.values[order, 0], lists.values[order, -1])) * weight[:, None].T
-        least = ends.min(axis=0)
-        if float(np.abs(ends).max(axis=0).sum()) >= 2.0**53:
-            few = n
-    seen, known = np.zeros(n), np.zeros((d, n))
-    while d and depth + step <= (n + 3) // 4 and len(live) > few:
-        to = depth + step
-        rows, values = lists.read(rising, falling, depth, to)
-        products = values * weight[:, None]
-        seen += np.bincount(rows.ravel(), products.ravel(), n)
-        for j in range(d):
-            known[j, rows[j]] = 1.0
-        depth, step = to, 2 * step
-        # a list that hasn't shown a candidate adds its least product at least, that at the reading place at most
-        bounds = np.stack((least, products[:, -1]))
-        low, high = seen + bounds.sum(axis=1)[:, None] - bounds @ known
-        low, high = low[live], high[live]
-        edge = np.partition(low, len(live) - k)[len(live) - k]
-        live = live[high >= edge]
+    plain = q.astype(float)
+    seen, known = np.zeros(n), np.zeros(n)
+    whole = float((plain * plain).sum())
+    slack = 1e-13 * (d + 1) * np.sqrt(whole * lists.lengths.max(initial=0.0))
+    while d and depth < n and len(live) > k:
+        to = min(n, depth + step)
+        rows = lists.rows[:, depth:to].ravel()
+        seen += np.bincount(rows, (lists.values[:, depth:to] * plain[:, None]).ravel(), n)
+        known += np.bincount(rows, np.repeat(plain * plain, to - depth), n)
+        depth, step = to, step + step // 8
+        left = np.maximum(whole - known[live], 0.0) + 1e-15 * (d + 1) * whole
+        reach = np.sqrt(left * lists.rest(depth)[live]) + slack
+        low, high = seen[live] - reach, seen[live] + reach
+        live = live[high >= np.partition(low, len(live) - k)[len(live) - k]]
     scores = lists.vectors[live] @ q  # resolved
     best = np.lexsort((lists.ids[live], -scores))[:k]
-    return lists.ids[live][best], scores[best], depth
+    return lists.ids[live][best], scores[best], depth, len(live)
 
 
 def matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -111,12 +105,12 @@ def block(queries: pa.Table, candidates: pa.Table, k: int, step: int) -> pa.Tabl
                 continue
             lists = Lists(ids, vectors)
             for own, q in zip(*asked[size], strict=True):
-                best, scores, _ = nearest(lists, q, own, k, step)
+                best, scores, *_ = nearest(lists, q, own, k, step)
                 found.append((np.full(len(best), own), best, scores))
     return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 4096, query_rows: int = 1024, step: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block_rows: int = 4096, query_rows: int = 1024, step: int = 256) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) for the rows of `vectors` where is_query holds, against all other rows.
     A candidate is sent once for every `query_rows` queries, a query once for every `block_rows` candidates."""
     rows = usable(vectors, key, vector, scale)

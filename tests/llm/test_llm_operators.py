@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with all the awkward cases, and on an empty table."""
 
 import hashlib
+import inspect
 import json
 import random
 import re
@@ -704,13 +705,32 @@ def test_top_k_stops_reading_early():
     lists = topk.Lists(np.arange(4000), v)
     depths = []
     for q in (*v[:20], np.zeros(4, np.int64), -v[0], v[0] * 2**45):
-        ids, scores, depth = topk.nearest(lists, q, 0, 10, 16)
+        ids, scores, depth, _ = topk.nearest(lists, q, 0, 10, 16)
         expected = sorted((-sum(a * b for a, b in zip(v[i].tolist(), q.tolist(), strict=True)), i) for i in range(1, 4000))[:10]
         assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == expected
         depths.append(depth)
     assert np.median(depths) <= 100
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_top_k_resolves_few_at_the_registered_parameters(clustered):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4096, 64))
+    if clustered:
+        v = v[rng.integers(0, 40, 4096)] + 0.5 * v
+    v = np.floor(1024 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    parameters = {name: p.default for name, p in inspect.signature(topk.top_k).parameters.items()}
+    assert parameters["block_rows"] == len(v)
+    lists, shares = topk.Lists(np.arange(4096), v), []
+    for own in range(0, 4096, 100):
+        ids, scores, depth, resolved = topk.nearest(lists, v[own], own, parameters["k"], parameters["step"])
+        exact = v @ v[own]
+        order = np.lexsort((np.arange(4096), -exact))
+        assert ids.tolist() == order[order != own][:10].tolist() and scores.tolist() == exact[ids].tolist()
+        shares.append((resolved / 4096, depth / 4096))
+    assert np.mean(shares, axis=0)[0] <= 0.1, shares
+
+
 # 9 -------------------------------------------------------------------------------------------
 
 
