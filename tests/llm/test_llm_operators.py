@@ -132,6 +132,31 @@ def test_bystanders_hide_no_passage(spark):
     assert [(r["peer_id"], r["doc_id"], r["start_word"], r["end_word"]) for r in got] == [(56, 57, 30, 90)]
 
 
+def test_quotes_of_all_places_hide_no_passage(spark):
+    """Copies of a passage with others before, between and after them that hold its least shingles, and little else."""
+    rng, texts, copies = random.Random(17), [], []
+
+    def windows(words):
+        return substring.keyed(substring.shingle_hashes(substring.word_hashes(" ".join(words))[0], 5), 3, 46)
+
+    for _ in range(12):
+        passage = unlike(rng, 60)
+        keys, places = windows(passage)
+        held = {w for p in places for w in range(int(p) >> 38, (int(p) >> 38) + 5)}
+        for k in range(5):
+            middle = passage
+            if k % 2:
+                copies.append(len(texts))
+            else:  # other words between, none of which is less
+                while middle is passage or not set(keys.tolist()) <= set(windows(middle)[0].tolist()):
+                    middle = [w if i in held else unlike(rng, 1)[0] for i, w in enumerate(passage)]
+            texts.append(unlike(rng, 30) + middle + unlike(rng, 30))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = substring.find(df).collect()
+    found = {(r["peer_id"], r["doc_id"]) for r in got if (r["peer_start"], r["peer_end"]) == (r["start_word"], r["end_word"]) == (30, 90) and r["jaccard"] == 1.0}
+    assert found == set(zip(copies[::2], copies[1::2], strict=True))
+
+
 @pytest.mark.parametrize("similarity,least", [(0.82, 0.95), (0.9, 0.97), (1.0, 1.0)])
 def test_recall_of_near_passages(spark, similarity, least):
     """Pairs of passages of a given similarity, in documents of their own, against brute force."""
