@@ -270,6 +270,13 @@ def sql() -> dict[str, str]:
     # small rotations with rates, in milliarcseconds a year
     a = tuple(f"({d(v * sec / 1000)} * (t - 2020))" for v in (1.50379, 1.18346, 1.20716))
     out["helmert15_by_epoch"] = f"{pts('world')}{geo} SELECT k, round(gx + {a[2]} * gy - {a[1]} * gz, 3) + 0.0 AS x, round(-{a[2]} * gx + gy + {a[0]} * gz, 3) + 0.0 AS y, round({a[1]} * gx - {a[0]} * gy + gz, 3) + 0.0 AS z FROM g"
+    # Qoornoq to GR96: turned about each axis in full
+    (sx, cx), (sy, cy), (sz, cz) = ((d(sin(v * sec)), d(cos(v * sec))) for v in (-0.85735, 0.36082, 0.38626))
+    about_x = f"r1 AS (SELECT k, gx AS u, {cx} * gy + {sx} * gz AS v, {cx} * gz - {sx} * gy AS w FROM g)"
+    about_y = f"r2 AS (SELECT k, {cy} * u - {sy} * w AS u, v, {sy} * u + {cy} * w AS w FROM r1)"
+    about_z = f"r3 AS (SELECT k, {cz} * u + {sz} * v AS u, {cz} * v - {sz} * u AS v, w FROM r2)"
+    grown = d(1 - 8.356137e-6)
+    out["similarity_register"] = f"{pts('world')}{geo}, {about_x}, {about_y}, {about_z} SELECT k, round({grown} * u + {d(197.8579)}, 3) + 0.0 AS x, round({grown} * v + {d(146.5947)}, 3) + 0.0 AS y, round({grown} * w - {d(108.8501)}, 3) + 0.0 AS z FROM r3"
     th = -1.244048 * sec
     c, e = 0.304794780637 * cos(th), 0.304794780637 * sin(th)
     out["helmert4"] = f"{pts('nordic')} SELECT k, round({d(-9597.3572)} + {d(c)} * lon * 100000 + {d(e)} * lat * 100000, 3) + 0.0 AS x, round(0.6112::DOUBLE - {d(e)} * lon * 100000 + {d(c)} * lat * 100000, 3) + 0.0 AS y FROM pts"

@@ -436,6 +436,7 @@ def queries() -> dict[str, Query]:
         "events_session_extent": events_session_extent,
         "events_route": events_route,
         "registered_grid": registered_grid,
+        "similarity_register": partial(space, "cart | X:qoornoq_gr96", "world"),
         "place_measures": place_measures,
         "segment_crossings": segment_crossings,
         "leg_crossings": leg_crossings,

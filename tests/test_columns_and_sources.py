@@ -151,6 +151,50 @@ def test_macros_in_files(tmp_path):
     assert float(x["x"].iloc[0]) == pytest.approx(200000.0)
 
 
+def test_bundled_similarities():
+    at = lambda text, *c: Pipeline(text).arrays(*c).iloc[0, :3].to_numpy(float)
+    # fixed values: a published position
+    for text in ("X:geo_gr96_qoornoq inv", "X:geo_qoornoq_gr96"):
+        assert np.allclose(at(text, 64.0, -51.0, 0.0), (63.9987190817, -50.9955435843, 30.8619079967), rtol=0, atol=(1e-10, 1e-10, 1e-8))
+    for name in ("qoornoq", "ammassalik", "scoresbysund"):
+        assert np.allclose(at(f"X:geo_gr96_{name} | X:geo_gr96_{name} inv", 64.0, -51.0, 5.0), (64, -51, 5), rtol=0, atol=1e-8)
+        assert np.allclose(at(f"X:geo_gr96_{name}", 64.0, -51.0, 5.0), at(f"geo:in | cart | X:gr96_{name} | cart inv ellps=intl | geo:out", 64.0, -51.0, 5.0), atol=1e-9)
+    for whole in ("X:geo_gr96_ammassalik_xyz | cart inv ellps=intl | geo:out", "geo:in | cart | X:xyz_gr96_ammassalik_geo"):
+        assert np.allclose(at(whole, 64.0, -51.0, 5.0), at("X:geo_gr96_ammassalik", 64.0, -51.0, 5.0), atol=1e-9)
+    # the plate turns by the rates, and stands at their epoch
+    still = "helmert exact convention=position_vector translation=-0.30031,-1.17512,-0.30654 rotation=0.041614,-0.026303,-0.011214 scale=-0.01626"
+    here = at("cart", -0.8, 1.1, 5.0)
+    assert np.allclose(at("X:itrf2020_gr96", *here, 2021.6164), at(still, *here, 2021.6164), atol=1e-9)
+    moved = np.linalg.norm(at("X:itrf2020_gr96", *here, 2031.6164) - at("X:itrf2020_gr96", *here, 2021.6164))
+    assert 0.1 < moved < 0.3
+
+
+@pytest.mark.parametrize("name,move,turn,scale,years", [
+    ("nkg:itrf2014-sweref99", (0.03054, 0.04606, -0.07944), (1419.58, 151.32, 1503.37), 0.003002, -0.5),
+    ("nkg:itrf2014-etrs89dk", (0.66818, 0.04453, -0.45049), (3128.83, -23734.23, 4429.69), -0.003136, 15.829),
+])
+def test_bundled_national_frames(spark, name, move, turn, scale, years):
+    """Against the steps reckoned one by one: everywhere the same velocity, so the deformation is a plain shift."""
+    speed = np.array([3.0, -2.0, 8.0])  # millimetres a year east, north, up
+    c = Context()
+    for g in ("nkgrf17vel", "own"):
+        c.register_grid(g, gridfiles.Grid(g, np.radians(75), np.radians(0), np.radians(5), np.radians(10), np.broadcast_to(speed, (9, 5, 3)).copy(), "velocity"))
+    lat, lon, h, t = np.array([55.0, 60.0, 67.5]), np.array([12.0, 17.0, 20.0]), np.array([30.0, 0.0, 400.0]), np.array([2025.0, 2010.5, 1999.0])
+    out = c.pipeline(name).arrays(lat, lon, h, t)
+    assert out.equals(c.pipeline(f"{name} grids=own").arrays(lat, lon, h, t)) and out["ok"].all() and np.array_equal(out["t"], t)
+    e = Pipeline("geo:in | cart").arrays(lat, lon, h, t)[["x", "y", "z"]].to_numpy()
+    up = np.stack((np.cos(np.radians(lat)) * np.cos(np.radians(lon)), np.cos(np.radians(lat)) * np.sin(np.radians(lon)), np.sin(np.radians(lat))), axis=1)
+    east = np.stack((-np.sin(np.radians(lon)), np.cos(np.radians(lon)), 0 * lon), axis=1)
+    drift = 1e-3 * (speed[0] * east + speed[1] * np.cross(up, east) + speed[2] * up)
+    arc = np.radians(1e-6 / 3600)
+    x = e + np.cross(np.array([85, 531, -770]) * arc * (t - 1989)[:, None], e) - drift * (t - 2000)[:, None]
+    x = (1 + scale * 1e-6) * (x + np.cross(np.array(turn) * arc, x)) + move + drift * years
+    got = Pipeline("geo:in | cart").arrays(out["x"].to_numpy(), out["y"].to_numpy(), out["z"].to_numpy(), t)[["x", "y", "z"]].to_numpy()
+    assert np.abs(got - x).max() < 1e-6
+    back = c.pipeline(f"{name} inv").arrays(out["x"].to_numpy(), out["y"].to_numpy(), out["z"].to_numpy(), t)
+    assert np.abs(back["x"] - lat).max() < 1e-9 and np.abs(back["y"] - lon).max() < 1e-9 and np.abs(back["z"] - h).max() < 1e-5
+
+
 def test_operators_on_points(spark):
     class Twice:
         def __init__(self, by):
