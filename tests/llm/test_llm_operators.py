@@ -157,6 +157,24 @@ def test_quotes_of_all_places_hide_no_passage(spark):
     assert found == set(zip(copies[::2], copies[1::2], strict=True))
 
 
+def test_runs_of_half_a_passage_hide_no_passage(spark):
+    """Copies of a passage, and smaller ids that hold the half before and behind every place, and not the whole."""
+    rng, texts, copies = random.Random(19), [], []
+    for _ in range(6):
+        passage = unlike(rng, 60)
+        for at in range(0, 60 - 45):  # all its runs of 46 words, with other words around them
+            texts.append(unlike(rng, 30) + passage[at : at + 46] + unlike(rng, 30))
+        for k in range(3):
+            copies.append(len(texts))
+            texts.append(unlike(rng, 30) + passage + unlike(rng, 30))
+            texts.append(unlike(rng, 30) + passage[:46] + unlike(rng, 3) + passage[14:] + unlike(rng, 30))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {(r["peer_id"], r["doc_id"]) for r in substring.find(df).collect() if (r["peer_start"], r["peer_end"]) == (r["start_word"], r["end_word"]) == (30, 90) and r["jaccard"] == 1.0}
+    first = [a for a in copies[::3] for _ in range(2)]
+    rest = [b for i, b in enumerate(copies) if i % 3]
+    assert set(zip(first, rest, strict=True)) <= found
+
+
 @pytest.mark.parametrize("similarity,least", [(0.82, 0.95), (0.9, 0.97), (1.0, 1.0)])
 def test_recall_of_near_passages(spark, similarity, least):
     """Pairs of passages of a given similarity, in documents of their own, against brute force."""
