@@ -880,3 +880,19 @@ def test_licenses_of_copies_and_nulls(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["labels"]) for r in got) == {(1, "cc-by-sa"): 40, (2, ""): 1, (3, ""): 1, (4, "cc-by"): 1}
     assert {r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={}, phrases={"a creative commons": "cc"}).collect()} == {"", "cc"}
+
+
+# memory and speed ----------------------------------------------------------------------------
+
+
+def test_keys_of_many_documents_at_once():
+    rng = random.Random(20)
+    texts = [None, "", "a b"] + [" ".join(unlike(rng, rng.choice([49, 50, 51, 120, 700]))) for _ in range(80)]
+    h, sizes = substring.shingled(texts, 5, 50)
+    at, keys, packed = substring.side_by_side(h, sizes, 3, 46)
+    for d, text in enumerate(texts):
+        words = substring.word_hashes(text)[0]
+        one = substring.shingle_hashes(words, 5) if len(words) >= 50 else np.empty(0, np.uint64)
+        k, w = substring.keyed(one, 3, 46)
+        assert (h[sizes[:d].sum() : sizes[: d + 1].sum()] == one).all() and sizes[d] == len(one)
+        assert set(zip(keys[at == d].tolist(), (packed[at == d] >> 38).tolist(), strict=True)) == set(zip(k.tolist(), (w >> 38).tolist(), strict=True))
