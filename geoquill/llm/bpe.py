@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, without
+from .common import keep_alone, quoted, without
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -153,14 +153,9 @@ class Codec:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One per worker and path."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return keep_alone(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:

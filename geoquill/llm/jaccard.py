@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, quoted, shingle_hashes, word_hashes
+from .common import cut, drop, forget, mix64, quoted, shingle_hashes, word_hashes
 from .graph import components
 
 #: Bits of a node's bitmap; sets and shingles of a leaf on average; children of a node.
@@ -295,6 +295,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, h, n_shingles, digest of the set, its first half) by row of (doc_id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)
@@ -311,6 +312,7 @@ def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
     is null), so the second step has a few rows for the largest group."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
             for t in batch.column(0):
@@ -334,6 +336,7 @@ def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
             yield batch_of({"k": k, "a": a, "b": pa.array(b, mask=a == b)})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, head = None, None  # of the group that runs on into the next batch
         for batch in batches:
             k, a = (batch.column(i).to_numpy() for i in range(2))
@@ -370,12 +373,14 @@ def first_links(leaves: DataFrame, least: int, scale: int) -> DataFrame:
     """Links within leaves, and between a block's leaves and its leaf 0."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for sets in batch.column(0):
                 t = planted(sets.as_py())
                 yield found(list(traverse(t, t, least, scale, Union())))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield found(list(traverse(planted(x.as_py()), planted(y.as_py()), least, scale, Union())))
@@ -391,6 +396,7 @@ def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
     """Nodes over `children`, an array of nodes, by row; beside the key columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
@@ -430,6 +436,7 @@ def kept_pairs(pairs: DataFrame, least: int, scale: int) -> DataFrame:
         return Level(bits, *[column(c).to_numpy() for c in NODES[:-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first in range(0, len(batch), 2048):
                 part = batch.slice(first, 2048)
@@ -461,6 +468,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     grown = cut(grown, "jaccard-grown", made)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
@@ -495,6 +503,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     asked = asked.agg(F.collect_list(F.struct("part2", "leaf2", "least2", "most2", "label2", "wide2")).alias("roots")).join(grown, PLACE)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(len(batch)):
                 block, items = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
@@ -517,11 +526,13 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     callers = sifted.join(chunks, there).groupBy(*there, F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("callers"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield found(list(traverse(planted(x.as_py(), labels="label"), planted(y.as_py(), labels="label"), least, scale, Union())))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for sets in batch.column(0):
                 t = planted(sets.as_py(), labels="label")
@@ -550,6 +561,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
 
     # leaves: the sets of a block's members, made again from their texts
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)

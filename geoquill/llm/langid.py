@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, quoted, without
+from .common import cut, drop, keep_alone, quoted, without
 
 ALNUM = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -250,9 +250,6 @@ class Scorer:
         return [self.langs[b] if n else "und" for b, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(counts > 0, chance, 0.0)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def learn(docs: DataFrame, path: str, text: str, lang: str, key: str, train_rows: int) -> tuple[list[str], dict[str, np.ndarray]]:
     """Vocabulary and piece probabilities from the bounded sample of rows that may be learned from."""
     told = quoted(key).cast("string")
@@ -292,13 +289,11 @@ def teller(docs: DataFrame, path: str, text: str, lang: str, key: str, train_row
     shared = docs.sparkSession.sparkContext.broadcast((pieces, model))
 
     def tell(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(*shared.value)
+        scorer = keep_alone(("langid", name), lambda: Scorer(*shared.value))
         for part in parts:
             langs, scores = [], []
             for first in range(0, len(part), 256):
-                got = _scorers[name].scores(part.slice(first, 256).to_pylist())
+                got = scorer.scores(part.slice(first, 256).to_pylist())
                 langs += got[0]
                 scores.append(got[1])
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], names=["lang_pred", "score"])

@@ -885,6 +885,17 @@ def test_licenses_of_copies_and_nulls(spark):
 # memory and speed ----------------------------------------------------------------------------
 
 
+def test_workers_keep_one_memory():
+    """What one operator remembers goes when another begins."""
+    from geoquill.llm import common
+
+    codec = common.keep_alone(("bpe", "x"), lambda: [1])
+    assert common.keep_alone(("bpe", "x"), lambda: [2]) is codec
+    assert common.keep_alone(("langid", "y"), lambda: [3]) == [3] and list(common._kept) == [("langid", "y")]
+    common.forget()
+    assert not common._kept
+
+
 def test_keys_of_many_documents_at_once():
     rng = random.Random(20)
     texts = [None, "", "a b"] + [" ".join(unlike(rng, rng.choice([49, 50, 51, 120, 700]))) for _ in range(80)]
