@@ -58,8 +58,12 @@ class Template:
         return self.name.split("/")[0]
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+def words(text: Column, ascii_only: bool = True) -> Column:
+    """The words of a text. If they are only compared with ASCII words (`ascii_only`), all letters may be lower-cased,
+    which is much faster: it moves no word's ends, and but for the Kelvin sign none but ASCII letters become ASCII."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.contains(text, F.lit("\u212a")), ascii_lower(text)).otherwise(F.lower(text)) if ascii_only else ascii_lower(text)
+    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
 def prepared(templates: dict[str, str], threshold: float) -> list[Template]:
@@ -82,10 +86,10 @@ def literals(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def findings(docs: DataFrame, text: Column, known: list[Template]) -> DataFrame:
+def findings(docs: DataFrame, text: Column, known: list[Template], ascii_only: bool) -> DataFrame:
     """(digest, labels, share) for each distinct text that holds templates."""
     vocabulary = sorted({w for t in known for w in t.words})
-    rows = docs.select(F.md5(text.cast("binary")).alias("digest"), words(text).alias("w")).withColumn("v", F.array_intersect("w", literals(vocabulary)))
+    rows = docs.select(F.md5(text.cast("binary")).alias("digest"), words(text, ascii_only).alias("w")).withColumn("v", F.array_intersect("w", literals(vocabulary)))
     able = reduce(lambda a, t: a | (F.size(F.array_intersect("v", literals(t.words))) >= t.need), known, F.lit(False))
     able = (F.size("v") >= min((t.need for t in known), default=0)) & able
     rows = cut(rows.select("digest", "v", F.when(able, F.col("w")).alias("w")), "license-words")
@@ -122,8 +126,9 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     phrase). See the module."""
     keep = without(docs, OUT)
     known = prepared(templates, threshold)
-    found = cut(findings(docs, quoted(text), known), "license-findings") if known else None
-    rows = docs.select(*[quoted(c) for c in keep], F.md5(quoted(text).cast("binary")).alias("__li_digest"), words(quoted(text)).alias("__li_words"))
+    ascii_only = all(map(str.isascii, phrases)) and all(w.isascii() for t in known for w in t.words)
+    found = cut(findings(docs, quoted(text), known, ascii_only), "license-findings") if known else None
+    rows = docs.select(*[quoted(c) for c in keep], F.md5(quoted(text).cast("binary")).alias("__li_digest"), words(quoted(text), ascii_only).alias("__li_words"))
 
     joined = F.concat(F.lit(" "), F.array_join("__li_words", " "), F.lit(" "))
     rows = rows.withColumn("__li_text", joined)

@@ -907,3 +907,13 @@ def test_keys_of_many_documents_at_once():
         k, w = substring.keyed(one, 3, 46)
         assert (h[sizes[:d].sum() : sizes[: d + 1].sum()] == one).all() and sizes[d] == len(one)
         assert set(zip(keys[at == d].tolist(), (packed[at == d] >> 38).tolist(), strict=True)) == set(zip(k.tolist(), (w >> 38).tolist(), strict=True))
+
+
+def test_license_words_lower_case_ascii_alone(spark):
+    """Letters that lower-case to ASCII don't make a phrase; the plan of other texts looks up no single characters."""
+    texts = ["under the MIT license", "under the MİT license", "stacK STACK", "ÉTÉ Café"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["base_labels"]) for r in licenses.scan(df).collect()}
+    assert got == {0: (4, "mit"), 1: (4, ""), 2: (2, ""), 3: (2, "")}
+    assert licenses.scan(df, phrases={"stack": "s"}, templates={}).filter("n_base > 0").select("doc_id", "n_base").collect() == [(2, 1)]
+    assert "CASE" in df.select(licenses.words(df["text"]))._jdf.queryExecution().toString()
