@@ -120,11 +120,12 @@ class Codec:
     def word(self, word: str) -> bytes:
         """A word's ids as little-endian 32-bit integers."""
         out: list[int] = []
-        for part in self.fragments(word.encode("utf-8", "surrogatepass")):
+        parts = self.fragments(word.encode("utf-8", "surrogatepass"))
+        for part in parts:
             ids = self.parts.get(part)
             if ids is None:
                 ids = self.merged(part)
-                if len(part) <= 32:
+                if len(parts) > 1 and len(part) <= 32:  # a whole word is remembered as such
                     if len(self.parts) >= REMEMBERED:
                         self.parts.clear()
                     self.parts[part] = ids

@@ -48,6 +48,8 @@ from .graph import components
 #: Bits of a node's bitmap; sets and shingles of a leaf on average; children of a node.
 BITS = 4096
 LEAF, LEAF_SHINGLES, FAN = 2048, 1 << 20, 8
+#: Texts that Python gets at once, and keys that are put in order together.
+TEXTS, TOGETHER = 2000, 200_000
 #: A component of so many sets of a block has leaves of its own; leaves under a node of the table.
 OWN, TRUNK = 64, 32
 
@@ -307,33 +309,41 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
-    """(a, b), short digests, that span the components of "shares a key", of a column of texts. Pairs are made within
-    a batch where they can be, and equal sets of a batch count once; only a batch's smallest set of a key goes on (b
-    is null), so the second step has a few rows for the largest group."""
+    """(a, b), short digests, that span the components of "shares a key", of a column of texts. Pairs are made
+    within a part of a batch (TOGETHER keys) where they can be, and equal sets of a part count once; only its smallest
+    set of a key goes on (b is null), so the second step has a few rows for the largest group."""
+
+    def starred(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        ids = np.repeat(np.array(list(sets), np.int64), [len(k) for k in sets.values()])
+        keys = np.concatenate([*sets.values(), np.empty(0, np.int64)])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        head = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else ids
+        found = np.unique(np.stack((head[~new], ids[~new]), axis=1), axis=0)
+        found = forest(found[found[:, 0] != found[:, 1]])
+        # a pair goes on under a key of its own; it passes through the next step
+        a, b = np.concatenate((ids[new], found[:, 0])), np.concatenate((ids[new], found[:, 1]))
+        k = np.concatenate((keys[new], mix64(found[:, 1].astype(np.uint64)).view(np.int64)))
+        order = np.argsort(a, kind="stable")  # equal ids next to each other pack well
+        k, a, b = k[order], a[order], b[order]
+        return batch_of({"k": k, "a": a, "b": pa.array(b, mask=a == b)})
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
+            held = 0
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), n)
                 if len(s) and (i := short(digest_of(s))) not in sets:
                     sets[i] = block_keys(s, least, scale).view(np.int64)
-            ids = np.repeat(np.array(list(sets), np.int64), [len(k) for k in sets.values()])
-            keys = np.concatenate([*sets.values(), np.empty(0, np.int64)])
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            head = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else ids
-            found = np.unique(np.stack((head[~new], ids[~new]), axis=1), axis=0)
-            found = forest(found[found[:, 0] != found[:, 1]])
-            # a pair goes on under a key of its own; it passes through the next step
-            a, b = np.concatenate((ids[new], found[:, 0])), np.concatenate((ids[new], found[:, 1]))
-            k = np.concatenate((keys[new], mix64(found[:, 1].astype(np.uint64)).view(np.int64)))
-            order = np.argsort(a, kind="stable")  # equal ids next to each other pack well
-            k, a, b = k[order], a[order], b[order]
-            yield batch_of({"k": k, "a": a, "b": pa.array(b, mask=a == b)})
+                    held += len(sets[i])
+                if held >= TOGETHER:
+                    yield starred(sets)
+                    sets, held = {}, 0
+            yield starred(sets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -550,11 +560,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     hash of the text, component_h that of the component's first row by (doc_id, h). See the module."""
     made: list[str] = []
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
-    sets = cut(signatures(rows, n), "jaccard-sets", made)
+    sets = cut(signatures(rows, n), "jaccard-sets", made, TEXTS)
     classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "short").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n_shingles").alias("n_shingles"))
     classes = classes.select("digest", "short", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "n_shingles", F.monotonically_increasing_id().alias("node"))
     classes = cut(classes, "jaccard-classes", made)
-    routed = components(cut(stars(rows.filter("doc_id is not null").select("text"), n, least, scale), "jaccard-stars", made), made)
+    routed = components(cut(stars(rows.filter("doc_id is not null").select("text"), n, least, scale), "jaccard-stars", made, TEXTS), made)
     blocks = routed.select(F.col("node").alias("short"), F.col("component").alias("block")).join(classes, "short").select("node", "doc_id", "h", "n_shingles", "block")
     fill = F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n_shingles") / LEAF_SHINGLES)).cast("long")
     blocks = cut(blocks.join(blocks.groupBy("block").agg(fill.alias("leaves")), "block"), "jaccard-blocks", made)
@@ -573,7 +583,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     held = rows.join(blocks.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "block", "leaves", leaf.alias("leaf"), "text")
     held = held.mapInArrow(members, "node long, block long, leaves long, leaf long, shingles binary")
     leaves = held.groupBy("block", "leaves", "leaf").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
-    leaves = cut(leaves, "jaccard-leaves", made)
+    leaves = cut(leaves, "jaccard-leaves", made, TEXTS)
     links = cut(first_links(leaves, least, scale), "jaccard-links", made)
     if not leaves.filter("leaves > 1").isEmpty():
         more = cut(further_links(leaves, blocks, links, least, scale, made), "jaccard-links", made)

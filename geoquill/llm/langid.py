@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, keep_alone, quoted, without
+from .common import cut, drop, forget, keep_alone, quoted, without
 
 ALNUM = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -262,6 +262,7 @@ def learn(docs: DataFrame, path: str, text: str, lang: str, key: str, train_rows
     sample = rows.join(chosen, ["lang", "k"], "left_semi")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for frame in frames:
             by: dict[str, Counter] = defaultdict(Counter)
             for x, t in zip(frame["lang"], frame["text"], strict=True):
@@ -272,6 +273,7 @@ def learn(docs: DataFrame, path: str, text: str, lang: str, key: str, train_rows
     pieces = vocabulary(path)
 
     def fitted(counts: pd.DataFrame) -> pd.DataFrame:
+        forget()
         p = fit(dict(zip(counts["word"], counts["n"].tolist(), strict=True)), pieces)
         return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "p": [p.tobytes()]})
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -896,6 +897,61 @@ def test_workers_keep_one_memory():
     assert not common._kept
 
 
+def test_bpe_remembers_a_whole_word_once():
+    codec = bpe.Codec(vocabulary_file("byte_bpe_50k.json"))
+    codec.encode("the morning")
+    assert set(codec.known) == {"the", " morning"} and not codec.parts
+
+
+def test_python_gets_few_rows_at_once(spark):
+    """A cut table's bound on rows holds for its own plan only."""
+    from geoquill.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    before = spark.conf.get(common.RECORDS)
+    got = [r["n"] for r in common.cut(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "few", records=30).collect()]
+    assert sum(got) == 100 and max(got) == 30 and spark.conf.get(common.RECORDS) == before
+
+
+def test_routing_orders_few_keys_at_once(monkeypatch):
+    """Keys of a batch are put in order by parts; sets that share a key are connected all the same."""
+
+    class Plan:
+        def mapInArrow(self, f, schema):
+            self.steps = [*getattr(self, "steps", []), f]
+            return self
+
+        repartition = sortWithinPartitions = distinct = lambda self, *_: self
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(999)) for _ in range(60)) for _ in range(40)]
+    texts += [t + " more" for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def routed():
+        plan = jaccard.stars(Plan(), 3, 90, 100)
+        parts = list(plan.steps[0](iter([batch])))
+        rows = pa.Table.from_batches(parts).sort_by([("k", "ascending"), ("a", "ascending")])
+        links = pa.Table.from_batches(list(plan.steps[1](iter(rows.combine_chunks().to_batches()))))
+        seen = jaccard.Union()
+        for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+            seen.join(a, b)
+        ids = sorted({*links["a"].to_pylist(), *links["b"].to_pylist()})
+        groups = {}
+        for x in ids:
+            groups.setdefault(seen.find(x), []).append(x)
+        return [len(p) for p in parts], sorted(groups.values())
+
+    whole, expected = routed()
+    monkeypatch.setattr(jaccard, "TOGETHER", 50)
+    parts, groups = routed()
+    assert len(whole) == 1 and len(parts) > 5 and max(parts) < 100
+    assert groups == expected and len(groups) >= 40
+
+
 def test_keys_of_many_documents_at_once():
     rng = random.Random(20)
     texts = [None, "", "a b"] + [" ".join(unlike(rng, rng.choice([49, 50, 51, 120, 700]))) for _ in range(80)]
