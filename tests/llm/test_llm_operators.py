@@ -952,6 +952,25 @@ def test_routing_orders_few_keys_at_once(monkeypatch):
     assert groups == expected and len(groups) >= 40
 
 
+def test_alignments_compare_each_value_a_few_times():
+    """Of texts that differ at many places, the rest isn't compared again after each."""
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def __ne__(self, other):
+            Counted.seen += self.size
+            return np.not_equal(np.asarray(self), np.asarray(other))
+
+    a = np.arange(20_000, dtype=np.uint64)
+    b = a.copy()
+    b[50::100] += np.uint64(1 << 40)
+    same = a == b
+    path = substring.aligned(a.view(Counted), b.view(Counted), 0, 0, 5000, same, same)
+    assert path.tolist() == [np.flatnonzero(same).tolist()] * 2
+    assert Counted.seen < 10 * len(a)
+
+
 def test_keys_of_many_documents_at_once():
     rng = random.Random(20)
     texts = [None, "", "a b"] + [" ".join(unlike(rng, rng.choice([49, 50, 51, 120, 700]))) for _ in range(80)]
