@@ -12,6 +12,7 @@ import math
 import numpy as np
 
 from .ellipsoid import Ellipsoid
+from .mathx import Np
 
 ROUNDS = 1000
 
@@ -22,6 +23,12 @@ def _series(ellps: Ellipsoid, cos2_alpha):
     return (1 + k * k / 4) / (1 - k), k * (1 - 3 * k * k / 8)
 
 
+def _whole(m, x):
+    """x to the nearest whole number, halves away from zero as SQL's round: the sign of half a turn is an azimuth's."""
+    near = m.let(m.rint(x))
+    return m.let(m.where(m.abs(x - near) >= 0.5, x + 0.5 * m.sign(x), near))
+
+
 def _delta(b, sin_s, cos_s, cos_2m):
     return b * sin_s * (cos_2m + b / 4 * (cos_s * (2 * cos_2m**2 - 1) - b / 6 * cos_2m * (4 * sin_s**2 - 3) * (4 * cos_2m**2 - 3)))
 
@@ -70,7 +77,7 @@ def inverse(ellps: Ellipsoid, lon1, lat1, lon2, lat2):
     c1, c2 = 1 / np.sqrt(1 + t1**2), 1 / np.sqrt(1 + t2**2)
     s1, s2 = t1 * c1, t2 * c2
     span = lon2 - lon1
-    span = span - 2 * np.pi * np.round(span / (2 * np.pi))
+    span = span - 2 * np.pi * _whole(Np, span / (2 * np.pi))
     shape = span.shape
     s1, c1, s2, c2, span, lat1, lat2 = (np.atleast_1d(v) for v in (s1, c1, s2, c2, span, lat1, lat2))
     lam = span.copy()
@@ -134,8 +141,7 @@ def inverse_in(m, ellps: Ellipsoid, lon1, lat1, lon2, lat2):
     t1, t2 = m.let((1 - ellps.f) * m.tan(lat1), (1 - ellps.f) * m.tan(lat2))
     c1, c2 = m.let(1 / m.sqrt(1 + t1 * t1), 1 / m.sqrt(1 + t2 * t2))
     s1, s2, span = m.let(t1 * c1, t2 * c2, lon2 - lon1)
-    # halves to even, as arrays are rounded: the same turn at exactly half a turn
-    span = m.let(span - 2 * math.pi * m.rint(span / (2 * math.pi)))
+    span = m.let(span - 2 * math.pi * _whole(m, m.let(span / (2 * math.pi))))
     c = dict(zip(("ss", "cc", "c1s2", "s1c2"), m.let(s1 * s2, c1 * c2, c1 * s2, s1 * c2), strict=True)) | {"span": span, "c2": c2}
     one, _ = _turn(m, ellps, c, span)
     two, _ = _turn(m, ellps, c, one)

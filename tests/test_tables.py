@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from geoquill import queries
+from geoquill.functions import geodesics
+from geoquill.functions.ellipsoid import Ellipsoid
 from geoquill.plans.factors import factors
 from geoquill.plans.language import PipelineError
 from geoquill.plans.pipeline import Context, Pipeline
@@ -161,3 +163,22 @@ def test_store_of_several_grids(spark):
     found = lambda **k: {r["i"]: round(r["v1"], 9) for r in gridstore.lookup(points, table, "lon", "lat", 1, **k).collect()}
     assert found() == {0: 1, 1: 2, 2: 1, 3: 3, 4: 1, 5: 1, 6: 2, 8: 4}
     assert found(order=("south", "north")) == {0: 1, 1: 1, 2: 3, 3: 3, 4: 1, 5: 1, 6: 1, 8: 1}
+
+
+def against_sql(spark, folder, query, **tables):
+    """Rows of a query over small tables (rows by column names), and those of its SQL."""
+    duckdb = pytest.importorskip("duckdb").connect()
+    for name, columns in tables.items():
+        spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} bigint" for c in columns)).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        duckdb.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    got = __spark_entry__.queries()[query](spark, str(folder))
+    want = duckdb.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[query]})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want)
+
+
+def test_half_a_turn_goes_the_way_of_sql(spark, tmp_path):
+    # longitudes exactly half a turn apart: the azimuth over the pole is -180 or 180
+    got, want = against_sql(spark, tmp_path, "geodesic_inverse", customer={"c_custkey": [18449, 7]}, supplier={"s_suppkey": [1887], "s_nationkey": [1]}, orders={"o_orderkey": [1, 2], "o_custkey": [18449, 7]}, lineitem={"l_orderkey": [1, 2], "l_suppkey": [1887, 1887]})
+    assert len(want) == 2 and got == want and want[1][2] == -180.0
+    lon1, lat1, lon2, lat2 = np.radians([-165.076, -63.282, 14.924, 57.419])
+    assert np.degrees(geodesics.inverse(Ellipsoid.named("GRS80"), lon1, lat1, lon2, lat2)[0]) == pytest.approx(-180) and lon2 - lon1 == math.pi
