@@ -147,6 +147,22 @@ def test_crossings_against_all_pairs(spark):
     assert crossings(df.filter("id > 1000")).collect() == []
 
 
+def test_crossings_are_dealt_out_to_tasks(spark):
+    """A small file is one task to read; the pairs that come of it are many tasks' work."""
+    rng = random.Random(9)
+    rows = [(f"k{k}", x, y, x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1)) for k, x, y in ((k, rng.random(), rng.random()) for k in range(1500))]
+    df = spark.createDataFrame([*rows, ("k7", 0.0, 0.0, 1.0, 1.0)], "id string, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    got = crossings(df)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    found = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in found}) > 1
+    pairs = [(r[0], r[1]) for r in found]
+    assert all(a < b for a, b in pairs)
+    # a key of two rows: they don't meet each other, and both meet the rest
+    assert sorted((r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in found) == sorted((r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in crossings(df, full=4).collect())
+    assert ("k7", "k7") not in pairs and len(pairs) > 1500
+
+
 # -- geodesics, derivatives, counts -----------------------------------------------------------
 
 
