@@ -35,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ BITS = 4096
 LEAF, LEAF_SHINGLES, FAN = 2048, 1 << 20, 8
 #: Texts that Python gets at once, and keys that are put in order together.
 TEXTS, TOGETHER = 2000, 200_000
+#: Leading bits of a key that go on (keys that agree in them only meet needlessly); leaves that Python gets at once.
+KEY_BITS, LEAVES = 48, 64
 #: A component of so many sets of a block has leaves of its own; leaves under a node of the table.
 OWN, TRUNK = 64, 32
 
@@ -325,7 +327,7 @@ def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
         found = forest(found[found[:, 0] != found[:, 1]])
         # a pair goes on under a key of its own; it passes through the next step
         a, b = np.concatenate((ids[new], found[:, 0])), np.concatenate((ids[new], found[:, 1]))
-        k = np.concatenate((keys[new], mix64(found[:, 1].astype(np.uint64)).view(np.int64)))
+        k = np.concatenate((keys[new], (mix64(found[:, 1].astype(np.uint64)) >> np.uint64(64 - KEY_BITS)).view(np.int64)))
         order = np.argsort(a, kind="stable")  # equal ids next to each other pack well
         k, a, b = k[order], a[order], b[order]
         return batch_of({"k": k, "a": a, "b": pa.array(b, mask=a == b)})
@@ -338,7 +340,7 @@ def stars(texts: DataFrame, n: int, least: int, scale: int) -> DataFrame:
             for t in batch.column(0):
                 s = shingle_set(t.as_py(), n)
                 if len(s) and (i := short(digest_of(s))) not in sets:
-                    sets[i] = block_keys(s, least, scale).view(np.int64)
+                    sets[i] = np.unique(block_keys(s, least, scale) >> np.uint64(64 - KEY_BITS)).view(np.int64)
                     held += len(sets[i])
                 if held >= TOGETHER:
                     yield starred(sets)
@@ -424,8 +426,8 @@ def summed(groups: DataFrame, keys: list[str], schema: str) -> DataFrame:
 
 NODES = ("least", "most", "more", "label", "bits")
 #: Bits of the second, wider bitmap of a leaf's root, against which single sets are held: one in eight is set at most
-#: (but for a leaf of one very large set). Roots that come to a leaf together.
-WIDE, ROOTS = 8 * LEAF_SHINGLES, 8
+#: (but for a leaf of one very large set). Roots that come to the leaves in a round.
+WIDE, ROOTS = 8 * LEAF_SHINGLES, 32
 
 
 def wide(sets: list[bytes]) -> bytes:
@@ -457,12 +459,53 @@ def kept_pairs(pairs: DataFrame, least: int, scale: int) -> DataFrame:
     return pairs.mapInArrow(run, "block long, part long, leaf long, part2 long, leaf2 long")
 
 
+def sift(grown: DataFrame, base: DataFrame, pairs: DataFrame, some: list[tuple[int, int, int]], least: int, scale: int, made: list[str]) -> DataFrame:
+    """(block, part2, leaf2, node, label, shingles): the sets of leaves that may link to something below one of `some`
+    roots (block, part, leaf), of those that `pairs` lets them meet."""
+    spark = grown.sparkSession
+    of = lambda names: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(names, r, strict=True)]) for r in some], F.lit(False))
+    nodes = {(r["block"], r["part"], r["leaf"]): (r["least"], r["most"], r["label"], bytes(r["wide"])) for r in base.filter(of(PLACE)).select(*PLACE, "least", "most", "label", "wide").collect()}
+    asked: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+    for r in pairs.filter(of(["block", "part2", "leaf2"])).collect():
+        asked.setdefault((r["block"], r["part"], r["leaf"]), []).append((r["block"], r["part2"], r["leaf2"]))
+    shared = spark.sparkContext.broadcast((nodes, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        nodes, asked = shared.value
+        for batch in batches:
+            for k in range(len(batch)):
+                roots = asked.get(tuple(batch.column(c)[k].as_py() for c in range(3)), [])
+                if not roots:
+                    continue
+                items = batch.column(3)[k].as_py()
+                sets = [np.frombuffer(x["shingles"], np.uint64) for x in items]
+                sizes, labels = np.array([len(s) for s in sets], np.int64), np.array([x["label"] for x in items], np.int64)
+                at, first = (np.concatenate(sets) % np.uint64(WIDE)).astype(np.int64), np.cumsum(sizes) - sizes
+                for root in roots:
+                    low, most, label, bits = nodes[root]
+                    marks = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+                    hits = np.add.reduceat(marks[at], first, dtype=np.int64)
+                    smallest = np.maximum(low, -(-least * sizes // scale))
+                    ok = (labels != label) & (least * sizes <= scale * most) & (least * low <= scale * sizes) & ((scale + least) * hits >= least * (sizes + smallest))
+                    left = [items[i] for i in np.flatnonzero(ok)]
+                    m = len(left)
+                    yield batch_of({"block": [root[0]] * m, "part2": [root[1]] * m, "leaf2": [root[2]] * m, "node": [x["node"] for x in left], "label": [x["label"] for x in left], "shingles": pa.array([x["shingles"] for x in left], pa.binary())})
+
+    parts = sorted({(b, p) for b, p, _ in asked})
+    here = reduce(lambda a, b: a | b, [(F.col("block") == b) & (F.col("part") == p) for b, p in parts], F.lit(False))
+    out = cut(grown.filter(here).mapInArrow(run, "block long, part2 long, leaf2 long, node long, label long, shingles binary"), "jaccard-sifted", made, LEAVES)
+    shared.destroy()
+    return out
+
+
 def marked(nodes: DataFrame) -> DataFrame:
     return nodes.withColumnsRenamed({c: c + "2" for c in nodes.columns if c != "block"})
 
 
-def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least: int, scale: int, made: list[str]) -> DataFrame:
-    """Links between components of the links so far, of blocks with several leaves, by dual traversal of block trees."""
+def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least: int, scale: int, made: list[str], first: list[str]) -> DataFrame:
+    """Links between components of the links so far, of blocks with several leaves, by dual traversal of block trees.
+    The leaves' table (paths `first`) goes when its sets are dealt again."""
     labels = components(links, made)
     nodes = blocks.filter("leaves > 1").select("block", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     shares = nodes.groupBy("block", "label").agg(F.count("*").alias("n"))
@@ -476,6 +519,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     sets = leaves.filter("leaves > 1").select("block", F.explode("sets").alias("s")).select("block", "s.*")
     grown = sets.join(placed, "node").groupBy(*PLACE).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("sets"))
     grown = cut(grown, "jaccard-grown", made)
+    drop(leaves.sparkSession, first)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -487,7 +531,7 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
                 yield batch_of({**dict(zip(PLACE, row.columns, strict=False)), "size": [len(items)], "least": top.least, "most": top.most, "more": top.more, "label": top.label, "bits": pa.array([top.bits[0].tobytes()], pa.binary()), "wide": pa.array([wide([x["shingles"] for x in items])], pa.binary())})
 
     key = "block long, part long, leaf long, "
-    base = cut(grown.mapInArrow(roots, key + NODE + ", wide binary"), "jaccard-nodes", made)
+    base = cut(grown.mapInArrow(roots, key + NODE + ", wide binary"), "jaccard-nodes", made, LEAVES)
     levels = [base.drop("wide")]
     while (levels[-1].agg(F.max("leaf")).first()[0] or 0) >= TRUNK:
         node = F.struct("size", *NODES).alias("node")
@@ -505,33 +549,17 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
         both = up.join(below, ["block", "part", "up"]).drop("up").join(marked(below), ["block", "part2", "up2"]).filter(ordered)
         pairs = cut(kept_pairs(both, least, scale), "jaccard-pairs", made)
 
-    # down from the roots on one side: sets that may link to something below a root; a set goes only to those
-    many = base.groupBy("block").agg(F.ceil(F.count("*") / ROOTS).alias("many"))
-    other = marked(base.select(*PLACE, "least", "most", "label", "wide"))
-    asked = pairs.filter(place("") != place("2")).join(other, ["block", "part2", "leaf2"]).join(many, "block")
-    asked = asked.groupBy(*PLACE, F.pmod(F.xxhash64("part2", "leaf2"), F.col("many")).alias("chunk"))
-    asked = asked.agg(F.collect_list(F.struct("part2", "leaf2", "least2", "most2", "label2", "wide2")).alias("roots")).join(grown, PLACE)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            for k in range(len(batch)):
-                block, items = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
-                sets = [np.frombuffer(x["shingles"], np.uint64) for x in items]
-                sizes, labels = np.array([len(s) for s in sets], np.int64), np.array([x["label"] for x in items], np.int64)
-                at, first = np.concatenate(sets) % np.uint64(WIDE), np.cumsum(sizes) - sizes
-                for root in batch.column(1)[k].as_py():
-                    marks = np.unpackbits(np.frombuffer(root["wide2"], np.uint8), bitorder="little")
-                    hits = np.add.reduceat(marks[at.astype(np.int64)], first, dtype=np.int64)
-                    smallest = np.maximum(root["least2"], -(-least * sizes // scale))
-                    ok = (labels != root["label2"]) & (least * sizes <= scale * root["most2"]) & (least * root["least2"] <= scale * sizes) & ((scale + least) * hits >= least * (sizes + smallest))
-                    left = [items[i] for i in np.flatnonzero(ok)]
-                    n = len(left)
-                    yield batch_of({"block": [block] * n, "part2": [root["part2"]] * n, "leaf2": [root["leaf2"]] * n, "node": [x["node"] for x in left], "label": [x["label"] for x in left], "shingles": pa.array([x["shingles"] for x in left], pa.binary())})
-
-    asked = asked.select("block", "roots", "sets")
-    sifted = cut(asked.mapInArrow(sift, "block long, part2 long, leaf2 long, node long, label long, shingles binary"), "jaccard-sifted", made)
+    # down from the roots on one side: sets that may link to something below a root; a set goes only to those. Pairs of
+    # leaves grow with the square of the table, so nothing is written or shuffled for each: roots come to the leaves in
+    # rounds of ROOTS, and what is kept of a round is its sets
+    pairs = pairs.filter(place("") != place("2"))
     there = ["block", "part2", "leaf2"]
+    called = sorted(map(tuple, pairs.select(*there).distinct().collect()), key=lambda r: (r[0], r[1], r[2]))
+    sifted = None
+    for k in range(0, max(len(called), 1), ROOTS):
+        some = called[k : k + ROOTS]
+        more = sift(grown, base, pairs, some, least, scale, made)
+        sifted = more if sifted is None else sifted.union(more)
     chunks = sifted.groupBy(*there).agg(F.ceil(F.count("*") / (4 * LEAF)).alias("chunks"))
     callers = sifted.join(chunks, there).groupBy(*there, F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("node", "label", "shingles")).alias("callers"))
 
@@ -551,7 +579,8 @@ def further_links(leaves: DataFrame, blocks: DataFrame, links: DataFrame, least:
     # sets that were dealt into one leaf now but not before
     inner = grown.filter("part < 0").select("sets").mapInArrow(within, LINKS)
     second = grown.withColumnsRenamed({"part": "part2", "leaf": "leaf2"})
-    return inner.union(callers.join(second, there).select("callers", "sets").mapInArrow(across, LINKS))
+    # callers are few beside the leaves that they come to, which so need no sorting
+    return inner.union(second.join(callers.hint("shuffle_hash"), there).select("callers", "sets").mapInArrow(across, LINKS))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, least: int = 90, scale: int = 100) -> DataFrame:
@@ -569,25 +598,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, l
     fill = F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n_shingles") / LEAF_SHINGLES)).cast("long")
     blocks = cut(blocks.join(blocks.groupBy("block").agg(fill.alias("leaves")), "block"), "jaccard-blocks", made)
 
-    # leaves: the sets of a block's members, made again from their texts
+    # leaves: texts are dealt, for they take less disk than their sets, and become sets again within their leaf
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for first in range(0, len(batch), 1000):
-                part = batch.slice(first, 1000)
-                sets = [shingle_set(t.as_py(), n).tobytes() for t in part.column(4)]
-                yield batch_of({**dict(zip(("node", "block", "leaves", "leaf"), part.columns, strict=False)), "shingles": pa.array(sets, pa.binary())})
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                items = row.column(3).flatten()
+                sets = [shingle_set(t.as_py(), n).tobytes() for t in items.field("text")]
+                made_of = pa.StructArray.from_arrays([items.field("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+                yield batch_of({**dict(zip(("block", "leaves", "leaf"), row.columns, strict=False)), "sets": pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), made_of)})
 
     leaf = F.pmod(F.xxhash64("node"), F.col("leaves"))
     # blocks grow with the table: a merge join at every size, no broadcast
     held = rows.join(blocks.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "node"]).select("node", "block", "leaves", leaf.alias("leaf"), "text")
-    held = held.mapInArrow(members, "node long, block long, leaves long, leaf long, shingles binary")
-    leaves = held.groupBy("block", "leaves", "leaf").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
-    leaves = cut(leaves, "jaccard-leaves", made, TEXTS)
-    links = cut(first_links(leaves, least, scale), "jaccard-links", made)
+    leaves = held.groupBy("block", "leaves", "leaf").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
+    leaves = leaves.mapInArrow(members, "block long, leaves long, leaf long, sets array<struct<node:long,shingles:binary>>")
+    first: list[str] = []
+    leaves = cut(leaves, "jaccard-leaves", first, LEAVES)
+    links = cut(first_links(leaves, least, scale), "jaccard-links", made, LEAVES)
     if not leaves.filter("leaves > 1").isEmpty():
-        more = cut(further_links(leaves, blocks, links, least, scale, made), "jaccard-links", made)
+        more = cut(further_links(leaves, blocks, links, least, scale, made, first), "jaccard-links", made, LEAVES)
         links = links.union(more)
+    drop(docs.sparkSession, first)
     nodes = classes.join(components(links, made), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("component_h"))
     counts = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geoquill.llm import bpe, gifcols, graph, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
+from geoquill.llm import bpe, common, gifcols, graph, jaccard, langid, licenses, mixing, secretscan, sharding, substring, topk
 from geoquill.llm.graph import components
 from geoquill.llm.queries import vocabulary_file
 
@@ -597,6 +597,30 @@ def test_a_loose_block_of_several_leaves(spark, monkeypatch):
     assert len({c for _, c in expected.values()}) == 110
 
 
+def test_pairs_of_leaves_take_no_disk(spark, monkeypatch, tmp_path):
+    """Pairs of leaves grow with the square of the table: neither shuffled nor written; and leaves go once dealt again."""
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    monkeypatch.setattr(jaccard, "ROOTS", 3)
+    rng = random.Random(29)
+    shared = [unlike(rng, 60) for _ in range(3)]
+    texts = [" ".join(unlike(rng, rng.randint(20, 90)) + shared[i % 3] + shared[(i + 1) % 3]) for i in range(90)]
+    rounds, there = [], []
+    cut = jaccard.cut
+
+    def seen(df, name, made=None, records=None):
+        if name == "jaccard-sifted":
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+            there.append(list(tmp_path.glob("jaccard-leaves*")))
+        return cut(df, name, made, records)
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    monkeypatch.setattr(common, "scratch", lambda _: f"file://{tmp_path}")
+    got = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=3, least=80)
+    assert got.filter("component_id = doc_id").count() == 90
+    assert len(rounds) > 1 and not any("Exchange" in p for p in rounds) and not any(there)
+    assert list(tmp_path.glob("jaccard-known*")) and not list(tmp_path.glob("jaccard-sifted*"))
+
+
 def test_an_id_on_two_texts_keeps_the_links_of_both(spark):
     rng = random.Random(21)
     a, b = unlike(rng, 100), unlike(rng, 100)
