@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import LOWER, UPPER, quoted, without
 
 
 def _either(word: str) -> str:
@@ -37,7 +37,14 @@ def _either(word: str) -> str:
 ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+# character by character: the JVM looks a character up in one table then, and goes from range to range otherwise
+CODE = f"{UPPER}{LOWER}0123456789+/_=-"
+CANDIDATE = f"[{CODE}]{{20,}}"
+# whether there is a candidate, by one pass from the text's start: shorter runs and what parts them are never tried again
+HAS_RUN = rf"\A(?:[{CODE}]{{0,19}}+[^{CODE}]++)*+[{CODE}]{{20}}"
+HEX_RUN = "[0123456789abcdef]{24,}"  # a greedy run is the same with its least length in the pattern
+#: What a text must hold for ASSIGN and for ACCESS to match, by plain search.
+WORDS, MARK = ("password", "passwd", "secret", "token", "apikey", "api_key"), "AKIA"
 KINDS = ("assign", "access", "hex", "random")
 OUT = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -139,16 +146,22 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.001, detail: bool
     t = F.coalesce(quoted(text), F.lit(""))
     rows = docs.select(*[quoted(c) for c in keep], t.alias("__se_text"))
     t = F.col("__se_text")
+    none = F.array().cast(SPAN)
+    # few texts hold a secret's words or a long run, and finding that out is most of the work: plain search where it does,
+    # and one pattern for runs, hexadecimal ones among them
+    words = F.transform(F.array(F.lower(t)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in WORDS]))[0]
+    rows = rows.withColumn("__se_run", t.rlike(HAS_RUN))
     rows = rows.withColumns({
-        "__se_assign": found(t, ASSIGN, 0, "assign", lambda x: x["v"] >= 6, 2),
-        "__se_access": found(t, ACCESS, 1, "access", lambda x: x["m"] >= 20),
-        "__se_hex": found(t, "[0-9a-f]{24,}", 2, "hex"),  # a greedy run is the same with its least length in the pattern
+        "__se_assign": F.when((t.contains(":") | t.contains("=")) & words, found(t, ASSIGN, 0, "assign", lambda x: x["v"] >= 6, 2)).otherwise(none),
+        "__se_access": F.when(t.contains(MARK), found(t, ACCESS, 1, "access", lambda x: x["m"] >= 20)).otherwise(none),
+        "__se_hex": F.when(F.col("__se_run"), found(t, HEX_RUN, 2, "hex")).otherwise(none),
     })
     rows = rows.withColumn("__se_base", F.array_sort(F.concat("__se_assign", "__se_access", "__se_hex")))
     # what base spans leave of a run is a run of its own
-    rows = rows.withColumn("__se_rest", F.when(t.rlike(CANDIDATE), blanked(t, F.col("__se_base"))))
+    rows = rows.withColumn("__se_rest", F.when(F.col("__se_run"), blanked(t, F.col("__se_base"))))
     rows = rows.withColumn("__se_found", candidates(F.col("__se_rest")))
-    least = thresholds(rows, rate)
+    # texts without a run have no candidate, so the threshold's pass looks for runs alone in them
+    least = thresholds(rows.filter("__se_run"), rate)
 
     def passes(s: Column) -> Column:
         return s["p"] >= F.element_at(F.array(*[F.lit(float(x)) for x in least]), stratum(s["end"] - s["start"]) + 1)

@@ -748,6 +748,20 @@ def test_what_a_base_span_leaves_of_a_run_is_tested(spark):
     assert all(token not in r["text"] for r in secretscan.redact(df).collect())
 
 
+def test_texts_without_a_run_are_searched_for_runs_only(spark, monkeypatch):
+    long = "x" * 19
+    runs = ["Zm9vYmFyIHNlY3JldCBrZXk9", f"{long}y", f"a {long} b {long}z c", f"é{long}_", "\n".join(["ab"] * 4000) + "\n0123456789abcdef01234567", "secret: abcdefghijklmnopqrstu"]
+    others = [None, "", long, f"{long} {long}", f"{long}é{long}", f"{long}-"[1:], "PassWord = hunter22", "AKIA short", "api_KEY: \"a1b2c3d4\"", "no sign after toKEN", "ab c," * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs + others)], "doc_id int, text string")
+    asked = []
+    thresholds = secretscan.thresholds
+    monkeypatch.setattr(secretscan, "thresholds", lambda rows, rate: (asked.append(rows), thresholds(rows, rate))[1])
+    got = {r["doc_id"]: r for r in secretscan.scan(df).collect()}
+    assert {r["doc_id"] for r in asked[0].select("doc_id").collect()} == set(range(len(runs)))
+    assert {i: r["n_assign"] for i, r in got.items() if r["n_assign"]} == {5: 1, 12: 1, 14: 1} and got[4]["n_hex"] == 1
+
+
+
 # 8 -------------------------------------------------------------------------------------------
 
 
